@@ -15,8 +15,9 @@ def p3_url_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = heavy_keys.key_statistics(load(spark, sf_dir, "postings"), "url", "term", "tf")
-    return heavy_keys.share_of_total(stats, F.col("n_rows"), 0.02).where(F.col("url").isNotNull()).select("url")
+    rows = load(spark, sf_dir, "postings")
+    stats = heavy_keys.key_statistics(rows, "url", "term", "tf")
+    return stats.where(F.col("url").isNotNull() & (F.col("n_rows") >= F.lit(0.02 * rows.count()))).select("url")
 
 
 QUERIES = {"p3_found": p3_found, "p3_url_stats": p3_url_stats}
