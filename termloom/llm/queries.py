@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import neardup
+from pyspark.sql import functions as F
+
+from termloom.llm import neardup, postings, repeated_lines
+from termloom.llm.shingles import words_of
 from termloom.tables import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+    return at.select(F.col("key").alias("doc_key"), F.col("line_no").cast("int").alias("line_no"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.without_repeated_lines(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "docs")
     return neardup.alike_pairs(docs, "doc_key", "text", 3, 0.5, 50).select("key_a", "key_b").toDF("doc_key_a", "doc_key_b")
@@ -17,9 +29,74 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.alike_groups(load(spark, sf_dir, "docs"), "doc_key", "text", 3, 0.5)
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_marks(postings.latest_tf(load(spark, sf_dir, "postings")), 1, 0.54)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_terms(spark, sf_dir).where("mark <> 'useful'").select("term", "mark")
+
+
+def p5_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_marks(postings.text_terms(load(spark, sf_dir, "docs"), "doc_key", words_of(F.col("text"))), 1, 0.54)
+
+
+def p6_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = postings.association(postings.latest_tf(load(spark, sf_dir, "postings")))
+    return scored.withColumn("ppmi", F.round("ppmi", 6))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = postings.association(postings.latest_tf(load(spark, sf_dir, "postings")))
+    return scored.where("tf >= 5 AND records BETWEEN 2 AND 8").select("url", "term")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_clean": p1_clean,
+    "p2_found": p2_found, "p2_groups": p2_groups,
+    "p5_found": p5_found, "p5_terms": p5_terms, "p5_text_terms": p5_text_terms,
+    "p6_found": p6_found, "p6_association": p6_association,
+}
+
+_STATE = """
+WITH kept AS (SELECT term, url, coalesce(tf, 1) AS tf, indexedAt FROM postings WHERE term <> '' AND url IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY term, url ORDER BY indexedAt DESC NULLS LAST, tf DESC) AS r FROM kept),
+state AS (SELECT term, url, tf FROM ranked WHERE r = 1)"""
+
+_MARKS = """, n AS (SELECT count(DISTINCT url) AS n FROM state),
+marks AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS records,
+  CASE WHEN count(*) <= 1 THEN 'rare' WHEN count(*) >= 0.54 * (SELECT n FROM n) THEN 'common' ELSE 'useful' END AS mark
+  FROM state GROUP BY term)
+"""
+
+_LINES = """
+WITH pages AS (SELECT DISTINCT doc_key, lower(trim(repoOwner)) AS owner, text FROM docs
+               WHERE doc_key IS NOT NULL AND trim(repoOwner) <> ''),
+cut AS (SELECT doc_key, owner, string_split(text, chr(10)) AS l FROM pages WHERE text IS NOT NULL),
+lines AS (SELECT doc_key, owner, i AS line_no, trim(regexp_replace(lower(l[i]), '[^a-z]+', ' ', 'g')) AS s
+          FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cut)),
+many AS (SELECT owner, count(DISTINCT doc_key) AS n FROM pages GROUP BY owner),
+often AS (SELECT owner, s FROM lines JOIN many USING (owner) WHERE length(s) >= 20 GROUP BY owner, s, n
+          HAVING count(DISTINCT doc_key) >= 4 AND count(DISTINCT doc_key) >= 0.25 * n)
+"""
 
 ORACLES = {
+    "p1_found": _LINES + "SELECT DISTINCT doc_key, CAST(line_no AS INT) AS line_no FROM lines JOIN often USING (owner, s)",
+    "p5_found": _STATE + _MARKS + "SELECT term, mark FROM marks WHERE mark <> 'useful'",
+    "p5_terms": _STATE + _MARKS + "SELECT term, total, records, mark FROM marks",
+    "p5_text_terms": """
+WITH pages AS (SELECT DISTINCT doc_key AS url, text FROM docs WHERE doc_key IS NOT NULL),
+each AS (SELECT url, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM pages),
+state AS (SELECT term, url, count(*) AS tf FROM each GROUP BY term, url)
+""" + _MARKS + "SELECT term, total, records, mark FROM marks",
+    "p6_found": _STATE + """, df AS (SELECT term, count(*) AS records FROM state GROUP BY term)
+SELECT url, term FROM state JOIN df USING (term) WHERE tf >= 5 AND records BETWEEN 2 AND 8
+""",
+    "p6_association": _STATE + """, t AS (SELECT term, sum(tf) AS a, count(*) AS records FROM state GROUP BY term),
+u AS (SELECT url, sum(tf) AS b FROM state GROUP BY url), s AS (SELECT sum(pow(b, 0.75)) AS s FROM u)
+SELECT url, term, tf, records, round(greatest(0, ln(tf * s / (a * pow(b, 0.75)))), 6) AS ppmi
+FROM state JOIN t USING (term) JOIN u USING (url), s
+""",
     "p2_found": """
 WITH pages AS (
   SELECT DISTINCT doc_key, regexp_extract_all(lower(text), '[a-z]+') AS w FROM docs WHERE doc_key IS NOT NULL AND text IS NOT NULL),
@@ -27,8 +104,8 @@ kept AS (SELECT doc_key, w FROM pages WHERE len(w) >= 50),
 sh AS (SELECT DISTINCT doc_key, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s
        FROM (SELECT doc_key, w, unnest(range(1, len(w) - 1)) AS i FROM kept)),
 size AS (SELECT doc_key, count(*) AS n FROM sh GROUP BY doc_key),
-both AS (SELECT a.doc_key AS x, b.doc_key AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_key < b.doc_key GROUP BY 1, 2)
-SELECT x AS doc_key_a, y AS doc_key_b FROM both JOIN size p ON p.doc_key = x JOIN size q ON q.doc_key = y
+pairs AS (SELECT a.doc_key AS x, b.doc_key AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_key < b.doc_key GROUP BY 1, 2)
+SELECT x AS doc_key_a, y AS doc_key_b FROM pairs JOIN size p ON p.doc_key = x JOIN size q ON q.doc_key = y
 WHERE k >= 0.5 * (p.n + q.n - k)
 """,
 }
