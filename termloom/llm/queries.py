@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from termloom.llm import neardup, postings, repeated_lines
+from termloom.durable import durable
+from termloom.llm import mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, tokens
 from termloom.llm.shingles import words_of
 from termloom.tables import load
 
+SCORES = ["tfidf", "pagerank_global", "pagerank_repoOwner", "recency"]
+CAPACITY = 2048
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
@@ -51,7 +55,58 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("tf >= 5 AND records BETWEEN 2 AND 8").select("url", "term")
 
 
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankfuse.fused_ranking(load(spark, sf_dir, "hits"), "query_id", "url", SCORES, "scored_at", [0.65, 0.2, 0.1, 0.05])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = p4_ranking(spark, sf_dir)
+    return ranked.where(" AND ".join(f"greater_{s} <= 2" for s in SCORES)).select("query_id", "url")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = durable(tokens.token_sizes(load(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.pack(sized, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_containers(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = durable(mixing.targets_of(load(spark, sf_dir, "mix_targets"), "source", "target_weight", "max_repeats"))
+    docs = load(spark, sf_dir, "documents").withColumn("name", mixing.source_name(F.col("source"))).join(F.broadcast(targets.select("name")), "name", "left_semi")
+    sized = durable(tokens.token_sizes(docs, "doc_id", "text", ("name",)).toDF("key", "name", "size"))
+    plan = durable(mixing.budgets(sized, targets))
+    return mixing.mix(sized, plan), plan
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnsRenamed({"key": "doc_id", "name": "source", "size": "n_tokens"})
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_shares(spark, sf_dir).where("short").select("source")
+
+
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = durable(quality.text_statistics(load(spark, sf_dir, "documents"), load(spark, sf_dir, "common_words")))
+    return quality.quality(stats)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_quality(spark, sf_dir).where((F.col("outlier") >= quality.MIN_OUTLIER) & ~F.col("natural")).select("doc_id")
+
+
 QUERIES = {
+    "p4_found": p4_found, "p4_ranking": p4_ranking,
+    "p8_found": p8_found, "p8_containers": p8_containers,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses,
+    "p10_found": p10_found, "p10_quality": p10_quality,
     "p1_found": p1_found, "p1_clean": p1_clean,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p5_found": p5_found, "p5_terms": p5_terms, "p5_text_terms": p5_text_terms,
@@ -81,6 +136,17 @@ often AS (SELECT owner, s FROM lines JOIN many USING (owner) WHERE length(s) >=
 """
 
 ORACLES = {
+    "p4_found": """
+WITH now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url
+    ORDER BY scored_at DESC NULLS LAST, tfidf DESC NULLS LAST, pagerank_global DESC NULLS LAST, pagerank_repoOwner DESC NULLS LAST, recency DESC NULLS LAST) AS r
+  FROM hits WHERE query_id IS NOT NULL AND url IS NOT NULL) WHERE r = 1),
+ranks AS (SELECT query_id, url,
+  rank() OVER (PARTITION BY query_id ORDER BY tfidf DESC NULLS LAST) AS a,
+  rank() OVER (PARTITION BY query_id ORDER BY pagerank_global DESC NULLS LAST) AS b,
+  rank() OVER (PARTITION BY query_id ORDER BY pagerank_repoOwner DESC NULLS LAST) AS c,
+  rank() OVER (PARTITION BY query_id ORDER BY recency DESC NULLS LAST) AS d FROM now)
+SELECT query_id, url FROM ranks WHERE a <= 3 AND b <= 3 AND c <= 3 AND d <= 3
+""",
     "p1_found": _LINES + "SELECT DISTINCT doc_key, CAST(line_no AS INT) AS line_no FROM lines JOIN often USING (owner, s)",
     "p5_found": _STATE + _MARKS + "SELECT term, mark FROM marks WHERE mark <> 'useful'",
     "p5_terms": _STATE + _MARKS + "SELECT term, total, records, mark FROM marks",
