@@ -53,7 +53,7 @@ def _boundary(histogram: DataFrame, bucket: str, rest: str) -> DataFrame:
 def mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(key, name, size, uses) for each record of a listed source; ``plan`` comes from ``budgets``.
 
-    A source's size drawn stays below its target by less than one record, unless it is short.
+    What is drawn of a source differs from its target by at most half of the record at the boundary, unless it is short.
     """
     mask = (1 << BITS) - 1
     h = F.xxhash64(F.lit("mix"), "key")
@@ -66,7 +66,7 @@ def mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     b2 = _boundary(two, "c2", "left1").withColumnRenamed("c2", "b2").withColumnRenamed("left", "left2")
     last = inside.join(F.broadcast(b2), "name").where("c2 = b2")
     w = Window.partitionBy("name").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    top = last.withColumn("run", F.sum("size").over(w)).where("run <= left2").groupBy("name").agg(F.max(F.struct("h", "key")).alias("upto"))
+    top = last.withColumn("run", F.sum("size").over(w)).where(F.col("run") - F.col("size") / 2 <= F.col("left2")).groupBy("name").agg(F.max(F.struct("h", "key")).alias("upto"))
     marks = need.join(b1, "name", "left").join(b2, "name", "left").join(top, "name", "left")
     first = F.when(F.col("rest") <= 0, F.lit(False)).when(F.col("b1").isNull(), F.lit(True)).when(F.col("c1") != F.col("b1"), F.col("c1") < F.col("b1"))
     within = F.when(F.col("b2").isNull(), F.lit(True)).when(F.col("c2") != F.col("b2"), F.col("c2") < F.col("b2")).otherwise(F.coalesce(F.struct("h", "key") <= F.col("upto"), F.lit(False)))

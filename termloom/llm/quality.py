@@ -17,6 +17,7 @@ MIN_SENTENCES = 0.5
 #: The least outlier score of a text that may be something else: on average half a nat for each statistic is
 #: reached by most texts, so the score only sets aside those that are ordinary in every respect.
 MIN_OUTLIER = 3.0
+SMALL_LANGUAGE = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
@@ -147,9 +148,12 @@ def quality(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds outlier and natural to ``text_statistics``.
 
     outlier sums, over the statistics, -ln of the two-sided empirical tail probability within the language: the share
-    of its texts at or beyond the value, on the nearer side, doubled and at most 1. Ties share their rank. natural is
-    true if the text's sentences hold enough of it.
+    of its texts at or beyond the value, on the nearer side, doubled and at most 1. Ties share their rank. Languages of
+    under ``SMALL_LANGUAGE`` texts are ranked together. natural is true if the text's sentences hold enough of it.
     """
+    sizes = stats.groupBy("language").count().where(F.col("count") >= SMALL_LANGUAGE)
+    large = [r[0] for r in sizes.select("language").collect()]  # two-letter codes: at most 677
+    stats = stats.withColumn("language", F.when(F.col("language").isin(large), F.col("language")).otherwise("other"))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(STATISTICS)]))
     long = stats.select("language", each.alias("e")).select("language", "e.k", "e.v")
     ranks = grouped_ranks(long, ["language", "k"], ["v"])
