@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.durable import durable
-from termloom.llm import mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, tokens
+from termloom.llm import markup, mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, tokens
 from termloom.llm.shingles import words_of
 from termloom.tables import load
 
@@ -64,6 +64,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where(" AND ".join(f"greater_{s} <= 2" for s in SCORES)).select("query_id", "url")
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = markup.clean_texts(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+    return cleaned.dropDuplicates(["doc_key"]).withColumn("kinds", F.array_join("kinds", ","))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = markup.clean_texts(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+    return cleaned.select("doc_key", F.explode("kinds").alias("kind")).distinct()
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = durable(tokens.token_sizes(load(spark, sf_dir, "documents"), "doc_id", "text"))
     return packing.pack(sized, "doc_id", "n_tokens", CAPACITY)
@@ -104,6 +114,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_ranking": p4_ranking,
+    "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_found": p8_found, "p8_containers": p8_containers,
     "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses,
     "p10_found": p10_found, "p10_quality": p10_quality,
