@@ -343,7 +343,7 @@ def alike_pairs(docs: DataFrame, key: str, text: str, width: int = WIDTH, thresh
 
     Keys with the same words are pairs too (if they have a token at all). Repeated rows of a key count once.
     """
-    classes = classes_of(docs, key, text, max(min_words, width))
+    classes = durable(classes_of(docs, key, text, max(min_words, width)))
     links = alike_classes(classes, width, threshold).select("a", "b")
     members = classes.select("cls", "key").distinct()
     left, right = members.select(F.col("cls").alias("a"), F.col("key").alias("x")), members.select(F.col("cls").alias("b"), F.col("key").alias("y"))
@@ -359,8 +359,8 @@ def alike_groups(docs: DataFrame, key: str, text: str, width: int = WIDTH, thres
     Texts under ``width`` words have no token and are alike only to copies; texts without words, null
     ones too, are copies of one another. A null key has no row.
     """
-    rows = classes_of(docs, key, text, 0)
-    links = durable(alike_classes(classes_of(docs, key, text, width), width, threshold).select("a", "b"))
+    rows = durable(classes_of(docs, key, text, 0))
+    links = durable(alike_classes(rows.where(word_count(F.col("words")) >= width), width, threshold).select("a", "b"))
     group = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     members = rows.select("key", "cls").distinct()
