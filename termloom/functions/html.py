@@ -218,9 +218,14 @@ def page_fields(html: str | None, url: str | None) -> dict:
     return {"text": extract_text(root), "title": extract_title(root), "published": extract_date(root), "links": extract_links(root, url), **extract_metadata(root, url)}
 
 
-@F.pandas_udf(PAGE_TYPE)
-def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([page_fields(h, u) for h, u in zip(html, url)])
+def parse_page(html: Column, url: Column) -> Column:
+    """The struct PAGE_TYPE of a page, read in one pass."""
+
+    def read(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_fields(h, u) for h, u in zip(pages, urls)], columns=[f.split()[0] for f in PAGE_TYPE.split(", ")])
+
+    read.__annotations__ = {"pages": pd.Series, "urls": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(read, PAGE_TYPE)(html, url)
 
 
 def title_of(html: Column) -> Column:

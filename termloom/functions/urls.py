@@ -13,6 +13,7 @@ from urllib.parse import parse_qsl, quote, quote_plus, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: path prefixes, host labels and path patterns of the policies
 ALLOWED_PREFIXES = ("/blog", "/engineering", "/developers", "/posts", "/articles", "/insights", "/news", "/releases", "/changelog", "/techblog", "/tech")
@@ -27,7 +28,7 @@ RESERVED_OWNERS = (
     "customer-stories readme about collections events team contact"
 ).split()
 
-_PLAIN = r"^(?i:https?)://[A-Za-z0-9][A-Za-z0-9.-]*(:[0-9]{1,4})?(/[A-Za-z0-9_~!$&'()*+,;=:@/-]|/[A-Za-z0-9_~!$&'()*+,;=:@-]+\.[A-Za-z0-9_~!$&'()*+,;=:@-]|[A-Za-z0-9_~!$&'()*+,;=:@-]|\.[A-Za-z0-9])*/?(\?[A-Za-z0-9_=&*.-]*)?(#[!-~]*)?$"
+_PLAIN = r"^(?i:https?)://[A-Za-z0-9][A-Za-z0-9.-]*(:[0-9]{1,4})?(/[A-Za-z0-9_~!$&'()*+,;=:@./-]*)?(\?[A-Za-z0-9_=&*.-]*)?(#[!-~]*)?$"
 _PARTS = re.compile(r"^(https?):[/\\]*(?:([^/\\?#]*)@)?([^/\\?#:@\[\]]+|\[[0-9A-Fa-f:.]+\])(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?$", re.I | re.S)
 _PATH_SAFE = "/!$&'()*+,;=:@%~|[]^-._"
 
@@ -82,12 +83,12 @@ def normalize(raw: str | None) -> str | None:
     return f"{scheme}://{host}{':' + port if port else ''}{path}{'?' + form if form else ''}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_udf(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: normalize(u) if isinstance(u, str) else None).astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolve_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b, h) if isinstance(b, str) and isinstance(h, str) else None for b, h in zip(base, href)], dtype=object)
 
@@ -140,9 +141,9 @@ def has_allowed_path(url: Column) -> Column:
 
 def is_domain_allowed(url: Column, domains: Iterable[str]) -> Column:
     """Whether the host, or a parent of it with at least two labels, is listed."""
-    labels = F.split(url_host(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.coalesce(F.exists(suffixes, lambda s: s.isin(list(domains))), F.lit(False))
+    names = sorted(domains)
+    tails = ["(?:^|\\.)" + re.escape(d) for d in names if "." in d] + ["^" + re.escape(d) for d in names if "." not in d]
+    return F.coalesce(url_host(url).rlike("(?:" + "|".join(tails or ["(?!)"]) + ")$"), F.lit(False))
 
 
 class Policy:

@@ -23,12 +23,12 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, sample_rows:
     """
     total = df.count()
     fraction = min(1.0, sample_rows / max(total, 1))
-    drawn = df.select(key).where(F.col(key).isNotNull())
+    drawn = df.select(F.col(key).alias("_k")).where("_k IS NOT NULL")
     if fraction < 1.0:
         drawn = drawn.sample(fraction=fraction, seed=seed)
-    counts = drawn.groupBy(key).count()
+    counts = drawn.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     floor = max(2.0, share * fraction * total)
-    rows = counts.where(F.col("count") >= floor).select(key).limit(int(1 / share) + 1).collect()
+    rows = counts.where(F.col("_n") >= floor).select("_k").limit(int(1 / share) + 1).collect()
     return df.sparkSession.createDataFrame([(r[0],) for r in rows], df.select(key).schema)
 
 
@@ -43,11 +43,13 @@ def key_statistics(df: DataFrame, key: str, item: str, weight: str, share: float
     A null key is a key of its own. Null and empty items add to ``n_rows`` only; null weights
     add nothing (a key with only null weights sums to 0). Repeated rows count as rows.
     """
-    rows = df.select(key, F.when(F.length(item) > 0, F.col(item)).alias("item"), F.col(weight).cast("bigint").alias("weight"))
-    heavy = F.broadcast(heavy_keys(df, key, share))
-    by_item = rows.join(heavy, key, "left_semi").groupBy(key, "item").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-    of_heavy = by_item.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count("item").alias("n_items"), F.coalesce(F.sum("w"), F.lit(0)).alias("sum_weight"))
-    light = rows.join(heavy, key, "left_anti").repartition(F.col(key))
-    one_each = light.groupBy(key, "item").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-    of_light = one_each.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count("item").alias("n_items"), F.coalesce(F.sum("w"), F.lit(0)).alias("sum_weight"))
-    return of_heavy.unionByName(of_light)
+    rows = df.select(F.col(key).alias("_k"), F.when(F.length(item) > 0, F.col(item)).alias("_i"), F.col(weight).cast("bigint").alias("_w"))
+    heavy = F.broadcast(heavy_keys(df, key, share).toDF("_k"))
+    of_heavy = _by_key(rows.join(heavy, "_k", "left_semi"))
+    of_light = _by_key(rows.join(heavy, "_k", "left_anti").repartition(F.col("_k")))
+    return of_heavy.unionByName(of_light).withColumnRenamed("_k", key)
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    each = rows.groupBy("_k", "_i").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"))
+    return each.groupBy("_k").agg(F.sum("_n").alias("n_rows"), F.count("_i").alias("n_items"), F.coalesce(F.sum("_w"), F.lit(0)).alias("sum_weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.plans import heavy
+from termloom.plans import heavy, oracle, reference, streams
 
-QUERIES = {**heavy.QUERIES}
-ORACLES = {**heavy.ORACLES}
+QUERIES = {**reference.QUERIES, **streams.QUERIES, **heavy.QUERIES}
+ORACLES = {**oracle.ORACLES, **oracle.STREAMS, **heavy.ORACLES}

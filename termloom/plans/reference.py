@@ -85,8 +85,9 @@ def b2_company_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.explode(F.array(*[F.lit(p) for p in ("", "/", "/blog/1", "/technology", "/News", "/careers")]))
-    return load(spark, sf, "docs").select(urls.url_host(F.col("url")).alias("h")).distinct().select(F.concat(F.lit("https://www."), "h", made).alias("url"))
+    paths = F.explode(F.array(*[F.lit(p) for p in ("", "/", "/blog/1", "/technology", "/News", "/careers")])).alias("p")
+    hosts = load(spark, sf, "docs").where("url IS NOT NULL").select(urls.url_host(F.col("url")).alias("h")).distinct()
+    return hosts.select("h", paths).select(F.concat(F.lit("https://www."), "h", "p").alias("url"))
 
 
 def b3_allowed_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +107,7 @@ def b5_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 def b7_repo_url_policy(spark: SparkSession, sf: str) -> DataFrame:
     path = F.regexp_replace("doc_key", "^https?://[^/]+", "https://github.com")
-    made = load(spark, sf, "docs").select(path.alias("p")).distinct().select(F.concat("p", F.explode(F.array(*[F.lit(s) for s in SUFFIXES]))).alias("url"))
+    made = load(spark, sf, "docs").select(path.alias("p")).distinct().select("p", F.explode(F.array(*[F.lit(s) for s in SUFFIXES])).alias("s")).select(F.concat("p", "s").alias("url"))
     return made.where("url IS NOT NULL").select("url", urls.repo_url_allowed(F.col("url")).alias("ok"))
 
 
@@ -136,7 +137,7 @@ def c4_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c6_parse_page(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = load(spark, sf, "seed_pages").select("url", html.parse_page("html", "url").alias("p"))
+    parsed = load(spark, sf, "seed_pages").select("url", html.parse_page(F.col("html"), F.col("url")).alias("p"))
     return parsed.select("url", "p.title", "p.repoOwner", "p.lowContent", F.size("p.links").alias("n_links"), F.length("p.text").alias("n_text"))
 
 
@@ -204,12 +205,12 @@ def e6_get(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f1_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis("ts").alias("arrival"))
+    asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
     return crawl.rate_limit(asked, "user_id", "arrival", 3_600_000)
 
 
 def f2_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis("ts").alias("arrival"))
+    asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
     return crawl.schedule(asked, "user_id", "arrival", 3_600_000).select("event_id", "user_id", "arrival", "start")
 
 
@@ -385,7 +386,7 @@ def k2_nid_sid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k3_message_id(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").select("event_id", placement.message_id(F.unix_millis("ts"), F.col("event_type")).alias("mid"))
+    return load(spark, sf, "events").select("event_id", placement.message_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_type")).alias("mid"))
 
 
 def k5_naive(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,7 +90,7 @@ def topic_pages(pages: DataFrame, base: str, max_pages: int = 10) -> DataFrame:
     all_pages = pages.where(F.col("page") <= max_pages).select("topic", "page").distinct().join(fresh, ["topic", "page"], "left")
     order = Window.partitionBy("topic").orderBy("page")
     # pages from 1 on without a gap, each with something new
-    good = all_pages.withColumn("i", F.row_number().over(order)).withColumn("ok", (F.col("n") > 0) & (F.col("page") == F.col("i")))
+    good = all_pages.withColumn("i", F.row_number().over(order)).withColumn("ok", F.coalesce((F.col("n") > 0) & (F.col("page") == F.col("i")), F.lit(False)))
     good = good.withColumn("upto", F.min(F.col("ok").cast("int")).over(order)).where("upto = 1").select("topic", "page")
     return first.join(good, ["topic", "page"], "left_semi").select("topic", "page", "url")
 
