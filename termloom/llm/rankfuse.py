@@ -44,15 +44,15 @@ def fused_ranking(rows: DataFrame, group: str, item: str, scores: list[str], at:
     counts the items of the group with a strictly greater value.
     """
     weights = weights or [1.0] * len(scores)
-    now = latest(rows, group, item, scores, at).select(F.col(group).alias("g"), F.col(item).alias("item"), *scores)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(scores)]))
-    long = now.select("g", "item", each.alias("e")).select("g", "item", "e.k", "e.v")
-    ranked = null_safe_join(long, grouped_ranks(long, ["g", "k"], ["v"]), ["g", "k", "v"])
+    now = latest(rows, group, item, scores, at).toDF("_g", "_i", *[f"_s{i}" for i in range(len(scores))])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_s{i}").alias("v")) for i in range(len(scores))]))
+    long = now.select("_g", "_i", each.alias("e")).select("_g", "_i", "e.k", "e.v")
+    ranked = null_safe_join(long, grouped_ranks(long, ["_g", "k"], ["v"]), ["_g", "k", "v"])
     p = (F.col("n_less") + F.col("n_equal") / 2) / F.col("n_total")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("k") + 1)
     greater = [F.max(F.when(F.col("k") == i, F.col("n_total") - F.col("n_less") - F.col("n_equal"))).alias(f"greater_{s}") for i, s in enumerate(scores)]
-    fused = ranked.groupBy("g", "item").agg(F.round(F.sum(weight * inverse_normal(p)) / sum(weights), 9).alias("fused"), *greater)
-    fused = fused.withColumn("down", -F.col("fused"))
-    order = grouped_ranks(fused, ["g"], ["down", "item"]).select("g", "item", (F.col("n_less") + 1).alias("position"))
-    out = fused.join(order, ["g", "item"])
-    return out.select(F.col("g").alias(group), F.col("item").alias(item), "fused", "position", *[f"greater_{s}" for s in scores])
+    fused = ranked.groupBy("_g", "_i").agg(F.round(F.sum(weight * inverse_normal(p)) / sum(weights), 9).alias("fused"), *greater)
+    fused = fused.withColumn("_down", -F.col("fused"))
+    order = grouped_ranks(fused, ["_g"], ["_down", "_i"]).select("_g", "_i", (F.col("n_less") + 1).alias("position"))
+    out = fused.join(order, ["_g", "_i"])
+    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), "fused", "position", *[f"greater_{s}" for s in scores])
