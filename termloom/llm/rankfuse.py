@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.durable import durable
 from termloom.llm.ranks import grouped_ranks, null_safe_join
 
 
@@ -52,7 +53,7 @@ def fused_ranking(rows: DataFrame, group: str, item: str, scores: list[str], at:
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("k") + 1)
     greater = [F.max(F.when(F.col("k") == i, F.col("n_total") - F.col("n_less") - F.col("n_equal"))).alias(f"greater_{s}") for i, s in enumerate(scores)]
     fused = ranked.groupBy("_g", "_i").agg(F.round(F.sum(weight * inverse_normal(p)) / sum(weights), 9).alias("fused"), *greater)
-    fused = fused.withColumn("_down", -F.col("fused"))
+    fused = durable(fused.withColumn("_down", -F.col("fused")))
     order = grouped_ranks(fused, ["_g"], ["_down", "_i"]).select("_g", "_i", (F.col("n_less") + 1).alias("position"))
     out = fused.join(order, ["_g", "_i"])
     return out.select(F.col("_g").alias(group), F.col("_i").alias(item), "fused", "position", *[f"greater_{s}" for s in scores])
