@@ -35,14 +35,22 @@ def add(frontier: DataFrame, incoming: DataFrame, order: Column | None = None) -
     return good.unionByName(bad)
 
 
+def fresh(frontier: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(url): the canonical URLs of ``incoming`` that the frontier lacks, each once. Repeats are merged before they move."""
+    normal = incoming.select(normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
+    return normal.join(frontier.select("url"), "url", "left_anti")
+
+
 def add_batch(frontier: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: how many were added and how many skipped, invalid ones included."""
-    return add(frontier, incoming).agg(F.coalesce(F.sum(F.col("added").cast("bigint")), F.lit(0)).alias("added"), F.coalesce(F.sum((~F.col("added")).cast("bigint")), F.lit(0)).alias("skipped"))
+    total = incoming.agg(F.count(F.lit(1)).alias("n")).scalar()
+    added = fresh(frontier, incoming).agg(F.count(F.lit(1)).alias("added"))
+    return added.select("added", (total - F.col("added")).alias("skipped"))
 
 
 def with_added(frontier: DataFrame, incoming: DataFrame, now: int) -> DataFrame:
     """The frontier after ``add``."""
-    new = add(frontier, incoming).where("added").select("url", F.lit(UNSEEN).alias("status"), F.lit(now).cast("bigint").alias("addedAt"))
+    new = fresh(frontier, incoming).select("url", F.lit(UNSEEN).alias("status"), F.lit(now).cast("bigint").alias("addedAt"))
     return frontier.unionByName(new, allowMissingColumns=True)
 
 

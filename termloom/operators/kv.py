@@ -30,8 +30,8 @@ def fold(log: DataFrame) -> DataFrame:
 
 def latest_puts(log: DataFrame) -> DataFrame:
     """Last write of each key, deletions left out and appends ignored."""
-    w = Window.partitionBy(*KEY_FIELDS).orderBy(F.desc("seq"))
-    return log.where("op <> 'append'").withColumn("r", F.row_number().over(w)).where("r = 1 AND op = 'put'").select(*KEY_FIELDS, "value")
+    last = log.where("op <> 'append'").groupBy(*KEY_FIELDS).agg(F.max(F.struct("seq", "op", "value")).alias("m"))
+    return last.where("m.op = 'put'").select(*KEY_FIELDS, "m.value")
 
 
 def keys(state: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ def frontier_stream(urls: DataFrame, out: str, checkpoint: str, now: int = 0) ->
         known = spark.createDataFrame([], "url string")
         if number:
             known = spark.read.parquet(out).where(F.col("batch") < number).select("url")
-        new = frontier.add(known, batch.select("url")).where("added")
-        rows = new.select("url", F.lit(frontier.UNSEEN).alias("status"), F.lit(now).cast("bigint").alias("addedAt"))
+        rows = frontier.fresh(known, batch.select("url")).select("url", F.lit(frontier.UNSEEN).alias("status"), F.lit(now).cast("bigint").alias("addedAt"))
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return urls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
