@@ -241,7 +241,7 @@ KINDS = [
     ("a `b` c", ["markdown"]), ("[t](u)", ["markdown"]), ("see [t][4]", ["markdown"]), ("[4]: https://x.example", ["markdown"]), ("a[^1] b", ["markdown"]), ("> quoted", ["markdown"]), ("- [x] done", ["markdown"]),
     ("|---|---|", ["markdown"]), ("~~gone~~", ["markdown"]), ("== Head ==", ["wiki"]), ("a [[b|c]] d", ["wiki"]), ("a ''b'' c", ["wiki"]), ("{{stub|x}}", ["wiki"]), ("{| class=x\n|-\n|}", ["wiki"]), ("__TOC__", ["wiki"]),
     ("[https://x.example label]", ["wiki"]), ("\\section{A}", ["latex"]), ("a $x_1 \\le 2$ b", ["latex"]), ("\\(a^2\\)", ["latex"]), ("tuned\\footnote{D.} x", ["latex"]), ("$$a$$", ["latex"]),
-    ("* item\n+ item\n1. item\n    code", []), ("Keep a < 3 and b > 4", []), ("R&D asked a == b, a != b", []), ("[[0, 1], [2, 3]]", []), ("__main__ x_init_y", []), ("#12 and 2 * 3 * 4", []), ("C:\\a\\b or D:\\c", []),
+    ("* item\n+ item\n1. item\n    code", []), ("Keep a < 3 and b > 4", []), ("R&D asked a == b, a != b", []), ("[[0, 1], [2, 3]]", []), ("__main__ x_init_y", []), ("THE __MAIN__ MODULE", []), ("#12 and 2 * 3 * 4", []), ("C:\\a\\b or D:\\c", []),
     ("Map<Key, List<Row>>", []), ("$5 to $10", []), ("x | y ~16%", []), ("[config]\nkey = 1", []), ("$ make x", []), ("Home > a > b", []), ("", []),
 ]
 
