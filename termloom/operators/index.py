@@ -39,9 +39,13 @@ def postings(docs: DataFrame, stop: Iterable[str] | None = None) -> DataFrame:
     return counts.join(page.drop("text"), "doc_key").withColumnRenamed("doc_key", "url")
 
 
-def current_postings(log: DataFrame) -> DataFrame:
-    """The latest state of each (term, url) of an append-only posting table; a null or zero tf is 1."""
-    kept = with_defaults(log.where((F.length("term") > 0) & F.col("url").isNotNull()))
+def current_postings(log: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The latest state of each (term, url) of an append-only posting table; a null or zero tf is 1.
+
+    With ``terms`` (term), only their postings: the log is narrowed before its states are compared.
+    """
+    kept = log.where((F.length("term") > 0) & F.col("url").isNotNull())
+    kept = with_defaults(kept if terms is None else kept.join(terms.select("term").distinct(), "term", "left_semi"))
     cols = ["tf", "repoOwner", "topics", *FLAGS, "lastCommitDate"]
     rows = kept.withColumn("tf", F.coalesce(F.nullif("tf", F.lit(0)), F.lit(1)).cast("bigint"))
     top = rows.groupBy("term", "url").agg(F.max(F.struct("indexedAt", *cols)).alias("m"))

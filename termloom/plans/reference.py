@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.durable import durable
 from termloom.functions import html, placement, text, urls
 from termloom.operators import crawl, frontier, index, kv, mapreduce, search, status
 from termloom.sources import pages as page_source
@@ -295,23 +296,32 @@ def _flat(rows: DataFrame) -> DataFrame:
     )
 
 
+def _ranked(spark: SparkSession, sf: str, queries: DataFrame) -> DataFrame:
+    terms = durable(search.terms_of(queries))
+    near = index.current_postings(load(spark, sf, "postings"), terms)
+    return _flat(search.search_batch(queries, near, 1000, _as_of(), _pagerank(spark, sf), terms=terms))
+
+
 def i1_search(spark: SparkSession, sf: str) -> DataFrame:
-    query = spark.createDataFrame([(1, "archived worker limits and files")], "query_id bigint, query string")
-    return _flat(search.search_batch(query, _index(spark, sf), 1000, _as_of(), _pagerank(spark, sf)))
+    return _ranked(spark, sf, spark.createDataFrame([(1, "archived worker limits and files")], "query_id bigint, query string"))
 
 
 def i1_search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(search.search_batch(_queries(spark, sf), _index(spark, sf), 1000, _as_of(), _pagerank(spark, sf)))
+    return _ranked(spark, sf, _queries(spark, sf))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    terms = durable(search.terms_of(_queries(spark, sf)))
+    return search.weighed(durable(index.current_postings(load(spark, sf, "postings"), terms)), terms, F.lit(1000))
 
 
 def i3_or_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.aggregate(search.matches(search.terms_of(_queries(spark, sf)), _index(spark, sf), F.lit(1000)))
+    found = search.aggregate(_matches(spark, sf))
     return found.select("query_id", "url", text.round4(F.col("tfidf")).alias("tfidf"), F.array_join("matchedTerms", " ").alias("matched"))
 
 
 def i3_term_details(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.aggregate(search.matches(search.terms_of(_queries(spark, sf)), _index(spark, sf), F.lit(1000)))
-    each = found.select("query_id", "url", F.explode("termDetails").alias("term", "d"))
+    each = search.aggregate(_matches(spark, sf)).select("query_id", "url", F.explode("termDetails").alias("term", "d"))
     return each.select("query_id", "url", "term", "d.tf", "d.idf", "d.tfidf")
 
 
@@ -326,8 +336,7 @@ def i5_pagerank_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def i10_total_matches(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.matches(search.terms_of(_queries(spark, sf)), _index(spark, sf), F.lit(1000))
-    return found.select("query_id", "url").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return _matches(spark, sf).select("query_id", "url").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # key-value log
