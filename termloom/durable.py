@@ -38,9 +38,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clear() -> None:
-    for spark, path in _made:
-        _delete(spark, path)
+def clear() -> None:
+    """Deletes every table made so far. A long session calls this once the results built on them are written."""
+    while _made:
+        _delete(*_made.pop())
 
 
 def durable(df: DataFrame) -> DataFrame:
