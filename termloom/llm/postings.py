@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.durable import durable
+from termloom.durable import durable, if_small
 from termloom.operators.heavy_keys import heavy_keys
 
 ROWS_A_PART = 500_000
@@ -86,11 +86,12 @@ def association(state: DataFrame, exponent: float = 0.75) -> DataFrame:
 
     ppmi = max(0, ln(p(term, url) / (p(term) * p'(url)))), p' being the urls' shares after raising their counts
     to ``exponent``, which keeps small records from inflating every score. records counts the urls of the term.
+    The state stays where it is as long as the marginal tables measure as small enough to be broadcast.
     """
-    terms = state.groupBy("term").agg(F.sum("tf").alias("of_term"), F.count(F.lit(1)).alias("records"))
-    urls = state.groupBy("url").agg(F.sum("tf").alias("of_url"))
+    terms = durable(state.groupBy("term").agg(F.sum("tf").alias("of_term"), F.count(F.lit(1)).alias("records")))
+    urls = durable(state.groupBy("url").agg(F.sum("tf").alias("of_url")))
     smooth = F.lit(urls.agg(F.coalesce(F.sum(F.pow("of_url", F.lit(exponent))), F.lit(0.0))).first()[0])
-    both = state.select("url", "term", "tf").join(terms, "term").join(urls, "url")
+    both = state.select("url", "term", "tf").join(if_small(terms), "term").join(if_small(urls), "url")
     ratio = F.col("tf") * smooth / (F.col("of_term") * F.pow("of_url", F.lit(exponent)))
     return both.select("url", "term", "tf", "records", F.when(F.col("tf") > 0, F.greatest(F.lit(0.0), F.log(ratio))).otherwise(0.0).alias("ppmi"))
 
