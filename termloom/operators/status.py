@@ -36,3 +36,9 @@ def engine_status(index: DataFrame, docs: DataFrame, frontier: DataFrame) -> Dat
     terms = index.where(F.length("term") > 0).agg(F.countDistinct("term").alias("n")).scalar()
     n_docs = docs.agg(F.countDistinct("doc_key").alias("n")).scalar()
     return counts.select(terms.alias("termCount"), n_docs.alias("docs"), "unseen", "seen", "error", "total")
+
+
+def group_members(log: DataFrame) -> DataFrame:
+    """(gid, sid) after a log of membership changes (gid, sid, op, seq); op is add or rem, the last one counts."""
+    last = log.groupBy("gid", "sid").agg(F.max(F.struct("seq", "op")).alias("m"))
+    return last.where("m.op = 'add'").select("gid", "sid")

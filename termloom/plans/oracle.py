@@ -90,7 +90,7 @@ m AS (SELECT query_id, pos, term, url, tf, ln((1000.0::DOUBLE + 1) / (df + 1)) A
 found AS (SELECT query_id, url, sum(tf * idf ORDER BY pos) AS x, string_agg(term, ' ' ORDER BY pos) AS matched, min(pos) AS p0 FROM m GROUP BY query_id, url)"""
 
 
-def _search(queries: str) -> str:
+def _scored(queries: str) -> str:
     return _found(queries) + f""",
 pr AS (SELECT url, g, o FROM (SELECT url, global AS g, repoOwner AS o, row_number() OVER (PARTITION BY url ORDER BY global DESC NULLS LAST, repoOwner DESC NULLS LAST) AS r FROM pagerank) WHERE r = 1),
 best AS (SELECT query_id, greatest(max(x), 0.0) AS best, count(*) AS n FROM found GROUP BY query_id),
@@ -99,7 +99,11 @@ parts AS (SELECT f.query_id, f.url, f.matched, n AS totalMatches,
   coalesce(nullif(g, 0), 0.5) AS pg, coalesce(nullif(o, 0), 0.5) AS po, {_recency("s.lastCommitDate")} * (CASE WHEN s.isArchived THEN 0.8 ELSE 1.0 END)::DOUBLE AS r
   FROM found f JOIN best b ON b.query_id = f.query_id JOIN m ON m.query_id = f.query_id AND m.url = f.url AND m.pos = f.p0
   JOIN state s ON s.url = m.url AND s.term = m.term LEFT JOIN pr ON pr.url = f.url),
-scored AS (SELECT *, {_round4("0.65::DOUBLE * t + 0.2::DOUBLE * pg + 0.1::DOUBLE * po + 0.05::DOUBLE * r")} AS score FROM parts),
+scored AS (SELECT *, {_round4("0.65::DOUBLE * t + 0.2::DOUBLE * pg + 0.1::DOUBLE * po + 0.05::DOUBLE * r")} AS score FROM parts)"""
+
+
+def _search(queries: str) -> str:
+    return _scored(queries) + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INT) AS rank, url, score, {_round4("t")} AS tfidf, {_round4("pg")} AS pagerank_global, {_round4("po")} AS pagerank_repoOwner, {_round4("r")} AS recency, matched, totalMatches
 FROM ranked WHERE rank <= 20"""
@@ -195,6 +199,7 @@ SELECT url, CAST(i - 1 AS INT) AS pos, '{BASE}/' || l[i] AS repo FROM (SELECT *,
     "d3_topic_pages": _TOPIC_LINKS + " SELECT topic, page, url FROM seeds",
     "d5_seed_union": FRONTIER + ", " + _TOPIC_LINKS.removeprefix("WITH ") + f""", s AS (SELECT DISTINCT url FROM seeds), n AS (SELECT DISTINCT {normal('url')} AS u FROM s)
 SELECT (SELECT count(*) FROM n WHERE u NOT IN (SELECT url FROM known)) AS added, (SELECT count(*) FROM s) - (SELECT count(*) FROM n WHERE u NOT IN (SELECT url FROM known)) AS skipped, (SELECT count(*) FROM s) AS discovered""",
+    "d8_store_scan": "SELECT DISTINCT c_name AS key FROM customer WHERE c_mktsegment = 'BUILDING'",
     "e1_frontier_add": INCOMING + " SELECT url, added, reason FROM judged",
     "e2_add_batch": INCOMING + " SELECT count(*) FILTER (added) AS added, count(*) FILTER (NOT added) AS skipped FROM judged",
     "e3_claim": FRONTIER + " SELECT url FROM known WHERE status = 'unseen' ORDER BY sha256(url || '7'), url LIMIT 100",
@@ -213,6 +218,7 @@ SELECT (SELECT count(*) FROM got) AS crawled, (SELECT count(*) FROM claimed) - (
 SELECT src, CAST(i - 1 AS INT) AS pos, l[i] AS dst FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM p) WHERE l[i] IS NOT NULL""",
     "g1_mapreduce_generic": PAGES + RAW + " SELECT token AS key, count(*) AS n FROM raw GROUP BY token",
     "g2_order_lists": "SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey",
+    "g7_mr_index": PAGES + RAW + " SELECT token, count(DISTINCT doc_key) AS df, count(*) AS total FROM raw GROUP BY token",
     "h1_postings": COUNTS + f" SELECT doc_key AS url, term, tf, repoOwner, array_to_string(topics, ',') AS topics, isFork, isArchived, lowContent, lastCommitDate FROM counts JOIN pages USING (doc_key)",
     "h2_inverted_index": COUNTS + " SELECT term, count(*) AS n, string_agg(doc_key || ':' || tf, ' ' ORDER BY doc_key) AS list FROM counts GROUP BY term",
     "h3_indexer_stats": COUNTS + " SELECT count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM counts",
@@ -226,6 +232,10 @@ SELECT src, CAST(i - 1 AS INT) AS pos, l[i] AS dst FROM (SELECT *, unnest(range(
     "i4_recency": f"SELECT lastCommitDate, {_round4(_recency('lastCommitDate'))} AS recency FROM (SELECT DISTINCT lastCommitDate FROM docs)",
     "i5_pagerank_join": """WITH pr AS (SELECT url, g, o FROM (SELECT url, global AS g, repoOwner AS o, row_number() OVER (PARTITION BY url ORDER BY global DESC NULLS LAST, repoOwner DESC NULLS LAST) AS r FROM pagerank) WHERE r = 1)
 SELECT d.url, coalesce(nullif(g, 0), 0.5) AS g, coalesce(nullif(o, 0), 0.5) AS o FROM (SELECT DISTINCT doc_key AS url FROM docs WHERE doc_key IS NOT NULL) d LEFT JOIN pr ON pr.url = d.url""",
+    "i6_max_norm": _found(_HITS) + f", best AS (SELECT query_id, greatest(max(x), 0.0) AS b FROM found GROUP BY query_id) SELECT query_id, url, {_round4('x / (CASE WHEN b = 0 THEN 1.0 ELSE b END)')} AS norm FROM found JOIN best USING (query_id)",
+    "i7_penalties": _scored(_HITS) + f" SELECT query_id, url, {_round4('t')} AS tfidf, {_round4('r')} AS recency FROM scored",
+    "i8_blend": _scored(_HITS) + " SELECT query_id, url, score FROM scored",
+    "i9_topn": _scored(_HITS) + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM scored) SELECT query_id, CAST(rank AS INT) AS rank, url, score FROM ranked WHERE rank <= 5",
     "i10_total_matches": _found(_HITS) + " SELECT query_id, count(*) AS n FROM found GROUP BY query_id",
     "j1_kv_put": LOG + ", l AS (SELECT gid, key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM log WHERE op <> 'append' GROUP BY ALL) SELECT gid, key, value FROM l WHERE op = 'put'",
     "j2_kv_get": FOLD + " SELECT gid, key, v FROM fold WHERE key = 'u1'",
@@ -245,6 +255,8 @@ SELECT key, l[CAST(r % 3 AS INT) + 1] AS nid FROM d, s""",
     "k6_consistent": KEYS + f", {_nodes(3)} SELECT key, coalesce(min(nid) FILTER (nid >= kid), min(nid)) AS nid FROM keys, nodes GROUP BY key",
     "k7_rendezvous": KEYS + f", {_nodes(3)} SELECT key, nid FROM {_RENDEZVOUS.format('nodes')}",
     "k9_load": KEYS + f", {_nodes(3)} SELECT nid, count(*) AS n FROM {_RENDEZVOUS.format('nodes')} GROUP BY nid",
+    "l3_group_members": "SELECT CAST(user_id % 5 AS VARCHAR) AS gid, CAST(user_id AS VARCHAR) AS sid FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'",
+    "l7_gossip_targets": "SELECT CAST(s_suppkey AS VARCHAR) AS from_nid, greatest(1, CAST(ceil(ln((SELECT count(*) FROM supplier))) AS BIGINT)) AS n FROM supplier",
     "l5_status_sum": "SELECT user_id % 12 AS sid, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY ROLLUP (user_id % 12)",
     "l8_gossip_dedup": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "n2_status": FRONTIER + """ SELECT (SELECT count(DISTINCT term) FROM postings WHERE term <> '') AS termCount, (SELECT count(DISTINCT doc_key) FROM docs) AS docs,

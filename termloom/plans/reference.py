@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.durable import durable
+from termloom.durable import durable, shared_folder
 from termloom.functions import html, placement, text, urls
 from termloom.operators import crawl, frontier, index, kv, mapreduce, search, status
 from termloom.sources import pages as page_source
+from termloom.sources import store
 from termloom.tables import load
 
 AS_OF = "2025-01-01 00:00:00"
@@ -166,6 +169,13 @@ def d5_seed_union(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.add_batch(known, found).withColumn("discovered", F.col("added") + F.col("skipped"))
 
 
+def d8_store_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    rows = load(spark, sf, "customer").select("c_mktsegment", F.col("c_name").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
+    store.write(rows.withColumnRenamed("c_mktsegment", "gid"), path)
+    return store.keys(spark, path, "BUILDING")
+
+
 # frontier
 
 
@@ -228,6 +238,14 @@ def f9_link_graph(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.link_graph(one.where("doc_key IS NOT NULL"))
 
 
+def f6_crawl_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    known = frontier.current(load(spark, sf, "frontier"))
+    page = load(spark, sf, "docs").groupBy("doc_key").agg(F.max(F.struct("fetchedAt", "links", "text")).alias("m"))
+    had = page.select(F.col("doc_key").alias("url"), F.col("doc_key").alias("final_url"), F.lit(None).cast("string").alias("reason"), "m.text", "m.links")
+    after, _, _ = crawl.crawl_loop(known, had, 50, rounds=2, stop_when="never", now=NOW)
+    return frontier.stats(after)
+
+
 # map-reduce
 
 
@@ -247,6 +265,23 @@ def g1_mapreduce_generic(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("key", F.get_json_object("value", "$.n").cast("bigint").alias("n"))
 
 
+def _posting_pairs(key: str, value: str):
+    import re
+    from collections import Counter
+
+    return [{w: {"url": key, "tf": n}} for w, n in Counter(re.findall("[a-z]+", (value or "").lower())).items()]
+
+
+def _df_and_total(key: str, values: list):
+    return {"df": len(values), "total": sum(v["tf"] for v in values)}
+
+
+def g7_mr_index(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _pages(spark, sf).select(F.col("doc_key").alias("key"), F.col("text").alias("value"))
+    made = mapreduce.map_reduce(rows, _posting_pairs, _df_and_total)
+    return made.select(F.col("key").alias("token"), F.get_json_object("value", "$.df").cast("bigint").alias("df"), F.get_json_object("value", "$.total").cast("bigint").alias("total"))
+
+
 def g2_order_lists(spark: SparkSession, sf: str) -> DataFrame:
     per = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("orders"))
     return per
@@ -325,6 +360,27 @@ def i3_term_details(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("query_id", "url", "term", "d.tf", "d.idf", "d.tfidf")
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return search.score(durable(search.aggregate(_matches(spark, sf))), _as_of(), _pagerank(spark, sf))
+
+
+def i6_max_norm(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.max_normalised(durable(search.aggregate(_matches(spark, sf))))
+    return found.select("query_id", "url", text.round4(F.col("norm")).alias("norm"))
+
+
+def i7_penalties(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("query_id", "url", "breakdown.tfidf", "breakdown.recency")
+
+
+def i8_blend(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("query_id", "url", "score")
+
+
+def i9_topn(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top(_scored(spark, sf), 5).select("query_id", "rank", "url", "score")
+
+
 def i4_recency(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "docs").select("lastCommitDate").distinct().select("lastCommitDate", text.round4(search.recency(F.col("lastCommitDate"), _as_of())).alias("recency"))
 
@@ -417,6 +473,17 @@ def k9_load(spark: SparkSession, sf: str) -> DataFrame:
 # status
 
 
+def l3_group_members(spark: SparkSession, sf: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "rem").otherwise("add")
+    log = load(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("gid"), F.col("user_id").cast("string").alias("sid"), op.alias("op"), F.col("event_id").alias("seq"))
+    return status.group_members(log)
+
+
+def l7_gossip_targets(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("nid"))
+    return status.gossip_targets(nodes).groupBy("from_nid").agg(F.count(F.lit(1)).alias("n"))
+
+
 def l5_status_sum(spark: SparkSession, sf: str) -> DataFrame:
     return status.group_metric(load(spark, sf, "events").withColumn("sid", F.col("user_id") % 12), "sid", "value")
 
