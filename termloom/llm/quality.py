@@ -14,9 +14,6 @@ from termloom.llm.ranks import grouped_ranks
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_line_share", "common_word_share", "sentence_share")
 #: A text at least half of whose non-blank characters stand in complete sentences is natural prose.
 MIN_SENTENCES = 0.5
-#: The least outlier score of a text that may be something else: on average half a nat for each statistic is
-#: reached by most texts, so the score only sets aside those that are ordinary in every respect.
-MIN_OUTLIER = 3.0
 SMALL_LANGUAGE = 200
 
 _WORD = re.compile(r"[^\W\d_]+")

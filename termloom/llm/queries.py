@@ -109,7 +109,7 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_quality(spark, sf_dir).where((F.col("outlier") >= quality.MIN_OUTLIER) & ~F.col("natural")).select("doc_id")
+    return p10_quality(spark, sf_dir).where(~F.col("natural")).select("doc_id")
 
 
 QUERIES = {

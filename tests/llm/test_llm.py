@@ -366,6 +366,15 @@ def test_quality(spark):
     assert quality.quality(quality.text_statistics(df.limit(0), spark.createDataFrame(COMMON, "lang string, word string"))).count() == 0
 
 
+def test_found_where_a_third_is_one_junk_text(spark, tmp_path):
+    from termloom.llm import queries
+
+    rows = [(i, PROSE + f" And the number of maps is {i}.", "en") for i in range(20)] + [(i, "x = 1\ny = 2", "en") for i in range(20, 30)] + [(30, "| a | b |", "fr")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(COMMON, "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    assert sorted(r.doc_id for r in queries.p10_found(spark, str(tmp_path)).collect()) == list(range(20, 31))
+
+
 # tokens
 
 
