@@ -21,15 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.durable import durable
+from termloom.durable import durable, if_small
 
 KINDS = ("html", "markdown", "wiki", "latex")
 #: A path loses if under this share of its text on a host stands outside links.
 MIN_TEXT_SHARE = 0.3
-#: Paths a host may list as lost; layouts have tens. A host with more is left as it is.
-MAX_LOST = 1_000
-#: The lost paths are broadcast up to this many characters, measured on the run's own list, and joined by exchange beyond.
-BROADCAST_CHARS = 8_000_000
 
 # fixed values: the element names of HTML
 TAGS = (
@@ -263,6 +259,14 @@ def from_markdown(text: str, keep) -> str:
     return re.sub(r"(?<![~\w])~~(?=[^\s~])([^~\n]*)(?<=[^\s~])~~(?![~\w])", r"\1", text)
 
 
+def _before_html(text: str, kinds: list[str], keep) -> str:
+    """``text`` as ``clean`` reads its tags: code and formulas are held."""
+    text = text.replace("\x00", "").replace("\r\n", "\n")
+    if "markdown" in kinds:
+        text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2]) + "\n") + "\n", text)
+    return from_latex(text, keep) if "latex" in kinds else text
+
+
 def clean(text: str, kinds: list[str], lost: frozenset[str] = frozenset()) -> str:
     """``text`` without the markup of ``kinds``; a text without markup is returned as it is."""
     if not kinds:
@@ -273,11 +277,7 @@ def clean(text: str, kinds: list[str], lost: frozenset[str] = frozenset()) -> st
         held.append(piece)
         return f"\x00{len(held) - 1}\x00"
 
-    text = text.replace("\x00", "").replace("\r\n", "\n")
-    if "markdown" in kinds:
-        text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2]) + "\n") + "\n", text)
-    if "latex" in kinds:
-        text = from_latex(text, keep)
+    text = _before_html(text, kinds, keep)
     if "html" in kinds:
         text = from_html(text, lost) if re.search(_TAG, text, re.I) else html.unescape(re.sub(r"<!--.*?-->|<!doctype\b[^<>]*>", "", text, flags=re.S | re.I))
     if "wiki" in kinds:
@@ -289,27 +289,40 @@ def clean(text: str, kinds: list[str], lost: frozenset[str] = frozenset()) -> st
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
+def page_paths(text: str) -> list[tuple[str, int, int]]:
+    """``container_scores`` and, without a score, the paths that only ``clean`` meets, which reads the page without its code."""
+    scores = container_scores(text)
+    bare = _before_html(text, kinds_of(text), lambda _: "\x000\x00")
+    more = {b[0] for b in page_blocks(bare)} if bare != text.replace("\r\n", "\n") else set()
+    return scores + [(p, 0, 0) for p in sorted(more - {p for p, _, _ in scores})]
+
+
 def lost_paths(pages: DataFrame) -> DataFrame:
-    """(host, lost) of the hosts on which some container path loses the vote. ``pages`` is (key, host, text)."""
+    """(page, lost) of the pages with container paths that lose their host's vote. ``pages`` has page, host and text.
+
+    lost holds those of the page's own paths, one a line, so no host's list has to fit anywhere. Equal texts of a host are one page.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, path, own, size = [], [], [], []
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            page, host, path, own, size = [], [], [], [], []
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = t.as_py()
                 if re.search(_TAG, text, re.I):
-                    for p, a, b in container_scores(text):
+                    for p, a, b in page_paths(text):
+                        page.append(i)
                         host.append(h)
                         path.append(p)
                         own.append(a)
                         size.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(own, pa.int64()), pa.array(size, pa.int64())], names=["host", "path", "own", "size"])
+            columns = [pa.array(page, pa.string()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(own, pa.int64()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "host", "path", "own", "size"])
 
     likely = pages.where(F.col("text").rlike("<[A-Za-z/]"))
-    votes = likely.select("host", "text").mapInArrow(score, "host string, path string, own long, size long")
+    votes = durable(likely.select("page", "host", "text").mapInArrow(score, "page string, host string, path string, own long, size long"))
     sums = votes.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("size").alias("size"))
-    lost = sums.where((F.col("own") < F.lit(MIN_TEXT_SHARE) * F.col("size")) & (F.col("path") != ""))
-    return lost.groupBy("host").agg(F.collect_list("path").alias("lost")).where(F.size("lost") <= MAX_LOST)
+    lost = durable(sums.where((F.col("own") < F.lit(MIN_TEXT_SHARE) * F.col("size")) & (F.col("path") != "")).select("host", "path"))
+    return votes.join(if_small(lost), ["host", "path"]).groupBy("page").agg(F.array_join(F.collect_set("path"), "\n").alias("lost"))
 
 
 def clean_texts(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -319,10 +332,9 @@ def clean_texts(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.trim(F.col(source))), F.lit(""))
     pages = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), host.alias("host"), F.col(text).alias("text"))
-    lost = durable(lost_paths(pages))
-    size = lost.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("lost", ","))), F.lit(0))).first()[0]
-    # few hosts have lost paths; only where their list is long do the texts move to it
-    joined = pages.join(F.broadcast(lost) if size <= BROADCAST_CHARS else lost, "host", "left").select("key", "text", "lost")
+    pages = pages.withColumn("page", F.sha2(F.concat("host", F.lit("\n"), "text"), 256))
+    # few pages have lost paths; only where they are many do the texts move to them
+    joined = pages.join(if_small(durable(lost_paths(pages))), "page", "left").select("key", "text", "lost")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +343,8 @@ def clean_texts(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
                 body = t.as_py()
                 found = kinds_of(body) if body else []
                 kinds.append(found)
-                out.append(clean(body, found, frozenset(gone.as_py() or ())) if found else body)
+                paths = gone.as_py()
+                out.append(clean(body, found, frozenset(paths.split("\n") if paths else ())) if found else body)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=["key", "kinds", "text"])
 
     kind = docs.schema[key].dataType.simpleString()

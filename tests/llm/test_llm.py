@@ -270,6 +270,18 @@ def test_consensus_paths(spark):
     assert markup.clean_texts(df.limit(0), "id", "own", "body").count() == 0
 
 
+def test_any_number_of_paths_may_lose(spark, monkeypatch):
+    nav = "".join(f'<div class="n{{}}{"abcdefghijklmnopqrstuvwxyz"[k]}"><a href="/">Menu</a></div>' for k in range(26))
+    named = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03}")
+    rows = [(i, "host", nav.replace("{}", named(i)) + f"<p>Real text {i}</p>") for i in range(50)]
+    rows.append((50, "host", '```\n<div class="x">\n```\n<div class="naaaa"><a href="/">Menu</a></div><p>Real text 50</p><p>*b*</p>'))
+    df = spark.createDataFrame(rows, "id int, own string, body string")
+    want = {i: f"Real text {i}" for i in range(50)} | {50: '    <div class="x">\n\nReal text 50\n\nb'}
+    assert {r.id: r.body for r in markup.clean_texts(df, "id", "own", "body").collect()} == want
+    monkeypatch.setattr(markup, "if_small", lambda df: df)
+    assert {r.id: r.body for r in markup.clean_texts(df, "id", "own", "body").collect()} == want
+
+
 # packing
 
 
