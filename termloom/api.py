@@ -26,7 +26,7 @@ class Engine:
 
     def __init__(self, postings: DataFrame, docs: DataFrame | None = None, known: DataFrame | None = None, pagerank: DataFrame | None = None, total_docs: int | None = None) -> None:
         self.postings, self.docs, self.known, self.pagerank = postings, docs, known, pagerank
-        self.total_docs = total_docs or (docs.select("doc_key").distinct().count() if docs is not None else 0)
+        self.total_docs = total_docs or (docs.select("doc_key") if docs is not None else postings.select("url")).distinct().count()
 
     def search(self, query: str, top_n: int = TOP_N, as_of: datetime | None = None) -> search.Response:
         if not query or not query.strip():
@@ -122,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
 
     parser = argparse.ArgumentParser(description="Search an index.")
     parser.add_argument("--index", required=True)
-    parser.add_argument("--docs-total", type=int, default=1000)
+    parser.add_argument("--docs-total", type=int, default=0, help="0: as many as the index has")
     parser.add_argument("query", nargs="*")
     args = parser.parse_args(argv)
     engine = Engine(index.read(local_session(), args.index), total_docs=args.docs_total)

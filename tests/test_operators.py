@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ def test_search_scores(spark):
     assert [(r.query_id, r.url) for r in batch.collect()] == [(1, "https://engineering.fb.com/networking")]
 
 
+def test_pages_are_counted(spark):
+    from termloom.api import Engine
+
+    pages = spark.range(1200).select(F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") < 1100, "protocol").otherwise("other").alias("term"))
+    made = pages.selectExpr("term", "url", "1L AS tf", "null AS repoOwner", "array('t') AS topics", "false AS isFork", "false AS isArchived", "false AS lowContent", "null AS lastCommitDate").cache()
+    idf = round(math.log(1201 / 1101), 4)
+    for got in (search.search("protocol", made), Engine(made).search("protocol")):
+        assert got.totalMatches == 1100 and got.results[0]["termDetails"]["protocol"]["idf"] == idf and got.results[0]["breakdown"]["tfidf"] == 1.0
+
+
 def test_recency_and_penalties(spark):
     rows = spark.createDataFrame([("2025-01-01",), ("2023-07-03T12:00:00Z",), ("last week",), (None,), ("2028-01-01",), ("1999-01-01",), ("2025-13-99",)], "d string")
     got = [r[0] for r in rows.select(F.round(search.recency(F.col("d"), F.lit("2025-01-01").cast("timestamp")), 4)).collect()]
