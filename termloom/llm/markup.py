@@ -86,6 +86,7 @@ _LATEX = re.compile(
     re.M | re.S,
 )
 _FENCED = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n]*\n(.*?)^[ ]{0,3}\1[`~]*[ \t]*\r?$\n?", re.M | re.S)
+_CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 
 
 def kinds_of(text: str) -> list[str]:
@@ -106,6 +107,7 @@ _BLOCK = frozenset("address article aside blockquote body center dd details div
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK_TAG = re.compile(r"<(?:" + "|".join(sorted(_BLOCK - {"hr"})) + r")(?=[\s>])", re.I)
 _SILENT = frozenset(["script", "style", "template"])
+_SILENT_TAG = re.compile(r"<(/?)(" + "|".join(sorted(_SILENT)) + r")(?=[\s/>])[^<>]*>", re.I)
 
 
 class _Page(HTMLParser):
@@ -162,8 +164,24 @@ class _Page(HTMLParser):
         self.handle_data(data)
 
 
+def _closed(text: str) -> str:
+    """``text`` without the script, style and template tags that no closing tag answers: what follows them is text."""
+    waiting: dict[str, list[re.Match]] = {name: [] for name in _SILENT}
+    for m in _SILENT_TAG.finditer(text):
+        if not m[1]:
+            waiting[m[2].lower()].append(m)
+        elif waiting[m[2].lower()]:
+            waiting[m[2].lower()].pop()
+    kept, start = [], 0
+    for a, b in sorted(m.span() for ms in waiting.values() for m in ms):
+        kept.append(text[start:a])
+        start = b
+    return "".join(kept) + text[start:]
+
+
 def page_blocks(text: str) -> list[list]:
     """The page's blocks. What only looks like a tag stays as text."""
+    text = _closed(text)
     page = _Page(len(_BLOCK_TAG.findall(text)) < 3)
     page.feed(re.sub(r"<(?!!--|!doctype\b|/?(?:" + "|".join(TAGS) + r")(?=[\s/>])[^<>]*>)", "&lt;", text, flags=re.I))
     page.close()
@@ -241,7 +259,7 @@ def from_latex(text: str, keep) -> str:
 
 def from_markdown(text: str, keep) -> str:
     text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2].replace("\r", "")) + "\n") + "\n", text)
-    text = re.sub(r"(?<!`)`([^`\n]+)`(?!`)", lambda m: keep(m[1]), text)
+    text = _CODE.sub(lambda m: keep(m[1]), text)
     text = re.sub(r"^[ ]{0,3}\[\^[^\[\]\s]+\]:[ \t]*", "", text, flags=re.M)
     text = re.sub(r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S[^\n]*\n?", "", text, flags=re.M)
     text = re.sub(r"\[\^[^\[\]\s]+\]", "", text)
@@ -264,7 +282,9 @@ def _before_html(text: str, kinds: list[str], keep) -> str:
     text = text.replace("\x00", "").replace("\r\n", "\n")
     if "markdown" in kinds:
         text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2]) + "\n") + "\n", text)
-    return from_latex(text, keep) if "latex" in kinds else text
+    if "latex" in kinds:
+        text = from_latex(text, keep)
+    return _CODE.sub(lambda m: keep(m[1]), text) if "markdown" in kinds else text
 
 
 def clean(text: str, kinds: list[str], lost: frozenset[str] = frozenset()) -> str:

@@ -260,6 +260,17 @@ def test_clean_keeps_structure():
     assert c("plain * text\r\n") == "plain * text\r\n"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Put it in a `<script>` block. Then save.\n\nMore.", "Put it in a <script> block. Then save.\n\nMore."), ("A <script> block.\n<p>More</p>", "A  block.\n\nMore\n"), ("See `<b>` and *this* <i>one</i>", "See <b> and this one"),
+        ("Use <style> so.<br>Then <style>p {}</style> and <template>a<template>b</template>c</template> end", "Use  so.\nThen  and  end"), ("<p>a</p><script>var x = '<b>';</script><p>b</p>", "a\n\nb"),
+    ],
+)
+def test_silent_only_where_closed(text, want):
+    assert markup.clean(text, markup.kinds_of(text)) == want.strip("\n")
+
+
 def test_consensus_paths(spark):
     page = '<div class="nav1"><a href="/a">Home</a> <a href="/b">Docs</a></div><div class="main"><p>Real text {}</p></div>'
     rows = [(f"p{i}", "Host", page.format(i).replace("nav1", f"nav{i}")) for i in range(6)] + [("n", "host", None), (None, "host", "x"), ("e", None, ""), ("p0", "host", page.format(0)), ("l", "host", "<b>" + "word " * 50_000)]
