@@ -14,7 +14,6 @@ from termloom.llm.ranks import grouped_ranks
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_line_share", "common_word_share", "sentence_share")
 #: A text at least half of whose non-blank characters stand in complete sentences is natural prose.
 MIN_SENTENCES = 0.5
-SMALL_LANGUAGE = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
@@ -142,20 +141,17 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id
 
 
 def quality(stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds outlier and natural to ``text_statistics``.
+    """Adds outlier, n_total and natural to ``text_statistics``.
 
     outlier sums, over the statistics, -ln of the two-sided empirical tail probability within the language: the share
-    of its texts at or beyond the value, on the nearer side, doubled and at most 1. Ties share their rank. Languages of
-    under ``SMALL_LANGUAGE`` texts are ranked together. natural is true if the text's sentences hold enough of it.
+    of its texts at or beyond the value, on the nearer side, doubled and at most 1. Ties share their rank. n_total is
+    the number of the language's texts: the fewer, the less its outlier says. natural is true if the text's sentences hold enough of it.
     """
-    sizes = stats.groupBy("language").count().where(F.col("count") >= SMALL_LANGUAGE)
-    large = [r[0] for r in sizes.select("language").collect()]  # two-letter codes: at most 677
-    stats = stats.withColumn("language", F.when(F.col("language").isin(large), F.col("language")).otherwise("other"))
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(STATISTICS)]))
     long = stats.select("language", each.alias("e")).select("language", "e.k", "e.v")
     ranks = grouped_ranks(long, ["language", "k"], ["v"])
     tail = F.least((F.col("n_less") + F.col("n_equal")) / F.col("n_total"), (F.col("n_total") - F.col("n_less")) / F.col("n_total"))
-    scored = ranks.select("language", "k", "v", (-F.log(F.least(F.lit(1.0), 2 * tail))).alias("nats"))
+    scored = ranks.select("language", "k", "v", "n_total", (-F.log(F.least(F.lit(1.0), 2 * tail))).alias("nats"))
     rows = stats.select(key, "language", each.alias("e")).select(key, "language", "e.k", "e.v")
-    score = rows.join(scored, ["language", "k", "v"]).groupBy(key).agg(F.sum("nats").alias("outlier"))
+    score = rows.join(scored, ["language", "k", "v"]).groupBy(key).agg(F.sum("nats").alias("outlier"), F.max("n_total").alias("n_total"))
     return stats.join(score, key).withColumn("natural", F.col("sentence_share") >= MIN_SENTENCES)

@@ -389,6 +389,15 @@ def test_quality(spark):
     assert quality.quality(quality.text_statistics(df.limit(0), spark.createDataFrame(COMMON, "lang string, word string"))).count() == 0
 
 
+def test_each_language_is_ranked_by_itself(spark):
+    rows = [(i, PROSE + f" And the number of maps is {i}.", "en") for i in range(8)] + [(i, "der die das " * (i - 7), "de") for i in range(8, 11)] + [(11, PROSE, None)]
+    stats = quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(COMMON, "lang string, word string"))
+    got = {r.doc_id: r for r in quality.quality(stats).collect()}
+    assert {(r.language, r.n_total) for r in got.values()} == {("en", 8), ("de", 3), ("und", 1)}
+    # n_words differs in all three German texts, the rest is equal: two of them have a tail of a third
+    assert [got[i].outlier for i in (8, 9, 10, 11)] == pytest.approx([-math.log(2 / 3), 0, -math.log(2 / 3), 0])
+
+
 def test_found_where_a_third_is_one_junk_text(spark, tmp_path):
     from termloom.llm import queries
 
