@@ -16,12 +16,12 @@ CAPACITY = 2048
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+    at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", rate=None)
     return at.select(F.col("key").alias("doc_key"), F.col("line_no").cast("int").alias("line_no"))
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.without_repeated_lines(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
+    return repeated_lines.without_repeated_lines(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", rate=None)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

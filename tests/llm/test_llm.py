@@ -125,6 +125,16 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_positions(df.limit(0), "id", "own", "body").count() == 0
 
 
+@pytest.mark.parametrize("owners", [1, 3])
+def test_lines_of_every_owner_are_found(spark, tmp_path, owners):
+    from termloom.llm import queries
+
+    rows = [(f"p{i}", f"o{i % owners}", f"All rights belong to the Example Guild\nUnlike text {'xyz'[i % 3] * (i + 1)} for the others") for i in range(15)]
+    spark.createDataFrame(rows, "doc_key string, repoOwner string, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    assert {(r.doc_key, r.line_no) for r in queries.p1_found(spark, str(tmp_path)).collect()} == {(r[0], 1) for r in rows}
+    assert {(r.doc_key, r.n_removed) for r in queries.p1_clean(spark, str(tmp_path)).collect()} == {(r[0], 1) for r in rows}
+
+
 def test_tail_and_step_up(spark):
     xs = [0.0, 0.5, 3.841459, 6.634897, 30.0, 200.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(repeated_lines._tail(F.col("x"))).collect()]
