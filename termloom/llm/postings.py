@@ -21,20 +21,23 @@ def latest_tf(postings: DataFrame, term: str = "term", url: str = "url", tf: str
     """(term, url, tf): the state with the latest ``at`` for each term and url.
 
     Rows with a null or empty term or a null url are left out; a null tf counts as 1; a null ``at`` is older
-    than any other. Of several states at the same time the greatest tf below 2 048 wins. Rows of the urls that
-    hold much of the table are combined map-side and exchanged by (url, term), the others are exchanged by url
-    alone, where a page's rows lie together and compress. The state is written once for its several readers.
+    than any other. Of several states at the same time the greatest tf wins. Rows of the urls that hold much of
+    the table are combined map-side and exchanged by (url, term), the others are exchanged by url alone, where a
+    page's rows lie together and compress. The state is written once for its several readers.
     """
     rows = postings.where((F.length(term) > 0) & F.col(url).isNotNull())
     value = F.coalesce(F.col(tf).cast("bigint"), F.lit(1).cast("bigint"))
-    # time in microseconds above, tf below: one number, so that the aggregation keeps fixed-width buffers
-    order = F.shiftleft(F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(0).cast("bigint")), 11).bitwiseOR(F.greatest(F.lit(0), F.least(value, F.lit(2047))))
-    rows = rows.select(F.col(term).alias("term"), F.col(url).alias("url"), value.alias("tf"), order.alias("o"))
+    moment = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**63)).cast("bigint"))
+    rows = rows.select(F.col(term).alias("term"), F.col(url).alias("url"), value.alias("tf"), moment.alias("o"))
     parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // ROWS_A_PART)
     heavy = F.broadcast(heavy_keys(postings, url).select(F.col(url).alias("url")))
-    of_heavy = rows.join(heavy, "url", "left_semi").groupBy("url", "term").agg(F.max_by("tf", "o").alias("tf"))
-    of_light = rows.join(heavy, "url", "left_anti").repartition(parts, "url").groupBy("url", "term").agg(F.max_by("tf", "o").alias("tf"))
-    return durable(of_heavy.unionByName(of_light))
+    return durable(_last(rows.join(heavy, "url", "left_semi")).unionByName(_last(rows.join(heavy, "url", "left_anti").repartition(parts, "url"))))
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """Two steps with fixed-width buffers, by time and then over the times: one step over (time, tf) structs would have to sort."""
+    by_time = rows.groupBy("url", "term", "o").agg(F.max("tf").alias("tf"))
+    return by_time.groupBy("url", "term").agg(F.max_by("tf", "o").alias("tf"))
 
 
 def _local_counts(size: int):
@@ -82,7 +85,7 @@ def term_marks(state: DataFrame, rare: int, common: float) -> DataFrame:
 
 
 def association(state: DataFrame, exponent: float = 0.75) -> DataFrame:
-    """(url, term, tf, records, ppmi) over a (term, url, tf) state.
+    """(url, term, tf, records, pmi, ppmi) over a (term, url, tf) state; pmi is the score before negative ones become 0, null for a tf of 0.
 
     ppmi = max(0, ln(p(term, url) / (p(term) * p'(url)))), p' being the urls' shares after raising their counts
     to ``exponent``, which keeps small records from inflating every score. records counts the urls of the term.
@@ -93,7 +96,13 @@ def association(state: DataFrame, exponent: float = 0.75) -> DataFrame:
     smooth = F.lit(urls.agg(F.coalesce(F.sum(F.pow("of_url", F.lit(exponent))), F.lit(0.0))).first()[0])
     both = state.select("url", "term", "tf").join(if_small(terms), "term").join(if_small(urls), "url")
     ratio = F.col("tf") * smooth / (F.col("of_term") * F.pow("of_url", F.lit(exponent)))
-    return both.select("url", "term", "tf", "records", F.when(F.col("tf") > 0, F.greatest(F.lit(0.0), F.log(ratio))).otherwise(0.0).alias("ppmi"))
+    scored = both.select("url", "term", "tf", "records", F.when(F.col("tf") > 0, F.log(ratio)).alias("pmi"))
+    return scored.withColumn("ppmi", F.coalesce(F.greatest(F.lit(0.0), F.col("pmi")), F.lit(0.0)))
+
+
+def score_at(tf: int) -> Column:
+    """The ppmi that a row of ``association`` would have with ``tf`` occurrences: what is left of the score's bound once term and record are fixed."""
+    return F.greatest(F.lit(0.0), F.col("pmi") + F.log(F.lit(float(tf)) / F.col("tf")))
 
 
 def text_terms(docs: DataFrame, key: str, words: Column) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.ranks import grouped_ranks
+from termloom.durable import durable, if_small
+from termloom.llm.ranks import ROWS_A_PART, row_ranks
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_line_share", "common_word_share", "sentence_share")
 #: A text at least half of whose non-blank characters stand in complete sentences is natural prose.
@@ -47,6 +48,32 @@ def _prose(piece: str, common: frozenset[str]) -> bool:
     return sum(map(common.__contains__, words)) >= max(1, 0.05 * len(words)) or len(_HAN.findall(piece)) >= max(5, 0.4 * size)
 
 
+def _longest_prose(lines: list[str], common: frozenset[str]) -> int | None:
+    """The first line, from the second on, from which the lines to the end read like prose. Counts grow line by line from the end, so it is linear."""
+    found, size, letters, n, known, han = None, 0, 0, 0, 0, 0
+    words: set[str] = set()
+    signs: set[str] = set()
+    for k in range(len(lines) - 1, 0, -1):
+        own, own_han = _WORD.findall(lines[k]), _HAN.findall(lines[k])
+        size += _bare(lines[k])
+        letters += sum(map(len, own))
+        n += len(own)
+        own = [w.lower() for w in own]
+        known += sum(map(common.__contains__, own))
+        words.update(own)
+        han += len(own_han)
+        signs.update(own_han)
+        if letters < 0.8 * size:
+            continue
+        if n < 4 or size > 12 * n:
+            good = han >= max(5, 0.4 * size) and len(signs) >= 0.4 * han
+        else:
+            good = len(words) >= _REPEATS * n and (known >= max(1, 0.05 * n) or han >= max(5, 0.4 * size))
+        if good:
+            found = k
+    return found
+
+
 def sentence_characters(text: str, common: frozenset[str]) -> int:
     """The non-blank characters of ``text`` that stand in complete sentences.
 
@@ -75,11 +102,8 @@ def sentence_characters(text: str, common: frozenset[str]) -> int:
                 if not good and "\n" in piece:
                     # headings above a sentence: the sentence may begin at a later line
                     lines = piece.split("\n")
-                    for k in range(1, len(lines)):
-                        piece = "\n".join(lines[k:])
-                        if _prose(piece, common):
-                            good = True
-                            break
+                    k = _longest_prose(lines, common)
+                    good, piece = k is not None, "\n".join(lines[k:])
                 elif good and "\n" in piece:
                     piece = _without_headings(piece, common)
                 if good:
@@ -140,18 +164,44 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id
     return rows.mapInArrow(measure, kinds)
 
 
+def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ...], cut: tuple[str, float]) -> DataFrame:
+    """Adds n_total, outlier and bound to ``rows``, whose keys are distinct.
+
+    For each statistic the empirical-cumulative tail probabilities of the row's value within its group are the shares
+    of the group's rows at or below it (left) and at or above it (right); equal values share them. The outlier score is
+    the greatest of three sums of -ln over the statistics: all left tails, all right tails, and for each statistic the
+    tail on the longer side of its distribution (by its skewness). A null statistic ranks below all values.
+
+    ``cut`` names a statistic and a limit. No row of a group whose value lies under the limit can score less than
+    ``bound``, -ln of the share of such rows: that is its left tail at most, and no term of a sum is negative. A group
+    without such rows has a null bound.
+    """
+    n, (cut_by, limit) = len(statistics), cut
+    stats = durable(rows.select(F.col(key).alias("_id"), F.col(group).alias("_g"), *[(F.col(s).cast("double") + F.lit(0.0)).alias(f"_s{i}") for i, s in enumerate(statistics)]))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), stats.count() * n // ROWS_A_PART)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_s{i}").alias("v")) for i in range(n)]))
+    ranked = row_ranks(stats.select("_id", "_g", each.alias("e")).select("_id", "_g", "e.k", "e.v"), ["_g", "k"], ["v"], parts)
+    left = -F.log((F.col("n_less") + F.col("n_equal")) / F.col("n_total"))
+    right = -F.log((F.col("n_total") - F.col("n_less")) / F.col("n_total"))
+    at = lambda i, x: F.max(F.when(F.col("k") == i, x))
+    tails = ranked.groupBy("_id", "_g").agg(F.max("n_total").alias("n_total"), F.array(*[at(i, left) for i in range(n)]).alias("left"), F.array(*[at(i, right) for i in range(n)]).alias("right"))
+    skews = [F.coalesce(F.skewness(f"_s{i}"), F.lit(0.0)) < 0 for i in range(n)]
+    low = F.coalesce(F.col(f"_s{statistics.index(cut_by)}"), F.lit(float("-inf"))) < limit
+    groups = durable(stats.groupBy("_g").agg(F.array(*skews).alias("to_left"), F.count_if(low).alias("n_low"), F.count(F.lit(1)).alias("n")))
+    scored = tails.alias("x").join(if_small(groups).alias("y"), F.col("x._g").eqNullSafe(F.col("y._g")))
+    longer = F.transform(F.arrays_zip("left", "right", "to_left"), lambda t: F.when(t["to_left"], t["left"]).otherwise(t["right"]))
+    outlier = F.greatest(*[F.aggregate(side, F.lit(0.0), lambda a, x: a + x) for side in (F.col("left"), F.col("right"), longer)])
+    bound = F.when(F.col("n_low") > 0, -F.log(F.col("n_low") / F.col("n")))
+    return rows.join(scored.select(F.col("_id").alias(key), "n_total", outlier.alias("outlier"), bound.alias("bound")), key)
+
+
 def quality(stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds outlier, n_total and natural to ``text_statistics``.
+    """Adds n_total, outlier, bound and natural to ``text_statistics``; see ``tail_scores``, by language.
 
-    outlier sums, over the statistics, -ln of the two-sided empirical tail probability within the language: the share
-    of its texts at or beyond the value, on the nearer side, doubled and at most 1. Ties share their rank. n_total is
-    the number of the language's texts: the fewer, the less its outlier says. natural is true if the text's sentences hold enough of it.
+    A text is a candidate for junk if its score reaches the bound of its language, which no text with too few
+    sentences can miss, even where one junk text fills a third of the language; of the candidates those whose
+    sentences hold under half of the text are not natural.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(s).alias("v")) for i, s in enumerate(STATISTICS)]))
-    long = stats.select("language", each.alias("e")).select("language", "e.k", "e.v")
-    ranks = grouped_ranks(long, ["language", "k"], ["v"])
-    tail = F.least((F.col("n_less") + F.col("n_equal")) / F.col("n_total"), (F.col("n_total") - F.col("n_less")) / F.col("n_total"))
-    scored = ranks.select("language", "k", "v", "n_total", (-F.log(F.least(F.lit(1.0), 2 * tail))).alias("nats"))
-    rows = stats.select(key, "language", each.alias("e")).select(key, "language", "e.k", "e.v")
-    score = rows.join(scored, ["language", "k", "v"]).groupBy(key).agg(F.sum("nats").alias("outlier"), F.max("n_total").alias("n_total"))
-    return stats.join(score, key).withColumn("natural", F.col("sentence_share") >= MIN_SENTENCES)
+    scored = tail_scores(stats, key, "language", STATISTICS, ("sentence_share", MIN_SENTENCES))
+    junk = F.coalesce(F.col("outlier") >= F.col("bound"), F.lit(False)) & (F.col("sentence_share") < MIN_SENTENCES)
+    return scored.withColumn("natural", ~junk)

@@ -47,12 +47,14 @@ def p5_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = postings.association(postings.latest_tf(load(spark, sf_dir, "postings")))
-    return scored.withColumn("ppmi", F.round("ppmi", 6))
+    return scored.drop("pmi").withColumn("ppmi", F.round("ppmi", 6))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = postings.association(postings.latest_tf(load(spark, sf_dir, "postings")))
-    return scored.where("tf >= 5 AND records BETWEEN 2 AND 8").select("url", "term")
+    # candidates by their score: none with five occurrences can have less. Of these, those in 2 to 8 records
+    likely = scored.where(F.col("ppmi") >= postings.score_at(5))
+    return likely.where("tf >= 5 AND records BETWEEN 2 AND 8").select("url", "term")
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.durable import durable
-from termloom.llm.ranks import grouped_ranks, null_safe_join
+from termloom.llm.ranks import ROWS_A_PART, row_ranks
 
 
 def inverse_normal(p: Column) -> Column:
@@ -45,15 +45,20 @@ def fused_ranking(rows: DataFrame, group: str, item: str, scores: list[str], at:
     counts the items of the group with a strictly greater value.
     """
     weights = weights or [1.0] * len(scores)
-    now = latest(rows, group, item, scores, at).toDF("_g", "_i", *[f"_s{i}" for i in range(len(scores))])
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_s{i}").alias("v")) for i in range(len(scores))]))
-    long = now.select("_g", "_i", each.alias("e")).select("_g", "_i", "e.k", "e.v")
-    ranked = null_safe_join(long, grouped_ranks(long, ["_g", "k"], ["v"]), ["_g", "k", "v"])
+    now = durable(latest(rows, group, item, scores, at).toDF("_g", "_i", *[f"_s{i}" for i in range(len(scores))]))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), now.count() * len(scores) // ROWS_A_PART)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"_s{i}") + F.lit(0.0)).alias("v")) for i in range(len(scores))]))
+    ranked = row_ranks(now.select("_g", "_i", each.alias("e")).select("_g", "_i", "e.k", "e.v"), ["_g", "k"], ["v"], parts)
     p = (F.col("n_less") + F.col("n_equal") / 2) / F.col("n_total")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("k") + 1)
     greater = [F.max(F.when(F.col("k") == i, F.col("n_total") - F.col("n_less") - F.col("n_equal"))).alias(f"greater_{s}") for i, s in enumerate(scores)]
-    fused = ranked.groupBy("_g", "_i").agg(F.round(F.sum(weight * inverse_normal(p)) / sum(weights), 9).alias("fused"), *greater)
+    # summed in the order of the scores: a sum in the order of arrival would differ in its last digits from run to run
+    part = [F.max(F.when(F.col("k") == i, weight * inverse_normal(p))).alias(f"_z{i}") for i in range(len(scores))]
+    total: Column = F.col("_z0")
+    for i in range(1, len(scores)):
+        total = total + F.col(f"_z{i}")
+    fused = ranked.groupBy("_g", "_i").agg(*part, *greater)
+    fused = fused.select("_g", "_i", F.round(total / sum(weights), 9).alias("fused"), *[f"greater_{s}" for s in scores])
     fused = durable(fused.withColumn("_down", -F.col("fused")))
-    order = grouped_ranks(fused, ["_g"], ["_down", "_i"]).select("_g", "_i", (F.col("n_less") + 1).alias("position"))
-    out = fused.join(order, ["_g", "_i"])
-    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), "fused", "position", *[f"greater_{s}" for s in scores])
+    out = row_ranks(fused, ["_g"], ["_down", "_i"], max(1, parts // len(scores)))
+    return out.select(F.col("_g").alias(group), F.col("_i").alias(item), "fused", (F.col("n_less") + 1).alias("position"), *[f"greater_{s}" for s in scores])

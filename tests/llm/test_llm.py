@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.llm import markup, mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, shingles, tokens
-from termloom.llm.ranks import grouped_ranks
+from termloom.llm.ranks import row_ranks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -208,14 +208,17 @@ def test_text_terms(spark):
 # ranks and fusion
 
 
-def test_grouped_ranks(spark):
+@pytest.mark.parametrize("parts", [1, 3, 13])
+def test_row_ranks(spark, parts):
     rng = random.Random(3)
-    rows = [(g, rng.choice([None, 1.0, 2.0, 2.0, float(rng.randrange(50)), float("nan")])) for g in ["a"] * 300 + ["b"] * 20 + [None] * 5]
-    got = {(r.g, r.v if r.v == r.v else "nan"): (r.n_less, r.n_equal, r.n_total) for r in grouped_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], ["v"]).collect()}
+    rows = [(g, rng.choice([None, 1.0, 2.0, 2.0, float(rng.randrange(50)), float("nan")])) for g in ["a"] * 300 + ["b"] * 20 + [None] * 5 + [f"g{k}" for k in range(40)]]
+    got = row_ranks(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, v double, i int"), ["g"], ["v"], parts).collect()
+    assert sorted(r.i for r in got) == list(range(len(rows)))
     place = lambda v: (-1, 0) if v is None else (1, 0) if v != v else (0, v)
-    for g, v in rows:
-        own = [place(x) for h, x in rows if h == g]
-        assert got[g, "nan" if v is not None and v != v else v] == (sum(x < place(v) for x in own), own.count(place(v)), len(own))
+    for r in got:
+        own = [place(x) for h, x in rows if h == r.g]
+        assert (r.n_less, r.n_equal, r.n_total) == (sum(x < place(r.v) for x in own), own.count(place(r.v)), len(own))
+    assert row_ranks(spark.createDataFrame([], "g string, v double"), ["g"], ["v"]).count() == 0
 
 
 def test_inverse_normal(spark):
@@ -404,8 +407,26 @@ def test_each_language_is_ranked_by_itself(spark):
     stats = quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(COMMON, "lang string, word string"))
     got = {r.doc_id: r for r in quality.quality(stats).collect()}
     assert {(r.language, r.n_total) for r in got.values()} == {("en", 8), ("de", 3), ("und", 1)}
-    # n_words differs in all three German texts, the rest is equal: two of them have a tail of a third
-    assert [got[i].outlier for i in (8, 9, 10, 11)] == pytest.approx([-math.log(2 / 3), 0, -math.log(2 / 3), 0])
+    # n_words differs in all three German texts, the rest is equal: the shortest and the longest have a tail of a third
+    assert [got[i].outlier for i in (8, 9, 10, 11)] == pytest.approx([math.log(3), -math.log(2 / 3), math.log(3), 0])
+    assert [got[i].bound for i in (0, 8, 11)] == [None, 0, None] and [i for i, r in got.items() if not r.natural] == [8, 9, 10]
+
+
+def test_long_list_is_read_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert quality.sentence_characters("green client\n" * 60_000 + "the end.", frozenset(["the"])) == 0
+    assert time.perf_counter() - began < 10
+
+
+def test_longest_prose_equals_trying_each_line():
+    rng = random.Random(4)
+    common = frozenset(w for _, w in COMMON)
+    words = ["the", "and", "map", "Hall", "x", "12", "==", "vector", "的", "个"]
+    for _ in range(300):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 9))]
+        assert quality._longest_prose(lines, common) == next((k for k in range(1, len(lines)) if quality._prose("\n".join(lines[k:]), common)), None)
 
 
 def test_found_where_a_third_is_one_junk_text(spark, tmp_path):
