@@ -54,14 +54,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, limit: int = 16_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it measures at most ``limit`` bytes (strings, and 40 bytes a row), else as it is, to be joined by exchange.
-
-    ``df`` is read once to measure it, so it should be a durable one.
-    """
+def measures_small(df: DataFrame, limit: int = 16_000_000) -> bool:
+    """Whether ``df`` has at most ``limit`` bytes (strings, and 40 bytes a row). It is read once for that, so it should be a durable one."""
     strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
     each = F.lit(40)
     for s in strings:
         each = each + s
-    size = df.agg(F.sum(each.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return (df.agg(F.sum(each.cast("bigint"))).first()[0] or 0) <= limit
+
+
+def if_small(df: DataFrame, limit: int = 16_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it measures small, else as it is, to be joined by exchange."""
+    return F.broadcast(df) if measures_small(df, limit) else df
