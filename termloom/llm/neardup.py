@@ -353,19 +353,20 @@ def alike_pairs(docs: DataFrame, key: str, text: str, width: int = WIDTH, thresh
 
 
 def alike_groups(docs: DataFrame, key: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each key: ``class_id`` of its words, ``group_id`` of the texts alike over any number of steps,
-    ``n_links`` to different texts and ``n_copies`` of keys with its words (itself included).
+    """One row for each key: ``class_id``, the least key with its words, ``group_id``, the least key of the texts alike
+    over any number of steps, ``n_links`` to different texts and ``n_copies`` of keys with its words (itself included).
 
     Texts under ``width`` words have no token and are alike only to copies; texts without words, null
     ones too, are copies of one another. A null key has no row.
     """
     rows = durable(classes_of(docs, key, text, 0))
     links = durable(alike_classes(rows.where(word_count(F.col("words")) >= width), width, threshold).select("a", "b"))
-    group = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     members = rows.select("key", "cls").distinct()
-    copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"))
-    info = copies.join(degree, "cls", "left").join(group.withColumnRenamed("node", "cls"), "cls", "left")
+    named = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"), F.min("key").alias("class_id"))
+    group = components(links).withColumnRenamed("node", "cls").join(named.select("cls", "class_id"), "cls")
+    group_id = group.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    info = named.join(degree, "cls", "left").join(group.select("cls", "component").join(group_id, "component"), "cls", "left")
     return members.join(info, "cls").select(
-        F.col("key").alias(key), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
+        F.col("key").alias(key), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
     )

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from termloom.durable import durable
 
-SHARD_ITEMS = 5_000
+SHARD_ITEMS = 2_500
 FULL = 0.99  # a bin this full is done
+LEAST_GAIN = 0.001  # rounds go on while each saves at least this share of the underfull containers
 
 
 def fill_bins(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -38,54 +39,74 @@ def fill_bins(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _better(x: int, room: int, others: list[tuple[int, int]], pairs: list[tuple[int, int, int]]) -> tuple[int, ...] | None:
-    """What to give for item size ``x`` to a bin with ``room``: the least size that makes it fit, as one or two items."""
-    at = bisect.bisect_left(others, (x - room, -1))
-    one = others[at] if at < len(others) and others[at][0] < x else None
-    at = bisect.bisect_left(pairs, (x - room, -1, -1))
-    two = pairs[at] if at < len(pairs) and pairs[at][0] < x else None
-    if one and (not two or one[0] <= two[0]):
-        return (one[1],)
-    return two[1:] if two else None
+def _lesser(x: int, room: int, own: list[tuple[int, int]]) -> tuple[int, ...] | None:
+    """What a bin with ``room`` gives for item size ``x``: its least one or two items that make ``x`` fit and are less. ``own`` is sorted."""
+    need = x - room
+    at = bisect.bisect_left(own, (need, -1))
+    best, items = (own[at][0], (own[at][1],)) if at < len(own) else (x, None)
+    if best == need:
+        return items
+    low, high = 0, len(own) - 1
+    while low < high:  # two pointers: linear in the bin's items, however many
+        both = own[low][0] + own[high][0]
+        if both < need:
+            low += 1
+        else:
+            if both < best:
+                best, items = both, (own[low][1], own[high][1])
+            high -= 1
+    return items if best < x else None
 
 
 def empty_bins(bins: list[list[int]], sizes: list[int], capacity: int, full: float = FULL) -> list[list[int]]:
-    """Local search over the bins under ``full``; each step raises the sum of squared fills, so it ends."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    open_ = [b for b in range(len(bins)) if fill[b] < full * capacity]
+    """Local search over the bins under ``full``: moves, exchanges of one for one and two for one.
+
+    Each step goes from the emptiest bin on and raises the sum of squared fills, so it ends. Bins keep their items
+    sorted; a step changes two of them, and only bins that changed since are looked at again.
+    """
+    kept = [b for b in bins if sum(sizes[i] for i in b) >= full * capacity]
+    held = [sorted((sizes[i], i) for i in b) for b in bins if sum(sizes[i] for i in b) < full * capacity]
+    fill = [sum(s for s, _ in b) for b in held]
+    live = {b for b in range(len(held)) if held[b]}
+    clock, touched, looked = 1, [1] * len(held), [0] * len(held)  # when a bin last changed, and when last none took its items
     changed = True
-    while changed and len(open_) > 1:
+    while changed and len(live) > 1:
         changed = False
-        open_.sort(key=lambda b: (fill[b], b))
-        for victim in open_:
-            for x in sorted(bins[victim], key=lambda i: -sizes[i]):
+        for victim in sorted(live, key=lambda b: (fill[b], b)):
+            for x in sorted(held[victim], reverse=True):
                 best = None
-                for b in open_:
-                    if b == victim or fill[b] < fill[victim] or fill[b] >= capacity:
+                for b in live:
+                    if b == victim or fill[b] < fill[victim] or fill[b] >= capacity or looked[victim] >= max(touched[b], touched[victim]):
                         continue
                     room = capacity - fill[b]
-                    if sizes[x] <= room:
-                        give: tuple[int, ...] | None = ()
-                    else:
-                        own = sorted((sizes[i], i) for i in bins[b])
-                        pairs = sorted((own[p][0] + own[q][0], own[p][1], own[q][1]) for p in range(len(own)) for q in range(p)) if len(own) <= 64 else []
-                        give = _better(sizes[x], room, own, pairs)
+                    give = () if x[0] <= room else _lesser(x[0], room, held[b])
                     if give is not None:
-                        gain = sizes[x] - sum(sizes[i] for i in give)
-                        rise = (fill[b] + gain) ** 2 + (fill[victim] - gain) ** 2 - fill[b] ** 2 - fill[victim] ** 2
-                        if rise > 0 and (best is None or rise > best[0]):
-                            best = (rise, b, give, gain)
+                        gain = x[0] - sum(sizes[i] for i in give)
+                        rise = gain * (fill[b] - fill[victim] + gain)
+                        if best is None or (rise, -b) > best[:2]:
+                            best = (rise, -b, give, gain)
                 if best:
                     _, b, give, gain = best
-                    bins[victim] = [i for i in bins[victim] if i != x] + list(give)
-                    bins[b] = [i for i in bins[b] if i not in give] + [x]
+                    b = -b
+                    held[victim].remove(x)
+                    for i in give:
+                        held[b].remove((sizes[i], i))
+                        bisect.insort(held[victim], (sizes[i], i))
+                    bisect.insort(held[b], x)
                     fill[b] += gain
                     fill[victim] -= gain
+                    clock += 1
+                    touched[b] = touched[victim] = clock
                     changed = True
+                    if not held[victim] or fill[b] >= full * capacity:
+                        live -= {v for v in (victim, b) if not held[v] or fill[v] >= full * capacity}
+                    if not held[victim]:
+                        break
+            if not changed:
+                looked[victim] = clock
             if changed:
                 break
-        open_ = [b for b in open_ if bins[b] and fill[b] < full * capacity]
-    return [b for b in bins if b]
+    return kept + [[i for _, i in b] for b in held if b]
 
 
 def pack_shard(sizes: list[int], capacity: int, full: float = FULL) -> list[list[int]]:
@@ -104,14 +125,14 @@ def pieces(sized: DataFrame, size: str, capacity: int) -> DataFrame:
 
 def _filler(step: int, capacity: int):
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "piece", "piece_size"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values("item", kind="stable").reset_index(drop=True)
         sizes = [int(s) for s in frame["piece_size"]]
         name, open_ = np.empty(len(sizes), object), np.zeros(len(sizes), bool)
         for k, b in enumerate(pack_shard(sizes, capacity)):
             under = sum(sizes[i] for i in b) < FULL * capacity
             for i in b:
                 name[i], open_[i] = f"{step}-{frame['shard'].iat[0]}-{k}", under
-        return frame.assign(container=name, under=open_)[["key", "size", "piece", "piece_size", "container", "under"]]
+        return frame.assign(container=name, under=open_)[["key", "size", "piece", "piece_size", "item", "container", "under"]]
 
     return fill
 
@@ -119,24 +140,39 @@ def _filler(step: int, capacity: int):
 def pack(sized: DataFrame, key: str, size: str, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(key, size, piece, piece_size, container): every item's pieces with the container that holds each.
 
-    Rows with equal keys are items of their own. Which items meet depends on keys and sizes only.
+    Rows with equal keys are items of their own, and are spread over the shards as others are: what meets is drawn by
+    a number that each piece gets when the pieces are written.
     """
+    spark = sized.sparkSession
     kind = sized.schema[key].dataType.simpleString()
-    cut = durable(pieces(sized.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")), "size", capacity))
-    whole = cut.where(F.col("piece_size") == capacity).withColumn("container", F.concat(F.lit("w-"), F.hex(F.xxhash64("key", "piece")), F.lit("-"), F.monotonically_increasing_id()))
-    done = [whole]
+    cut = pieces(sized.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")), "size", capacity)
+    cut = durable(cut.withColumn("item", F.monotonically_increasing_id()))
+    columns = ["key", "size", "piece", "piece_size", "container"]
+    done = [cut.where(F.col("piece_size") == capacity).withColumn("container", F.concat(F.lit("w-"), "item")).select(columns)]
     rest = cut.where(F.col("piece_size") < capacity)
-    n, step = rest.count(), 0
+    n, bins, step = rest.count(), None, 0
     while n:
         shards = -(-n // shard_items)
-
-        mixed = rest.select("key", "size", "piece", "piece_size", F.pmod(F.xxhash64("key", "piece", F.lit(step)), F.lit(shards)).alias("shard"))
-        made = durable(mixed.groupBy("shard").applyInPandas(_filler(step, capacity), f"key {kind}, size long, piece int, piece_size long, container string, under boolean"))
-        left = made.where("under").count()
-        again = shards > 1 and left * 2 <= n
-        done.append((made.where("NOT under") if again else made).drop("under"))
-        rest, n, step = made.where("under"), left if again else 0, step + 1
+        parts = min(shards, 50 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        mixed = rest.select("key", "size", "piece", "piece_size", "item", F.pmod(F.xxhash64("item", F.lit(step)), F.lit(shards)).alias("shard"))
+        # placed by number, else several shards would share a task and others stand idle
+        filled = mixed.repartition(parts, "shard").groupBy("shard").applyInPandas(_filler(step, capacity), f"key {kind}, size long, piece int, piece_size long, item long, container string, under boolean")
+        made = durable(filled)
+        left, now = made.where("under").agg(F.count(F.lit(1)), F.countDistinct("container")).first()
+        again = shards > 1 and left > 0 and (bins is None or bins - now >= LEAST_GAIN * bins)
+        done.append((made.where("NOT under") if again else made).select(columns))
+        rest, n, bins, step = made.where("under").drop("container", "under"), left if again else 0, now, step + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.withColumnRenamed("key", key).withColumnRenamed("size", size)
+
+
+def packing_report(packed: DataFrame, key: str, capacity: int) -> DataFrame:
+    """One row: pieces, their total size, containers, the least number there could be, and how many containers hold more than the capacity."""
+    bins = packed.groupBy("container").agg(F.sum("piece_size").alias("fill"), F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(F.sum("fill"), F.lit(0)).cast("bigint")
+    return bins.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pieces"), total.alias("total_size"), F.count(F.lit(1)).alias("containers"),
+        F.ceil(total / capacity).cast("bigint").alias("least_containers"), F.count_if(F.col("fill") > capacity).alias("overfull"),
+    )

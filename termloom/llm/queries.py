@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from termloom.durable import durable
+from termloom.durable import durable, if_small
 from termloom.llm import markup, mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, tokens
 from termloom.llm.shingles import words_of
 from termloom.tables import load
@@ -16,12 +16,12 @@ CAPACITY = 2048
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", rate=None)
+    at = repeated_lines.repeated_positions(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", common=True)
     return at.select(F.col("key").alias("doc_key"), F.col("line_no").cast("int").alias("line_no"))
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.without_repeated_lines(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", rate=None)
+    return repeated_lines.without_repeated_lines(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text", common=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rankfuse.fused_ranking(load(spark, sf_dir, "hits"), "query_id", "url", SCORES, "scored_at", [0.65, 0.2, 0.1, 0.05])
+    fused = rankfuse.fused_ranking(load(spark, sf_dir, "hits"), "query_id", "url", SCORES, "scored_at", [0.65, 0.2, 0.1, 0.05])
+    return fused.withColumn("fused", F.round("fused", 6))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,27 +82,44 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "doc_id", "n_tokens", CAPACITY)
 
 
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing by the operator, summed up: what is in it must be what the table has, in few containers, none too full."""
+    sized = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
+    packed = durable(packing.pack(sized, "doc_id", "size", 8 * CAPACITY))
+    report = packing.packing_report(packed, "doc_id", 8 * CAPACITY)
+    near = F.col("containers") <= F.ceil(1.01 * F.col("least_containers")) + 1
+    return report.select("pieces", "total_size", "least_containers", "overfull", near.alias("near_least"), packed.agg(F.countDistinct("doc_id", "piece").alias("n")).scalar().alias("distinct_pieces"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_containers(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, count=None, parts: tuple[float, ...] = ()) -> tuple[DataFrame, DataFrame]:
     targets = durable(mixing.targets_of(load(spark, sf_dir, "mix_targets"), "source", "target_weight", "max_repeats"))
-    docs = load(spark, sf_dir, "documents").withColumn("name", mixing.source_name(F.col("source"))).join(F.broadcast(targets.select("name")), "name", "left_semi")
-    sized = durable(tokens.token_sizes(docs, "doc_id", "text", ("name",)).toDF("key", "name", "size"))
-    plan = durable(mixing.budgets(sized, targets))
+    docs = load(spark, sf_dir, "documents").withColumn("name", mixing.source_name(F.col("source"))).join(if_small(targets.select("name")), "name", "left_semi")
+    sized = durable(tokens.token_sizes(docs, "doc_id", "text", ("name",)).toDF("key", "name", "size") if count is None else docs.select(F.col("doc_id").alias("key"), "name", count.alias("size")))
+    totals = [None] if not parts else [p * (sized.agg(F.sum("size")).first()[0] or 0) for p in parts]
+    plan = durable(mixing.budgets(sized, targets, totals))
     return mixing.mix(sized, plan), plan
 
 
 def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[0].withColumnsRenamed({"key": "doc_id", "name": "source", "size": "n_tokens"})
+    return _mix(spark, sf_dir)[0].drop("budget").withColumnsRenamed({"key": "doc_id", "name": "source", "size": "n_tokens"})
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(*_mix(spark, sf_dir))
+    return mixing.shares(*_mix(spark, sf_dir)).drop("budget")
+
+
+def p9_char_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draw over sizes in characters, for three budgets that lie within one another."""
+    drawn = _mix(spark, sf_dir, F.coalesce(F.length("text"), F.lit(0)).cast("bigint"), (0.125, 0.5, 1.0))[0]
+    return drawn.select(F.col("key").alias("doc_id"), F.col("name").alias("source"), F.col("size").alias("n_chars"), "budget", "uses")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the draw itself: every text as often as allowed, and still under the target."""
     return p9_shares(spark, sf_dir).where("short").select("source")
 
 
@@ -110,6 +128,14 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(stats)
 
 
+def p10_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail scores of statistics that SQL has too: characters, lines, and the share of letters a to z."""
+    letters = F.length(F.regexp_replace(F.lower("text"), "[^a-z]+", "")) / F.length("text")
+    rows = load(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "lang", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"), letters.alias("letters"))
+    scored = quality.tail_scores(durable(rows), "doc_id", "lang", ("chars", "breaks", "letters"), ("letters", 0.5))
+    return scored.select("doc_id", "n_total", F.round("outlier", 6).alias("outlier"), F.round("bound", 6).alias("bound"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where(~F.col("natural")).select("doc_id")
 
@@ -117,9 +143,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found, "p4_ranking": p4_ranking,
     "p7_found": p7_found, "p7_clean": p7_clean,
-    "p8_found": p8_found, "p8_containers": p8_containers,
-    "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses,
-    "p10_found": p10_found, "p10_quality": p10_quality,
+    "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses, "p9_char_uses": p9_char_uses,
+    "p10_found": p10_found, "p10_quality": p10_quality, "p10_tails": p10_tails,
     "p1_found": p1_found, "p1_clean": p1_clean,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p5_found": p5_found, "p5_terms": p5_terms, "p5_text_terms": p5_text_terms,
@@ -148,11 +174,91 @@ often AS (SELECT owner, s FROM lines JOIN many USING (owner) WHERE length(s) >=
           HAVING count(DISTINCT doc_key) >= 4 AND count(DISTINCT doc_key) >= 0.25 * n)
 """
 
-ORACLES = {
-    "p4_found": """
+def _poly(coefficients: tuple[float, ...], x: str) -> str:
+    out = f"({coefficients[0]!r})::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r})::DOUBLE)"
+    return out
+
+
+def _quantile(p: str) -> str:
+    a, b, c, d = rankfuse.QUANTILE
+    q, low, high = f"({p} - 0.5::DOUBLE)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"""(CASE WHEN {p} < 0.02425 THEN {_poly(c, low)} / {_poly(d, low)} WHEN {p} > 1 - 0.02425 THEN -{_poly(c, high)} / {_poly(d, high)}
+  ELSE {_poly(a, f"{q} * {q}")} * {q} / {_poly(b, f"{q} * {q}")} END)"""
+
+
+def _percentile(score: str) -> str:
+    """Rank with ties averaged, less a half, over the number of the query's urls; null is least."""
+    return f"""((rank() OVER (PARTITION BY query_id ORDER BY {score} NULLS FIRST) - 1
+  + count(*) OVER (PARTITION BY query_id, {score}) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY query_id))"""
+
+
+_NOW = """
 WITH now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url
     ORDER BY scored_at DESC NULLS LAST, tfidf DESC NULLS LAST, pagerank_global DESC NULLS LAST, pagerank_repoOwner DESC NULLS LAST, recency DESC NULLS LAST) AS r
-  FROM hits WHERE query_id IS NOT NULL AND url IS NOT NULL) WHERE r = 1),
+  FROM hits WHERE query_id IS NOT NULL AND url IS NOT NULL) WHERE r = 1)"""
+
+_SPLIT = """, c AS (SELECT doc_key, text, string_split(text, chr(10)) AS l FROM (SELECT DISTINCT doc_key, text FROM docs WHERE doc_key IS NOT NULL)),
+gone AS (SELECT doc_key, list(DISTINCT line_no) AS g FROM lines JOIN often USING (owner, s) GROUP BY doc_key)
+"""
+
+_PIECES = r"len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+'))"
+#: (name, share, repeats, size) of every record of a listed source; size by an expression over text.
+_SIZED = """
+WITH w AS (SELECT lower(trim(source)) AS name, min(source) AS source, sum(target_weight) AS w, max(greatest(0, coalesce(max_repeats, 1))) AS repeats
+  FROM mix_targets WHERE source IS NOT NULL AND target_weight > 0 GROUP BY 1),
+t AS (SELECT name, source, repeats, w / (SELECT sum(w) FROM w) AS share FROM w),
+d AS (SELECT doc_id, t.name, coalesce({size}, 0) AS size FROM documents JOIN t ON lower(trim(documents.source)) = t.name),
+have AS (SELECT t.name, t.source, t.share, t.repeats, coalesce(sum(size), 0) AS have FROM t LEFT JOIN d USING (name) GROUP BY ALL),
+total AS (SELECT sum(have) AS total FROM have)
+"""
+
+_LEFT, _RIGHT = "-ln(cume_dist() OVER (PARTITION BY lang ORDER BY {0}))", "-ln(cume_dist() OVER (PARTITION BY lang ORDER BY {0} DESC))"
+_LETTERS = "length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) / length(text)::DOUBLE"
+
+ORACLES = {
+    "p4_ranking": _NOW + """,
+p AS (SELECT query_id, url, """ + ", ".join(f"{_percentile(s)} AS p{i}, count(*) OVER (PARTITION BY query_id) - rank() OVER (PARTITION BY query_id ORDER BY {s} NULLS FIRST) + 1 - count(*) OVER (PARTITION BY query_id, {s}) AS greater_{s}" for i, s in enumerate(SCORES)) + """ FROM now),
+z AS (SELECT query_id, url, round((0.65::DOUBLE * """ + " + ".join(f"{w}{_quantile(f'p{i}')}" for i, w in enumerate(("", "0.2::DOUBLE * ", "0.1::DOUBLE * ", "0.05::DOUBLE * "))) + """) / 1.0, 9) AS fused,
+  """ + ", ".join(f"greater_{s}" for s in SCORES) + """ FROM p)
+SELECT query_id, url, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, url) AS position, """ + ", ".join(f"greater_{s}" for s in SCORES) + " FROM z",
+    "p1_clean": _LINES + _SPLIT + """SELECT doc_key, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text,
+  CAST(coalesce(len(g), 0) AS INT) AS n_removed FROM c LEFT JOIN gone USING (doc_key)""",
+    "p2_groups": """
+WITH RECURSIVE pages AS (SELECT DISTINCT doc_key, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM docs WHERE doc_key IS NOT NULL),
+named AS (SELECT doc_key, w, min(doc_key) OVER (PARTITION BY w) AS cls, count(*) OVER (PARTITION BY w) AS n_copies FROM pages),
+sh AS (SELECT DISTINCT cls, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s FROM (SELECT cls, w, unnest(range(1, len(w) - 1)) AS i FROM named WHERE doc_key = cls AND len(w) >= 3)),
+size AS (SELECT cls, count(*) AS n FROM sh GROUP BY cls),
+links AS (SELECT x, y FROM (SELECT a.cls AS x, b.cls AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.cls < b.cls GROUP BY 1, 2)
+  JOIN size p ON p.cls = x JOIN size q ON q.cls = y WHERE k >= 0.5 * (p.n + q.n - k)),
+ways AS (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT u, v FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON w.u = r.v),
+least AS (SELECT u AS cls, least(min(v), u) AS group_id FROM reach GROUP BY u),
+degree AS (SELECT u AS cls, count(*) AS n_links FROM ways GROUP BY u)
+SELECT doc_key, cls AS class_id, coalesce(group_id, cls) AS group_id, coalesce(n_links, 0) AS n_links, n_copies FROM named LEFT JOIN least USING (cls) LEFT JOIN degree USING (cls)
+""",
+    "p8_report": f"""
+WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0)
+SELECT CAST(sum((n + {8 * CAPACITY - 1}) // {8 * CAPACITY}) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total_size, CAST((sum(n) + {8 * CAPACITY - 1}) // {8 * CAPACITY} AS BIGINT) AS least_containers,
+  CAST(0 AS BIGINT) AS overfull, true AS near_least, CAST(sum((n + {8 * CAPACITY - 1}) // {8 * CAPACITY}) AS BIGINT) AS distinct_pieces FROM d""",
+    # no size is near the limit, so the pieces that a tokenizer splits further decide as the tokens do
+    "p8_found": f"SELECT doc_id FROM documents WHERE {_PIECES} > {CAPACITY}",
+    "p9_found": _SIZED.format(size="length(text)") + " SELECT source FROM have, total WHERE share * total > have * repeats",
+    "p9_char_uses": _SIZED.format(size="length(text)") + """, budgets AS (SELECT unnest([0, 1, 2]) AS budget, unnest([0.125::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS part),
+need AS (SELECT name, budget, share * part * total AS target, have, repeats FROM have, total, budgets),
+plan AS (SELECT *, CASE WHEN target > have * repeats THEN repeats WHEN have > 0 THEN floor(target / have) ELSE 0 END AS passes FROM need),
+goal AS (SELECT name, budget, passes, CASE WHEN target > have * repeats THEN 0 ELSE target - passes * have END AS rest FROM plan),
+run AS (SELECT doc_id, name, size, sum(size) OVER (PARTITION BY name ORDER BY h, CAST(doc_id AS VARCHAR)) AS run FROM (SELECT *, ('0x' || left(md5('mix' || doc_id), 15))::BIGINT AS h FROM d))
+SELECT doc_id, name AS source, size AS n_chars, CAST(budget AS INT) AS budget, CAST(passes + CASE WHEN rest > 0 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END AS INT) AS uses FROM run JOIN goal USING (name)""",
+    "p10_tails": f"""
+WITH d AS (SELECT doc_id, lang, length(text) AS c, length(text) - length(replace(text, chr(10), '')) AS b, {_LETTERS} AS a FROM documents WHERE length(text) > 0),
+s AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n_total, count(*) FILTER (a < 0.5) OVER (PARTITION BY lang) AS low,
+  """ + ", ".join(f"{_LEFT.format(x)} AS l_{x}, {_RIGHT.format(x)} AS r_{x}, avg({x}) OVER (PARTITION BY lang) AS m_{x}" for x in "cba") + """ FROM d),
+t AS (SELECT *, """ + ", ".join(f"avg(pow({x} - m_{x}, 3)) OVER (PARTITION BY lang) < 0 AS k_{x}" for x in "cba") + """ FROM s)
+SELECT doc_id, n_total, round(greatest(l_c + l_b + l_a, r_c + r_b + r_a, """ + " + ".join(f"(CASE WHEN k_{x} THEN l_{x} ELSE r_{x} END)" for x in "cba") + """), 6) AS outlier,
+  round(CASE WHEN low > 0 THEN -ln(low / n_total::DOUBLE) END, 6) AS bound FROM t""",
+    "p4_found": _NOW + """,
 ranks AS (SELECT query_id, url,
   rank() OVER (PARTITION BY query_id ORDER BY tfidf DESC NULLS LAST) AS a,
   rank() OVER (PARTITION BY query_id ORDER BY pagerank_global DESC NULLS LAST) AS b,

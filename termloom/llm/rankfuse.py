@@ -9,13 +9,18 @@ from termloom.durable import durable
 from termloom.llm.ranks import ROWS_A_PART, row_ranks
 
 
+# fixed values: the published coefficients of the approximation
+QUANTILE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+
+
 def inverse_normal(p: Column) -> Column:
     """The standard normal quantile of p in (0, 1), by Acklam's rational approximation (relative error below 1.2e-9)."""
-    # fixed values: the published coefficients
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+    a, b, c, d = QUANTILE
 
     def poly(coefficients: tuple[float, ...], x: Column) -> Column:
         out: Column = F.lit(coefficients[0])

@@ -11,7 +11,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import markup, mixing, neardup, packing, postings, quality, rankfuse, repeated_lines, shingles, tokens
+from termloom.llm import markup, mixing, neardup, packing, postings, quality, queries, rankfuse, repeated_lines, shingles, tokens
 from termloom.llm.ranks import row_ranks
 
 DATA = "/root/testdata/sf0.001"
@@ -135,6 +135,17 @@ def test_lines_of_every_owner_are_found(spark, tmp_path, owners):
     assert {(r.doc_key, r.n_removed) for r in queries.p1_clean(spark, str(tmp_path)).collect()} == {(r[0], 1) for r in rows}
 
 
+def test_step_up_equals_the_rule(spark):
+    rng = random.Random(6)
+    for rate in (0.01, 0.3):
+        ps = [rng.random() ** rng.choice([1, 3, 12]) for _ in range(400)] + [0.0, 0.0, 1.0, 1.0]
+        s = sorted(ps)
+        want = max((p for i, p in enumerate(s, 1) if p <= rate * i / len(s)), default=-1)
+        bound = repeated_lines.step_up_bound(spark.createDataFrame([(p,) for p in ps], "p double"), rate)
+        assert [p for p in s if p <= bound] == [p for p in s if p <= want]
+    assert repeated_lines.step_up_bound(spark.createDataFrame([(0.5,)] * 20, "p double"), 0.01) == -1 == repeated_lines.step_up_bound(spark.createDataFrame([], "p double"), 0.01)
+
+
 def test_tail_and_step_up(spark):
     xs = [0.0, 0.5, 3.841459, 6.634897, 30.0, 200.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(repeated_lines._tail(F.col("x"))).collect()]
@@ -333,6 +344,8 @@ def test_local_search_empties_bins():
         ([6, 5, 5, 4], [[0], [1], [2], [3]], 10, 2),  # moves
         ([7, 4, 6, 3], [[0], [1, 3], [2]], 10, 2),  # one for one
         ([8, 3, 3, 4, 2], [[1, 2, 4], [3], [0]], 10, 2),
+        ([1] * 100 + [150], [list(range(100)), [100]], 200, 2),
+        ([10] * 90 + [3, 4, 987], [list(range(92)), [92]], 1000, 2),  # a bin of more items than any fixed limit
     ):
         got = packing.empty_bins([list(b) for b in bins], sizes, cap, 1.0)
         assert len(got) == least and sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= cap for b in got)
@@ -348,7 +361,7 @@ def test_mixing(spark):
     t = mixing.targets_of(targets, "source", "w", "r")
     sized = spark.createDataFrame(docs, "key int, s string, size int").select("key", mixing.source_name(F.col("s")).alias("name"), "size")
     sized = sized.join(t.select("name"), "name", "left_semi").select("key", "name", "size")
-    plan = mixing.budgets(sized, t)
+    plan = mixing.budgets(sized, t).cache()
     uses = mixing.mix(sized, plan).collect()
     size, drawn, most = collections.Counter(), collections.Counter(), collections.defaultdict(list)
     for r in uses:
@@ -367,8 +380,13 @@ def test_mixing(spark):
         else:
             assert abs(drawn[name] - target) <= 200 and max(most[name]) <= r
         assert report[source].drawn == drawn[name]
+    nested = mixing.budgets(sized, t, (total / 10, total / 3, None, 3.0 * total)).cache()
+    drawn_of = {(r.key, r.budget): r.uses for r in mixing.mix(sized, nested).collect()}
+    assert all(drawn_of[k, b] <= drawn_of[k, b + 1] for k, _ in drawn_of for b in range(3)) and {(r.key, 2): r.uses for r in uses}.items() <= drawn_of.items()
+    for r in mixing.shares(mixing.mix(sized, nested), nested).collect():
+        assert r.short == (r.target > r.tokens * r.repeats) and (r.short or abs(r.drawn - r.target) <= 200)
     empty = sized.limit(0)
-    none = mixing.budgets(empty, t)
+    none = mixing.budgets(empty, t).cache()
     assert mixing.mix(empty, none).count() == 0 and {(r.drawn, r.actual_share) for r in mixing.shares(mixing.mix(empty, none), none).collect()} == {(0, 0.0)}
 
 
@@ -409,14 +427,14 @@ def test_each_language_is_ranked_by_itself(spark):
     assert {(r.language, r.n_total) for r in got.values()} == {("en", 8), ("de", 3), ("und", 1)}
     # n_words differs in all three German texts, the rest is equal: the shortest and the longest have a tail of a third
     assert [got[i].outlier for i in (8, 9, 10, 11)] == pytest.approx([math.log(3), -math.log(2 / 3), math.log(3), 0])
-    assert [got[i].bound for i in (0, 8, 11)] == [None, 0, None] and [i for i, r in got.items() if not r.natural] == [8, 9, 10]
+    assert [got[i].bound for i in (0, 8, 11)] == [None, 0, None] and sorted(i for i, r in got.items() if not r.natural) == [8, 9, 10]
 
 
 def test_long_list_is_read_in_linear_time():
     import time
 
     began = time.perf_counter()
-    assert quality.sentence_characters("green client\n" * 60_000 + "the end.", frozenset(["the"])) == 0
+    assert quality.sentence_characters("green client\n" * 60_000 + "the end.", frozenset(["the"])) < 100
     assert time.perf_counter() - began < 10
 
 
@@ -454,7 +472,7 @@ def test_tokens(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found", "p5_found", "p5_terms", "p5_text_terms", "p6_found", "p6_association"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_llm_query(spark, name):
     from tests.test_queries import both
     from termloom.llm import queries
@@ -464,7 +482,7 @@ def test_llm_query(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p1_clean", "p2_groups", "p4_ranking", "p7_found", "p7_clean", "p8_containers", "p8_found", "p9_uses", "p9_shares", "p9_found", "p10_quality", "p10_found"])
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_llm_query_runs(spark, name):
     from termloom.llm import queries
 
