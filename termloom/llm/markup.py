@@ -1,10 +1,13 @@
 """Markup left in texts: which kinds a text holds, and the text without them.
 
-HTML pages of one host share their layout, so where their text stands is decided together. Every page's
-containers get a score (text outside links against all text), the scores are added up in Spark for each
-host and generalised path of tags and classes, and a path whose containers are mostly links on that host
-loses. A second pass extracts the pages by the paths that won. A page's host here is its source (owner);
-a path that no vote speaks against is kept, so a host's only page loses nothing but its link lists.
+A text is converted rule by rule. Each rule is a construct of one kind and what stands for it in clean text; the
+kinds of a text are those whose rules took something out of it, nothing else decides.
+
+HTML pages of one host share their layout, so where their text stands is decided together. Every page's containers
+are scored (characters outside links against those in links), and each page votes for or against the generalised path
+of tags and classes of each of its containers. The votes are counted in Spark for each host and path, and a second
+pass extracts the pages by the paths that won. A page's host here is its source (owner); ties win, so a host's only
+page loses nothing but its link lists.
 
 Headings, lists, code and formulas stay as text: a heading on a line of its own, items behind ``- ``,
 code indented by four blanks, formulas without their delimiters.
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from termloom.durable import durable, if_small
 
 KINDS = ("html", "markdown", "wiki", "latex")
-#: A path loses if under this share of its text on a host stands outside links.
+#: A page votes against a container if under this share of its text stands outside links.
 MIN_TEXT_SHARE = 0.3
 
 # fixed values: the element names of HTML
@@ -37,87 +40,29 @@ TAGS = (
 ).split()
 # fixed values: the behaviour switches of wiki pages
 SWITCHES = "TOC NOTOC FORCETOC NOEDITSECTION NEWSECTIONLINK NONEWSECTIONLINK NOGALLERY HIDDENCAT EXPECTUNUSEDCATEGORY NOCONTENTCONVERT NOCC NOTITLECONVERT NOTC INDEX NOINDEX STATICREDIRECT DISAMBIG".split()
-_TAG = r"</?(?:" + "|".join(TAGS) + r")(?=[\s/>])[^<>]*>"
-_HTML = re.compile(_TAG + r"|<!--|<!doctype\b|&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg)(?![a-z0-9=;])", re.I)
-
-#: (a string without which the pattern can't match, pattern)
-_MARKDOWN = [
-    (guard, re.compile(pattern, re.M))
-    for guard, pattern in (
-        ("#", r"^ {0,3}#{1,6}[ \t]+\S"),
-        ("===", r"^[ ]{0,3}\S[^\n|]*\n {0,3}={3,}[ \t]*\r?$"),
-        ("---", r"^[ ]{0,3}\S[^\n|]*\n {0,3}-{3,}[ \t]*\r?$"),
-        ("```", r"^[ ]{0,3}```+[^\n`~]*$"),
-        ("~~~", r"^[ ]{0,3}~~~+[^\n`~]*$"),
-        (">", r"^[ ]{0,3}>[ \t]?\S"),
-        ("] ", r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\[[ xX]\][ \t]+\S"),
-        ("|", r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$"),
-        ("](", r"!?\[[^\[\]\n]+\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
-        ("][", r"(?<![\w\]])\[[^\[\]\n]+\]\[\w[^\[\]\n]*\]"),
-        ("]:", r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S"),
-        ("[^", r"\[\^[^\[\]\s]+\]"),
-        ("`", r"(?<!`)`[^`\n]+`(?!`)"),
-        ("*", r"(?<![\w*\\])(\*{1,3})(?=[^\s*])(?:[^*\n]*[^\s*\\])?[^\s*\\]\1(?![\w*])"),
-        ("_", r"(?<![\w_\\])_(?=[^\s_])(?:[^_\n]*[^\s_])?_(?![\w_])"),
-        ("__", r"(?<![\w_\\])__(?=[^\s_])[^_\n]*[ \t][^_\n]*[^\s_]__(?![\w_])"),
-        ("~~", r"(?<![~\w])~~(?=[^\s~])(?:[^~\n]*[^\s~])?~~(?![~\w])"),
-    )
-]
-_WIKI = re.compile(
-    "|".join(
-        [
-            r"\[\[(?=[^\[\]\n]*[A-Za-z])[^\[\]\n\d\s,'\"][^\[\]\n]*\]\]",
-            r"(?<![\w'])'{2,3}(?=[^\s'])[^'\n]*(?:'[^'\n]+)*[^\s']'{2,3}(?![\w'])|(?<![\w'])'{2,3}[^\s']'{2,3}(?![\w'])",
-            r"^(={2,6})[^=\n]*[^=\s][^=\n]*\1[ \t]*\r?$",
-            r"\{\{[A-Za-z#:][^{}]*\}\}",
-            r"^\{\|[^\n]*$",
-            r"^\|-[ \t]*\r?$",
-            r"^\|\}",
-            "__(?:" + "|".join(SWITCHES) + ")__",
-            r"^#REDIRECT\b",
-            r"\[https?://\S+[ \t]+[^\[\]\n]+\]",
-            r"</?(?:nowiki|ref)\b[^<>]*>",
-        ]
-    ),
-    re.M,
-)
-_LATEX = re.compile(
-    r"(?<![:\\])\\[A-Za-z]+\*?\{|(?<![\w:\\.\"'])\\[A-Za-z]+\*?(?=[\s{}\[\]()$,;.^_~&=]|$)(?!\\)|\$\$[^$]+\$\$|(?<![\w\\])\\\((?=.)[^\n]*?\\\)|^[ \t]*\\\[.*?\\\]|(?<![\w$\\])\$(?=[^\s$])[^$\n]*(?:\\[A-Za-z]|[\^_=])[^$\n]*(?<=[^\s$])\$(?![\w$])",
-    re.M | re.S,
-)
-_FENCED = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n]*\n(.*?)^[ ]{0,3}\1[`~]*[ \t]*\r?$\n?", re.M | re.S)
-_CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
-
-
-def kinds_of(text: str) -> list[str]:
-    """The kinds of markup of which ``text`` holds at least one construct."""
-    found = []
-    if ("<" in text or "&" in text) and _HTML.search(text):
-        found.append("html")
-    if any(guard in text and pattern.search(text) for guard, pattern in _MARKDOWN):
-        found.append("markdown")
-    if ("[" in text or "''" in text or "==" in text or "{" in text or "|" in text or "__" in text or "#R" in text) and _WIKI.search(text):
-        found.append("wiki")
-    if ("\\" in text or "$" in text) and _LATEX.search(text):
-        found.append("latex")
-    return found
-
 
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK_TAG = re.compile(r"<(?:" + "|".join(sorted(_BLOCK - {"hr"})) + r")(?=[\s>])", re.I)
 _SILENT = frozenset(["script", "style", "template"])
+_NAMES = "|".join(TAGS)
+_TAG = re.compile(rf"</?(?:{_NAMES})(?=[\s/>])[^<>]*>", re.I)
+_NO_TAG = re.compile(rf"<(?!/?(?:{_NAMES})(?=[\s/>])[^<>]*>)", re.I)
+_COMMENT = re.compile(r"<!--.*?-->|<!--|<!doctype\b[^<>]*>?", re.I | re.S)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg)(?![a-z0-9=;])", re.I)
+_BLOCK_TAG = re.compile(r"<(?:" + "|".join(sorted(_BLOCK - {"hr"})) + r")(?=[\s>])", re.I)
 _SILENT_TAG = re.compile(r"<(/?)(" + "|".join(sorted(_SILENT)) + r")(?=[\s/>])[^<>]*>", re.I)
+_AND, _LESS = "\x02", "\x03"  # stand for & and < that the parser must leave alone
 
 
 class _Page(HTMLParser):
-    """Blocks of a page: [path, kind, text, linked characters]."""
+    """Blocks of a page: [path, kind, text, linked characters]; ``used`` counts the tags read."""
 
     def __init__(self, loose: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.loose = loose  # text with a few stray tags: its line breaks are its layout
         self.stack: list[tuple[str, str]] = []
         self.blocks: list[list] = [["", "text", "", 0]]
+        self.used = 0
 
     def _open(self, tag: str) -> None:
         kind = "head" if re.fullmatch("h[1-6]", tag) else "item" if tag in ("li", "dt", "dd") else "code" if tag == "pre" else "row" if tag == "tr" else "text"
@@ -126,6 +71,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in TAGS:
             return
+        self.used += 1
         if tag in _VOID:
             if tag == "br":
                 self.blocks[-1][2] += "\n"
@@ -144,6 +90,7 @@ class _Page(HTMLParser):
             self.blocks[-1][2] += "\t"
 
     def handle_endtag(self, tag: str) -> None:
+        self.used += 1
         if any(t == tag for t, _ in self.stack):
             while self.stack:
                 t, _ = self.stack.pop()
@@ -179,193 +126,265 @@ def _closed(text: str) -> str:
     return "".join(kept) + text[start:]
 
 
-def page_blocks(text: str) -> list[list]:
-    """The page's blocks. What only looks like a tag stays as text."""
-    text = _closed(text)
-    page = _Page(len(_BLOCK_TAG.findall(text)) < 3)
-    page.feed(re.sub(r"<(?!!--|!doctype\b|/?(?:" + "|".join(TAGS) + r")(?=[\s/>])[^<>]*>)", "&lt;", text, flags=re.I))
-    page.close()
-    return [b for b in page.blocks if b[2].strip()]
+def _indent(code: str) -> str:
+    return "\n".join("    " + x if x.strip() else "" for x in code.strip("\n").split("\n"))
 
 
-def container_scores(text: str) -> list[tuple[str, int, int]]:
-    """(path, characters outside links, characters) of a page's containers."""
-    sums: dict[str, list[int]] = {}
-    for path, _, body, linked in page_blocks(text):
-        size = len(body.strip())
-        s = sums.setdefault(path, [0, 0])
-        s[0] += max(0, size - linked)
-        s[1] += size
-    return [(p, a, b) for p, (a, b) in sums.items()]
+Rule = tuple[str, re.Pattern, str | Callable]
 
 
-def _indent(code: str) -> str:
-    return "\n".join("    " + x if x.strip() else "" for x in code.strip("\n").split("\n"))
+def _rules(*rules: tuple[str, str, str | Callable], flags: int = re.M) -> list[Rule]:
+    """(a string without which the pattern can't match, pattern, what stands for a match)."""
+    return [(guard, re.compile(pattern, flags), put) for guard, pattern, put in rules]
+
 
+def _cells(row: str, between: str) -> str:
+    return re.sub(rf"[ \t]*(?:{between})[ \t]*", "\t", row)
 
-def from_html(text: str, lost: frozenset[str]) -> str:
-    out = []
-    for path, kind, body, _ in page_blocks(text):
-        if path in lost and kind != "head":
-            continue
-        if kind == "code":
-            out.append("\n" + _indent(body) + "\n")
-        elif kind == "item":
-            out.append("- " + body.strip())
-        elif kind in ("head", "row"):
-            out.append(("\n" if kind == "head" else "") + body.strip() + ("\n" if kind == "head" else ""))
-        else:
-            out.append(body.strip("\n") + "\n")
-    return "\n".join(out)
-
-
-def from_wiki(text: str, keep) -> str:
-    text = re.sub(r"\{\{code\|1=(.*?)\}\}", lambda m: keep("\n" + _indent(m[1]) + "\n"), text, flags=re.S)
-    for _ in range(8):  # templates within templates
-        plain = re.sub(r"\{\{([^{}]*)\}\}", lambda m: m[1].split("|")[-1].split("=")[-1].strip() if re.match(r"\w+\|[^|=\n]*$", m[1]) and not m[1].startswith(("toc", "stub")) else "", text)
-        if plain == text:
-            break
-        text = plain
-    text = re.sub(r"^#REDIRECT\s*", "", text, flags=re.M)
-    text = re.sub(r"\[\[Category:[^\[\]\n]*\]\]", "", text)
-    text = re.sub(r"\[\[(?=[^\[\]\n]*[A-Za-z])(?![\d\s,'\"])([^\[\]\n]*)\]\]", lambda m: m[1].split("|")[-1], text)
-    text = re.sub(r"\[https?://\S+[ \t]+([^\[\]\n]+)\]", r"\1", text)
-    text = re.sub(r"^(={2,6})[ \t]*([^=\n]*[^=\s])[ \t]*\1[ \t]*\r?$", r"\2", text, flags=re.M)
-    text = re.sub(r"(?<![\w'])('{2,3})(?=[^\s'])(.*?)(?<=[^\s'])\1(?!['\w])", r"\2", text)
-    text = re.sub(r"^(?:\{\|[^\n]*|\|-[ \t]*|\|\}[ \t]*)\r?$\n?", "", text, flags=re.M)
-    text = re.sub(r"^[|!][ \t]*(?=[^|\n]*(?:\|\||!!))([^\n]*)$", lambda m: re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", "\t", m[1]), text, flags=re.M)
-    return re.sub("__(?:" + "|".join(SWITCHES) + r")__|</?(?:nowiki|ref)\b[^<>]*>", "", text)
-
-
-def from_latex(text: str, keep) -> str:
-    text = re.sub(r"\\begin\{(verbatim|lstlisting)\*?\}[^\n]*\n(.*?)\\end\{\1\*?\}", lambda m: keep("\n" + _indent(m[2]) + "\n"), text, flags=re.S)
-    text = re.sub(r"\\begin\{(equation|align|gather|multline|displaymath)\*?\}(.*?)\\end\{\1\*?\}", lambda m: keep(m[2].strip().replace("&", "").replace("\\\\", "")), text, flags=re.S)
-    text = re.sub(r"\$\$([^$]+)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", lambda m: keep((m[1] or m[2] or m[3]).strip()), text, flags=re.S)
-    text = re.sub(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*(?:\\[A-Za-z]|[\^_=])[^$\n]*)(?<=[^\s$])\$(?![\w$])", lambda m: keep(m[1]), text)
-    text = re.sub(r"^[^\n]*\\(?:newcommand|renewcommand|usepackage|documentclass)\b[^\n]*\n?", "", text, flags=re.M)
-    text = re.sub(r"^([^\n]*?(?<!\\)&[^\n]*?)[ \t]*\\\\[ \t]*$", lambda m: re.sub(r"[ \t]*&[ \t]*", "\t", m[1]), text, flags=re.M)
-    text = re.sub(r"[ \t]*\\begin\{(?:tabular|array)\}(?:\{[^{}\n]*\})?\n?|[ \t]*\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?\n?", "", text)
-    text = re.sub(r"^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- ", text, flags=re.M)
-    text = re.sub(r"~?\\(?:cite\w*|label|index|vspace|hspace|includegraphics)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
-    text = re.sub(r"\\footnote\{([^{}\n]*)\}", r" (\1)", text)
-    for _ in range(8):  # commands within commands
-        plain = re.sub(r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if plain == text:
-            break
-        text = plain
-    text = re.sub(r"(?<![\w:\\.\"'])\\(?:hline|centering|maketitle|noindent|par|newpage)\b[ \t]*", "", text)
-    return re.sub(r"(?<![\w:\\.\"'])\\([A-Za-z]+)(?=[\s{}\[\](),;.^_~&=]|$)(?!\\)", r"\1", text)
-
-
-def from_markdown(text: str, keep) -> str:
-    text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2].replace("\r", "")) + "\n") + "\n", text)
-    text = _CODE.sub(lambda m: keep(m[1]), text)
-    text = re.sub(r"^[ ]{0,3}\[\^[^\[\]\s]+\]:[ \t]*", "", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S[^\n]*\n?", "", text, flags=re.M)
-    text = re.sub(r"\[\^[^\[\]\s]+\]", "", text)
-    for _ in range(2):  # an image may stand in a link
-        text = re.sub(r"!?\[([^\[\]\n]+)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", text)
-    text = re.sub(r"(?<![\w\]])\[([^\[\]\n]+)\]\[\w[^\[\]\n]*\]", r"\1", text)
-    text = re.sub(r"^ {0,3}#{1,6}[ \t]+([^\n]*?)[ \t]*#*(?:[ \t]*\{#[^{}\n]*\})?[ \t]*(\r?)$", r"\1\2", text, flags=re.M)
-    text = re.sub(r"^([ ]{0,3}\S[^\n|]*\n) {0,3}(?:={3,}|-{3,})[ \t]*\r?$\n?", r"\1", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}(?:>[ \t]?)+", "", text, flags=re.M)
-    text = re.sub(r"^(\s*(?:[-*+]|\d+[.)])[ \t]+)\[[ xX]\][ \t]+", r"\1", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$\n?", "", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*(\r?)$", lambda m: re.sub(r"[ \t]*\|[ \t]*", "\t", m[1]) + m[2], text, flags=re.M)
-    text = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*?)(?<=[^\s*])\1(?![\w*])", r"\2", text)
-    text = re.sub(r"(?<![\w_\\])(_{1,2})(?=[^\s_])([^_\n]*?)(?<=[^\s_])\1(?![\w_])", lambda m: m[2] if len(m[1]) == 1 or " " in m[2] else m[0], text)
-    return re.sub(r"(?<![~\w])~~(?=[^\s~])([^~\n]*)(?<=[^\s~])~~(?![~\w])", r"\1", text)
-
-
-def _before_html(text: str, kinds: list[str], keep) -> str:
-    """``text`` as ``clean`` reads its tags: code and formulas are held."""
-    text = text.replace("\x00", "").replace("\r\n", "\n")
-    if "markdown" in kinds:
-        text = _FENCED.sub(lambda m: keep("\n" + _indent(m[2]) + "\n") + "\n", text)
-    if "latex" in kinds:
-        text = from_latex(text, keep)
-    return _CODE.sub(lambda m: keep(m[1]), text) if "markdown" in kinds else text
-
-
-def clean(text: str, kinds: list[str], lost: frozenset[str] = frozenset()) -> str:
-    """``text`` without the markup of ``kinds``; a text without markup is returned as it is."""
-    if not kinds:
-        return text
-    held: list[str] = []
-
-    def keep(piece: str) -> str:
-        held.append(piece)
-        return f"\x00{len(held) - 1}\x00"
-
-    text = _before_html(text, kinds, keep)
-    if "html" in kinds:
-        text = from_html(text, lost) if re.search(_TAG, text, re.I) else html.unescape(re.sub(r"<!--.*?-->|<!doctype\b[^<>]*>", "", text, flags=re.S | re.I))
-    if "wiki" in kinds:
-        text = from_wiki(text, keep)
-    if "markdown" in kinds:
-        text = from_markdown(text, keep)
-    while "\x00" in text:
-        text = re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
-
-
-def page_paths(text: str) -> list[tuple[str, int, int]]:
-    """``container_scores`` and, without a score, the paths that only ``clean`` meets, which reads the page without its code."""
-    scores = container_scores(text)
-    bare = _before_html(text, kinds_of(text), lambda _: "\x000\x00")
-    more = {b[0] for b in page_blocks(bare)} if bare != text.replace("\r\n", "\n") else set()
-    return scores + [(p, 0, 0) for p in sorted(more - {p for p, _, _ in scores})]
-
-
-def lost_paths(pages: DataFrame) -> DataFrame:
-    """(page, lost) of the pages with container paths that lose their host's vote. ``pages`` has page, host and text.
-
-    lost holds those of the page's own paths, one a line, so no host's list has to fit anywhere. Equal texts of a host are one page.
+
+def _template(m: re.Match) -> str:
+    """A template with one plain argument is that argument, any other one nothing."""
+    return m[1].split("|")[-1].strip() if re.match(r"\w+\|[^|=\n]*$", m[1]) and not m[1].startswith(("toc", "stub")) else ""
+
+
+_FENCED = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n]*\n(.*?)^[ ]{0,3}\1[`~]*[ \t]*$\n?", re.M | re.S)
+_FENCE = re.compile(r"^[ ]{0,3}(?:```+|~~~+)[^\n`~]*$\n?", re.M)
+_CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
+
+_MD_LINK = _rules(("](", r"!?\[([^\[\]\n]+)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1"))
+_MARKDOWN = _rules(
+    ("[^", r"^[ ]{0,3}\[\^[^\[\]\s]+\]:[ \t]*", ""),
+    ("]:", r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S[^\n]*\n?", ""),
+    ("[^", r"\[\^[^\[\]\s]+\]", ""),
+    ("][", r"(?<![\w\]])\[([^\[\]\n]+)\]\[\w[^\[\]\n]*\]", r"\1"),
+    ("#", r"^ {0,3}#{1,6}[ \t]+(\S[^\n]*?)[ \t]*#*(?:[ \t]*\{#[^{}\n]*\})?[ \t]*$", r"\1"),
+    ("===", r"^([ ]{0,3}\S[^\n|]*\n) {0,3}={3,}[ \t]*$\n?", r"\1"),
+    ("---", r"^([ ]{0,3}\S[^\n|]*\n) {0,3}-{3,}[ \t]*$\n?", r"\1"),
+    (">", r"^[ ]{0,3}(?:>[ \t]?)+(?=\S)", ""),
+    ("] ", r"^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)\[[ xX]\][ \t]+(?=\S)", r"\1"),
+    ("|", r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", ""),
+    ("*", r"(?<![\w*\\])(\*{1,3})(?=[^\s*])((?:[^*\n]*[^\s*\\])?[^\s*\\])\1(?![\w*])", r"\2"),
+    ("_", r"(?<![\w_\\])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w_])", r"\1"),
+    ("__", r"(?<![\w_\\])__(?=[^\s_])([^_\n]*[ \t][^_\n]*[^\s_])__(?![\w_])", r"\1"),
+    ("~~", r"(?<![~\w])~~(?=[^\s~])((?:[^~\n]*[^\s~])?)~~(?![~\w])", r"\1"),
+)
+#: What else means markup once a text is known to be Markdown.
+_MARKDOWN_THEN = _rules(
+    (">", r"^[ ]{0,3}(?:>[ \t]?)+$", ""),
+    ("|", r"^[ ]{0,3}\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", lambda m: _cells(m[1], r"\|")),
+    ("*", r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*?)(?<=[^\s*])\1(?![\w*])", r"\2"),
+)
+
+_WIKI_TEMPLATE = _rules(("{{", r"\{\{([A-Za-z#:][^{}]*)\}\}", _template))
+_WIKI = _rules(
+    ("#R", r"^#REDIRECT\b\s*", ""),
+    ("[[", r"\[\[(?=[^\[\]\n]*[A-Za-z])([^\[\]\n\d\s,'\"][^\[\]\n]*)\]\]", lambda m: "" if m[1].startswith("Category:") else m[1].split("|")[-1]),
+    ("[http", r"\[https?://\S+[ \t]+([^\[\]\n]+)\]", r"\1"),
+    ("==", r"^(={2,6})[ \t]*([^=\n]*[^=\s][^=\n]*?)[ \t]*\1[ \t]*$", r"\2"),
+    ("''", r"(?<![\w'])'{2,3}(?=[^\s'])([^'\n]*(?:'[^'\n]+)*[^\s'])'{2,3}(?![\w'])|(?<![\w'])'{2,3}([^\s'])'{2,3}(?![\w'])", lambda m: m[1] or m[2]),
+    ("|", r"^\{\|[^\n]*$\n?|^\|-[ \t]*$\n?|^\|\}[ \t]*(?:$\n?)?", ""),
+    ("__", "__(?:" + "|".join(SWITCHES) + ")__", ""),
+    ("<", r"</?(?:nowiki|ref)\b[^<>]*>", ""),
+)
+_WIKI_THEN = _rules(
+    ("{{", r"\{\{([^{}]*)\}\}", _template),
+    ("|", r"^[|!][ \t]*(?=[^|\n]*(?:\|\||!!))([^\n]*)$", lambda m: _cells(m[1], r"\|\||!!")),
+    ("!!", r"^[|!][ \t]*(?=[^|\n]*(?:\|\||!!))([^\n]*)$", lambda m: _cells(m[1], r"\|\||!!")),
+)
+
+#: Formulas and code of LaTeX: their content (the first group that matched) is kept as it is.
+_LATEX_KEPT = _rules(
+    ("$$", r"\$\$([^$]+)\$\$", ""),
+    ("\\[", r"^[ \t]*\\\[(.*?)\\\]", ""),
+    ("\\(", r"(?<![\w\\])\\\((?=.)([^\n]*?)\\\)", ""),
+    ("$", r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*(?:\\[A-Za-z]|[\^_=])[^$\n]*)(?<=[^\s$])\$(?![\w$])", ""),
+    flags=re.M | re.S,
+)
+_LATEX_ARGUMENT = _rules(("\\", r"(?<![:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1"))
+_LATEX = _rules(
+    ("\\", r"^[^\n]*\\(?:newcommand|renewcommand|usepackage|documentclass)\b[^\n]*\n?", ""),
+    ("\\begin", r"[ \t]*\\begin\{(?:tabular|array)\}(?:\{[^{}\n]*\})?\n?", ""),
+    ("\\", r"[ \t]*\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?\n?", ""),
+    ("\\item", r"^[ \t]*\\item(?![A-Za-z])(?:\[[^\]\n]*\])?[ \t]*", "- "),
+    ("\\", r"~?\\(?:cite\w*|label|index|vspace|hspace|includegraphics)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", ""),
+    ("\\footnote", r"\\footnote\{([^{}\n]*)\}", r" (\1)"),
+)
+_LATEX_REST = _rules(
+    ("\\", r"(?<![\w:\\.\"'])\\(?:hline|centering|maketitle|noindent|par|newpage)(?=[\s{}\[\]()$,;.^_~&=]|$)[ \t]*", ""),
+    ("\\", r"(?<![\w:\\.\"'])\\([A-Za-z]+)\*?(?=[\s{}\[\]()$,;.^_~&=]|$)(?!\\)", r"\1"),
+    ("\\", r"(?<![:\\])\\[A-Za-z]+\*?\{", ""),
+)
+_LATEX_ROW = re.compile(r"^([^\n]*?(?<!\\)&[^\n]*?)[ \t]*\\\\[ \t]*$", re.M)
+_LATEX_MATH = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\*?\}[^\n]*\n(.*?)\\end\{\1\*?\}", re.S)
+_EQUATION = re.compile(r"\\begin\{(equation|align|gather|multline|displaymath)\*?\}(.*?)\\end\{\1\*?\}", re.S)
+_WIKI_CODE = re.compile(r"\{\{code\|1=(.*?)\}\}", re.S)
+
+
+class Reading:
+    """One text on its way to clean text: ``found`` has the kinds whose rules took something, ``blocks`` the containers of its HTML."""
+
+    def __init__(self, text: str) -> None:
+        self.text = re.sub("[\x00\x02\x03]", "", text).replace("\r\n", "\n")
+        self.held: list[str] = []
+        self.found: set[str] = set()
+        self.blocks: list[list] | None = None
+        self._latex()
+        self._markdown()
+        self._wiki()
+        self._html()
+
+    def _keep(self, piece: str) -> str:
+        self.held.append(piece)
+        return f"\x00{len(self.held) - 1}\x00"
+
+    def _take(self, kind: str, pattern: re.Pattern, put: str | Callable, guard: str = "") -> bool:
+        if guard and guard not in self.text:
+            return False
+        self.text, n = pattern.subn(put, self.text)
+        if n:
+            self.found.add(kind)
+        return n > 0
+
+    def _all(self, kind: str, rules: list[Rule], again: bool = False) -> None:
+        """Each rule once, or until it takes no more: every replacement is shorter, so that ends."""
+        for guard, pattern, put in rules:
+            while self._take(kind, pattern, put, guard) and again:
+                pass
+
+    def _latex(self) -> None:
+        if "```" in self.text or "~~~" in self.text:
+            self._take("markdown", _FENCED, lambda m: self._keep("\n" + _indent(m[2]) + "\n") + "\n")
+        if "\\" in self.text or "$" in self.text:
+            self._take("latex", _VERBATIM, lambda m: self._keep("\n" + _indent(m[2]) + "\n"), "\\begin")
+            self._take("latex", _EQUATION, lambda m: self._keep(m[2].strip().replace("&", "").replace("\\\\", "")), "\\begin")
+            for guard, pattern, _ in _LATEX_KEPT:
+                self._take("latex", pattern, lambda m: self._keep(m[1].strip()), guard)
+            self._all("latex", _LATEX)
+            self._all("latex", _LATEX_ARGUMENT, again=True)
+            self._all("latex", _LATEX_REST)
+            if "latex" in self.found:
+                self._take("latex", _LATEX_MATH, lambda m: self._keep((m[1] or m[2]).strip()))
+                self._take("latex", _LATEX_ROW, lambda m: _cells(m[1], "&"))
+
+    def _markdown(self) -> None:
+        self._take("markdown", _CODE, lambda m: self._keep(m[1]), "`")
+        if "```" in self.text or "~~~" in self.text:
+            self._take("markdown", _FENCE, "")
+        self._all("markdown", _MD_LINK, again=True)
+        self._all("markdown", _MARKDOWN)
+        if "markdown" in self.found:
+            self._all("markdown", _MARKDOWN_THEN)
+
+    def _wiki(self) -> None:
+        self._take("wiki", _WIKI_CODE, lambda m: self._keep("\n" + _indent(m[1]) + "\n"), "{{code")
+        self._all("wiki", _WIKI_TEMPLATE, again=True)
+        self._all("wiki", _WIKI)
+        if "wiki" in self.found:
+            self._all("wiki", _WIKI_THEN[:1], again=True)
+            self._all("wiki", _WIKI_THEN[1:])
+
+    def _html(self) -> None:
+        self._take("html", _COMMENT, "", "<!")
+        if "<" in self.text and _TAG.search(self.text):
+            text = _closed(self.text)
+            page = _Page(len(_BLOCK_TAG.findall(text)) < 3)
+            page.feed(_NO_TAG.sub(_LESS, text).replace("&", _AND))
+            page.close()
+            self.blocks = [b for b in page.blocks if b[2].strip()]
+            if page.used or text != self.text:
+                self.found.add("html")
+
+    def scores(self) -> list[tuple[str, int, int]]:
+        """(path, characters outside links, characters) of the page's containers."""
+        sums: dict[str, list[int]] = {}
+        for path, _, body, linked in self.blocks or ():
+            size = len(body.strip())
+            s = sums.setdefault(path, [0, 0])
+            s[0] += max(0, size - linked)
+            s[1] += size
+        return [(p, a, b) for p, (a, b) in sums.items()]
+
+    def clean(self, won: frozenset[str] | None = None) -> str:
+        """The text by its winning paths, all if None; headings stay wherever they stand."""
+        if self.blocks is not None:
+            out = []
+            for path, kind, body, _ in self.blocks:
+                if won is not None and path and path not in won and kind != "head":
+                    continue
+                if kind == "code":
+                    out.append("\n" + _indent(body) + "\n")
+                elif kind == "item":
+                    out.append("- " + body.strip())
+                elif kind in ("head", "row"):
+                    out.append(("\n" if kind == "head" else "") + body.strip() + ("\n" if kind == "head" else ""))
+                else:
+                    out.append(body.strip("\n") + "\n")
+            self.text = "\n".join(out).replace(_LESS, "<").replace(_AND, "&")
+        self._take("html", _ENTITY, lambda m: html.unescape(m[0]), "&")
+        text = self.text
+        while "\x00" in text:
+            text = re.sub(r"\x00(\d+)\x00", lambda m: self.held[int(m[1])], text)
+        return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
+
+
+def convert(text: str, won: frozenset[str] | None = None) -> tuple[list[str], str]:
+    """(kinds of which a construct was taken out of ``text``, clean text). A text without markup is returned as it is."""
+    reading = Reading(text)
+    plain = reading.clean(won)
+    kinds = [k for k in KINDS if k in reading.found]
+    return kinds, plain if kinds else text
+
+
+def winning_paths(votes: DataFrame) -> DataFrame:
+    """(host, path) of the generalised paths for which no fewer pages of the host vote than against. ``votes`` has page, host, path, own, size."""
+    for_it = F.col("own") >= F.lit(MIN_TEXT_SHARE) * F.col("size")
+    return votes.groupBy("host", "path").agg(F.sum(F.when(for_it, 1).otherwise(-1)).alias("n")).where("n >= 0").select("host", "path")
+
+
+def page_winners(pages: DataFrame) -> DataFrame:
+    """(page, won) of the pages that have containers on losing paths. ``pages`` has page, host and text.
+
+    won holds the winning ones of the page's own paths, one a line, so no host's list has to fit anywhere. Pages all of
+    whose paths win have no row. Equal texts of a host are one page with one vote.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, host, path, own, size = [], [], [], [], []
+            rows = []
             for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = t.as_py()
-                if re.search(_TAG, text, re.I):
-                    for p, a, b in page_paths(text):
-                        page.append(i)
-                        host.append(h)
-                        path.append(p)
-                        own.append(a)
-                        size.append(b)
-            columns = [pa.array(page, pa.string()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(own, pa.int64()), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page", "host", "path", "own", "size"])
+                rows += [(i, h, p, a, b) for p, a, b in Reading(t.as_py()).scores() if p]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page", "host", "path", "own", "size"])
 
     likely = pages.where(F.col("text").rlike("<[A-Za-z/]"))
-    votes = durable(likely.select("page", "host", "text").mapInArrow(score, "page string, host string, path string, own long, size long"))
-    sums = votes.groupBy("host", "path").agg(F.sum("own").alias("own"), F.sum("size").alias("size"))
-    lost = durable(sums.where((F.col("own") < F.lit(MIN_TEXT_SHARE) * F.col("size")) & (F.col("path") != "")).select("host", "path"))
-    return votes.join(if_small(lost), ["host", "path"]).groupBy("page").agg(F.array_join(F.collect_set("path"), "\n").alias("lost"))
+    votes = durable(likely.select("page", "host", "text").mapInArrow(score, "page string, host string, path string, own long, size long")).distinct()
+    marked = votes.join(if_small(durable(winning_paths(votes).withColumn("wins", F.lit(True)))), ["host", "path"], "left")
+    mine = marked.groupBy("page").agg(F.array_join(F.collect_set(F.when(F.col("wins"), F.col("path"))), "\n").alias("won"), F.count_if(F.col("wins").isNull()).alias("n_lost"))
+    return mine.where("n_lost > 0").select("page", "won")
 
 
 def clean_texts(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, kinds, text) for each row with a key: the kinds of markup found and the clean text.
+    """(key, kinds, text) for each row with a key: the kinds of markup taken out and the clean text.
 
     A null text stays null and has no kinds. Texts are read whole; repeated rows stay repeated. A null source is a host too.
     """
     host = F.coalesce(F.lower(F.trim(F.col(source))), F.lit(""))
     pages = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), host.alias("host"), F.col(text).alias("text"))
     pages = pages.withColumn("page", F.sha2(F.concat("host", F.lit("\n"), "text"), 256))
-    # few pages have lost paths; only where they are many do the texts move to them
-    joined = pages.join(if_small(durable(lost_paths(pages))), "page", "left").select("key", "text", "lost")
+    # few pages have losing paths; only where they are many do the texts move to their lists
+    joined = pages.join(if_small(durable(page_winners(pages))), "page", "left").select("key", "text", "won")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, out = [], []
-            for t, gone in zip(batch.column(1), batch.column(2)):
+            for t, paths in zip(batch.column(1), batch.column(2).to_pylist()):
                 body = t.as_py()
-                found = kinds_of(body) if body else []
+                found, plain = convert(body, None if paths is None else frozenset(paths.split("\n"))) if body else ([], body)
                 kinds.append(found)
-                paths = gone.as_py()
-                out.append(clean(body, found, frozenset(paths.split("\n") if paths else ())) if found else body)
+                out.append(plain)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=["key", "kinds", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(convert, f"key {kind}, kinds array<string>, text string").withColumnsRenamed({"key": key, "text": text})
+    return joined.mapInArrow(read, f"key {kind}, kinds array<string>, text string").withColumnsRenamed({"key": key, "text": text})

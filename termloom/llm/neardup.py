@@ -6,24 +6,26 @@ and a text is the point of its group counts. The overlap of two texts is at most
 coordinate-wise minima of their points, and alike texts of sizes m and n overlap in at least
 a = ceil(t / (1 + t) * (m + n)) tokens.
 
-The index over the points is a tree of two levels, exact at both:
+This is not an R-tree over those points: one was measured and given up, since the bounding boxes of
+unrelated texts overlap in every dimension and it compares nearly all pairs (README). The points are
+indexed by their leading coordinates instead, with the same bound:
 
 * Coordinates are ordered from the group with the least mass in the collection to the one with the
   most. If the minima summed over the coordinates of two texts reach a, then among the first
   m - a + s tokens of the one and the first n - a + s of the other at least s are shared (s <= a).
-  So a text enters the tree's slabs only at its leading coordinates, and texts that share none are
-  never looked at together.
-* Within a slab the entries are packed by (token, size); a run of one token is a leaf. An entry's
+  So a text enters the index only at its leading coordinates, and texts that share none are never
+  looked at together.
+* Entries are exchanged by token into slabs; in a slab they are sorted by (token, size). An entry's
   place p bounds what is left: two entries can still reach a only if p < m - a + s on either side,
   and sizes are within t. Entry pairs failing the bound are cut before they are made.
 
 Pairs left with s shared leading tokens over all slabs are verified on their whole token sets.
 
-A dense R-tree over few groups was measured and given up: the minimum bounding boxes of unrelated
-texts overlap in every dimension, so it compares nearly all pairs (README).
-
 Texts with equal words are one class, which enters the index once, so copies cost no pairs. Tokens
-so common that a leaf would be large are split into blocks by class and meet as block pairs.
+so common that their entries would make a long run are split into blocks by class and meet as block
+pairs. Which tokens those are is estimated from the group masses: what a group holds beyond the
+median group. An estimate only chooses the route; every pair that shares a token meets on any route.
+No alike pair is lost, but for texts that 64 bits of hash take for copies.
 """
 
 from __future__ import annotations
@@ -40,10 +42,13 @@ from termloom.durable import durable
 from termloom.llm.shingles import mix, shingle_sets, word_count, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
-GROUP_BITS = 21  # the group masses are 16-bit counts: 4 MB sent to each executor at any input size
+MIN_GROUP_BITS, MAX_GROUP_BITS = 16, 23  # groups grow with the tokens; their masses are sent to every executor, 32 MB at most
+TOKENS_A_GROUP = 12
 SHARED = 8  # s: leading tokens that alike texts must share
 LEAF = 4096  # entries of one token that are compared as one block
 SLAB_TOKENS = 2_000_000  # tokens of the collection for each slab
+MAX_PARTS = 20_000  # beyond so many slabs a partition holds several, sorted, and reads one after the other
+_EXPANDED = 4_000_000  # entries of common tokens made at once
 _BLOCK = 4096
 
 
@@ -60,22 +65,22 @@ def _least_overlap(t: float, total: np.ndarray) -> np.ndarray:
     return np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
 
 
-def _blocks_sum(batches: Iterator[pa.RecordBatch], dtype: str, how) -> Iterator[pa.RecordBatch]:
+def _blocks_sum(batches: Iterator[pa.RecordBatch], how, start, put) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(data.as_buffer(), dtype)
+            x = start(data.as_buffer())
             if block in held:
                 how(held[block], x, out=held[block])
             else:
                 held[block] = x.copy()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([put(v).tobytes() for v in held.values()], pa.binary())], names=["block", "data"])
 
 
-def _gathered(made: DataFrame, dtype: str, length: int, how, parts: int) -> np.ndarray:
-    """The blocks of ``made``, combined by ``how``: a fixed-size array, whatever the input's size."""
-    summed = made.repartition(parts, "block").mapInArrow(lambda b: _blocks_sum(b, dtype, how), "block int, data binary")
+def _gathered(made: DataFrame, how, start, put, dtype: str, length: int, parts: int) -> np.ndarray:
+    """The blocks of ``made``, combined by ``how``: an array of bounded size, whatever the input's."""
+    summed = made.repartition(parts, "block").mapInArrow(lambda b: _blocks_sum(b, how, start, put), "block int, data binary")
     whole = np.zeros(length, dtype)
     for block, data in summed.collect():
         piece = np.frombuffer(bytes(data), dtype)
@@ -88,7 +93,9 @@ def _emit_blocks(whole: np.ndarray) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(rows.any(axis=1))
     for k in range(0, len(used), 64):
         part = used[k : k + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in part], pa.binary())], names=["block", "data"])
+        # counts that fit in four bytes go as such
+        data = [(rows[i].astype(np.int32) if rows.itemsize == 8 and rows[i].max() < 2**31 else rows[i]).tobytes() for i in part]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
 
 
 def _distinct_texts(batch: pa.RecordBatch, seen: set[int]) -> tuple[list[int], list[str]]:
@@ -101,11 +108,11 @@ def _distinct_texts(batch: pa.RecordBatch, seen: set[int]) -> tuple[list[int], l
     return cls, texts
 
 
-def group_masses(classes: DataFrame, width: int, group_bits: int = GROUP_BITS) -> tuple[np.ndarray, int]:
-    """How many tokens fall in each group (capped at 65 535; only an order), and the tokens' total."""
+def group_masses(classes: DataFrame, width: int, group_bits: int) -> np.ndarray:
+    """How many tokens of the collection fall in each group."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.zeros(1 << group_bits, np.int32), set()
+        held, seen = np.zeros(1 << group_bits, np.int64), set()
         for batch in batches:
             _, texts = _distinct_texts(batch, seen)
             for _, _, h in shingle_sets(texts, width):
@@ -114,72 +121,98 @@ def group_masses(classes: DataFrame, width: int, group_bits: int = GROUP_BITS) -
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = classes.select("cls", "words").mapInArrow(count, "block int, data binary")
-    mass = _gathered(made, "int32", 1 << group_bits, np.add, parts)
-    return np.minimum(mass, 65535).astype(np.uint16), int(mass.sum(dtype=np.int64))
+    counts = lambda data: np.frombuffer(data, np.int32 if len(data) == 4 * _BLOCK else np.int64).astype(np.int64)
+    return _gathered(made, np.add, counts, lambda v: v.astype(np.float32), "float32", 1 << group_bits, parts)
+
+
+_STEP = 1024  # places in the order for each doubling of the mass
+
+
+def _places_of(masses: np.ndarray) -> np.ndarray:
+    """16 bits by which the groups are ordered: the logarithm of their mass."""
+    return np.floor(np.log2(1.0 + masses) * _STEP).astype(np.uint16)
+
+
+def _blocks_of(place: np.ndarray, usual: float) -> np.ndarray:
+    """Into how many blocks the entries of a token fall, 1 if they stay together: by what its group holds beyond the usual."""
+    load = np.exp2(place.astype(np.float64) / _STEP) - 1.0 - usual
+    return np.where(load >= LEAF, np.ceil(load / LEAF) + 1, 1).astype(np.int64)
 
 
 def _route(classes: DataFrame, masses: np.ndarray, width: int, t: float, slabs: int) -> DataFrame:
     """One row for each class and slab: its leading tokens there, their places, and its size."""
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast(masses)
+    usual = float(np.median(masses[masses > 0])) if masses.any() else 0.0
+    sent = spark.sparkContext.broadcast(_places_of(masses))
     bits = int(math.log2(len(masses)))
 
+    def rows(cls: np.ndarray, size: np.ndarray, token: np.ndarray, place: np.ndarray, side: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        slab = (token >> np.uint64(33)).astype(np.int64) % slabs
+        o = np.lexsort((slab, d))
+        slab, d, token, place, side = slab[o], d[o], token[o], place[o], side[o]
+        cut = np.flatnonzero(np.concatenate([[True], (slab[1:] != slab[:-1]) | (d[1:] != d[:-1])])) if len(d) else np.zeros(0, np.int64)
+        ends = np.concatenate([cut[1:], [len(slab)]]) if len(d) else cut
+        tok = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        plc = np.minimum(place, 65535).astype(np.uint16)  # a smaller place only lets more pairs through
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(slab[cut], pa.int32()),
+                pa.array(cls[d[cut]], pa.int64()),
+                pa.array(size[d[cut]], pa.int32()),
+                pa.array([tok[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                pa.array([plc[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                pa.array([side[a:b].tobytes() if (side[a:b] != 2).any() else None for a, b in zip(cut, ends)], pa.binary()),
+            ],
+            names=["slab", "cls", "n", "tokens", "places", "sides"],
+        )
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, seen = sent.value, set()
+        order, seen = sent.value, set()
         for batch in batches:
             cls, texts = _distinct_texts(batch, seen)
             for first, doc, h in shingle_sets(texts, width):
                 if not len(h):
                     continue
-                load = mass[(h >> np.uint64(52 - bits)).astype(np.int64)].astype(np.uint64)
-                key = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (load << np.uint64(36)) | (h & np.uint64((1 << 36) - 1)))
+                at = order[(h >> np.uint64(52 - bits)).astype(np.int64)].astype(np.uint64)
+                key = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (at << np.uint64(36)) | (h & np.uint64((1 << 36) - 1)))
                 size = np.bincount(doc)
                 place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
                 n = size[doc]
                 least = np.ceil(t * n - 1e-9).astype(np.int64)  # overlap with the smallest partner there can be
                 lead = place < n - least + np.minimum(SHARED, least)
                 key, place, d = key[lead], place[lead], doc[lead]
-                token, load = mix(key & np.uint64((1 << 52) - 1)), (key >> np.uint64(36)) & np.uint64(65535)
-                side = np.full(len(key), 2, np.uint8)
-                many = load >= LEAF
-                if many.any():
-                    ids = np.array(cls[first : first + len(size)], np.int64).view(np.uint64)
-                    extra = [_split(token[many], load[many], ids[d[many]])]
-                    at, tok, sd = extra[0]
-                    src = np.flatnonzero(many)[at]
-                    keep = ~many
-                    token, side = np.concatenate([token[keep], tok]), np.concatenate([side[keep], sd])
-                    place, d = np.concatenate([place[keep], place[src]]), np.concatenate([d[keep], d[src]])
-                slab = (token >> np.uint64(34)).astype(np.int64) % slabs
-                o = np.lexsort((slab, d))
-                slab, d, token, place, side = slab[o], d[o], token[o], place[o], side[o]
-                cut = np.flatnonzero(np.concatenate([[True], (slab[1:] != slab[:-1]) | (d[1:] != d[:-1])]))
-                ends = np.concatenate([cut[1:], [len(slab)]])
-                tok = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                plc = np.minimum(place, 65535).astype(np.uint16)  # a smaller place only lets more pairs through
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(slab[cut], pa.int32()),
-                        pa.array(np.array(cls[first : first + len(size)], np.int64)[d[cut]], pa.int64()),
-                        pa.array(size[d[cut]], pa.int32()),
-                        pa.array([tok[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                        pa.array([plc[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                        pa.array([side[a:b].tobytes() if (side[a:b] != 2).any() else None for a, b in zip(cut, ends)], pa.binary()),
-                    ],
-                    names=["slab", "cls", "n", "tokens", "places", "sides"],
-                )
+                token = mix(key & np.uint64((1 << 52) - 1))
+                blocks = _blocks_of((key >> np.uint64(36)) & np.uint64(65535), usual)
+                ids = np.array(cls[first : first + len(size)], np.int64)
+                # texts with many entries in common tokens go in smaller lots
+                load = np.cumsum(np.bincount(d, weights=np.where(blocks > 1, blocks, 0), minlength=len(size)))
+                lot = (load // _EXPANDED).astype(np.int64)[d]
+                for k in np.unique(lot):
+                    own = lot == k
+                    yield rows(ids, size, *_spread(token[own], place[own], blocks[own], d[own], ids.view(np.uint64)))
 
     return classes.select("cls", "words").mapInArrow(route, "slab int, cls long, n int, tokens binary, places binary, sides binary")
 
 
-def _split(token: np.ndarray, load: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spread(token: np.ndarray, place: np.ndarray, blocks: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, place, side, d) with the common tokens' entries replaced by those of their block pairs."""
+    side = np.full(len(token), 2, np.uint8)
+    many = blocks > 1
+    if not many.any():
+        return token, place, side, d
+    at, tok, sides = _split(token[many], blocks[many], ids[d[many]])
+    src = np.flatnonzero(many)[at]
+    keep = ~many
+    return np.concatenate([token[keep], tok]), np.concatenate([place[keep], place[src]]), np.concatenate([side[keep], sides]), np.concatenate([d[keep], d[src]])
+
+
+def _split(token: np.ndarray, k: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A common token's entries fall into k blocks by class; each enters its k block pairs under a token made for the pair."""
-    k = (load.astype(np.int64) + LEAF - 1) // LEAF + 1
     mine = (mix(cls) % k.astype(np.uint64)).astype(np.int64)
     at = np.repeat(np.arange(len(token)), k)
     other = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
     lo, hi = np.minimum(mine[at], other), np.maximum(mine[at], other)
-    tok = mix(token[at] + np.uint64(0x9E3779B97F4A7C15) * (lo * 4096 + hi + 1).astype(np.uint64))
+    tok = mix(token[at] + np.uint64(0x9E3779B97F4A7C15) * ((lo << 31) + hi + 1).astype(np.uint64))
     side = np.where(lo == hi, 2, np.where(mine[at] == lo, 0, 1)).astype(np.uint8)
     return at, tok, side
 
@@ -212,23 +245,19 @@ def _pairs_in_slab(cls: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.
 def _candidates(routed: DataFrame, t: float, slabs: int) -> DataFrame:
     """Class pairs (a, b, least) that share at least ``s`` leading tokens over all slabs."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+    def of_slab(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
+        # a class may come from several tasks, each with the same row: it counts once
+        _, once = np.unique(table.column("cls").to_numpy(), return_index=True)
+        table = table.take(pa.array(np.sort(once))) if len(once) < len(table) else table
         cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
         token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32)
-        place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint16)
-        many = np.array([len(x) // 2 for x in table.column("places").to_pylist()])
+        places = table.column("places").to_pylist()
+        place = np.frombuffer(b"".join(places), np.uint16)
+        many = np.array([len(x) // 2 for x in places])
         side = np.frombuffer(b"".join(x if x is not None else b"\x02" * k for x, k in zip(table.column("sides").to_pylist(), many)), np.uint8)
         row = np.repeat(np.arange(len(cls)), many)
-        # a class may come from several tasks: its entry counts once
-        o = np.lexsort((token, cls[row]))
-        once = np.ones(len(o), bool)
-        once[1:] = (token[o][1:] != token[o][:-1]) | (cls[row][o][1:] != cls[row][o][:-1])
-        o = o[once]
-        row, token, place, side = row[o], token[o], place[o], side[o]
+        # tokens that agree in 32 bits count as one: pairs may look more alike than they are, never less
         for a, b, both in _pairs_in_slab(cls[row], n[row], token, place, side, t):
             if not len(a):
                 continue
@@ -239,7 +268,22 @@ def _candidates(routed: DataFrame, t: float, slabs: int) -> DataFrame:
                 [pa.array(a[new]), pa.array(b[new]), pa.array(both[new], pa.int32()), pa.array(np.diff(np.concatenate([new, [len(a)]])), pa.int32())], names=["a", "b", "sizes", "shared"]
             )
 
-    met = routed.repartitionById(slabs, F.col("slab")).mapInArrow(meet, "a long, b long, sizes int, shared int")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            slab = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(slab[1:] != slab[:-1]) + 1).tolist(), len(slab)] if len(slab) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != slab[a]:
+                    yield from of_slab(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from of_slab(held)
+
+    parts = min(slabs, max(MAX_PARTS, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = routed.repartitionById(parts, F.pmod("slab", F.lit(parts)))
+    met = (placed if parts == slabs else placed.sortWithinPartitions("slab")).mapInArrow(meet, "a long, b long, sizes int, shared int")
     least = F.ceil(F.lit(t / (1 + t)) * F.col("sizes") - F.lit(1e-9))
     summed = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("sizes").alias("sizes"))
     return summed.where(F.col("shared") >= F.least(F.lit(SHARED), least)).select("a", "b")
@@ -256,7 +300,8 @@ def _bitmap_of(ids: DataFrame, bits: int) -> np.ndarray:
         yield from _emit_blocks(packed)
 
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _gathered(ids.mapInArrow(mark, "block int, data binary"), "uint8", 1 << (bits - 3), np.bitwise_or, parts)
+    as_bytes = lambda data: np.frombuffer(data, np.uint8)
+    return _gathered(ids.mapInArrow(mark, "block int, data binary"), np.bitwise_or, as_bytes, lambda v: v, "uint8", 1 << (bits - 3), parts)
 
 
 def _texts_of(classes: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
@@ -283,7 +328,9 @@ def _texts_of(classes: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
 def alike_classes(classes: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, similarity) of different classes, a < b, with similarity >= ``threshold``. No alike pair is lost."""
     spark = classes.sparkSession
-    masses, total = group_masses(classes, width)
+    total = classes.agg(F.sum(F.greatest(word_count(F.col("words")) - (width - 1), F.lit(0)).cast("bigint"))).first()[0] or 0
+    group_bits = min(MAX_GROUP_BITS, max(MIN_GROUP_BITS, math.ceil(math.log2(total / TOKENS_A_GROUP + 1))))
+    masses = group_masses(classes, width, group_bits)
     slabs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SLAB_TOKENS))
     near = durable(_candidates(_route(classes, masses, width, threshold, slabs), threshold, slabs))
     texts = _texts_of(classes, near.select(F.explode(F.array("a", "b")).alias("cls")))

@@ -214,6 +214,30 @@ have AS (SELECT t.name, t.source, t.share, t.repeats, coalesce(sum(size), 0) AS
 total AS (SELECT sum(have) AS total FROM have)
 """
 
+# the constructs of each kind for an engine without look-around, over a text with LF line ends; word characters of any script
+_W = r"\p{L}\p{N}_"
+_CONSTRUCTS = {
+    "html": [r"(?i:</?(?:" + "|".join(markup.TAGS) + r")(?:[\s/][^<>]*)?>|<!--|<!doctype\b|&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg)(?:[^a-z0-9=;]|$))"],
+    "markdown": [
+        r"^ {0,3}#{1,6}[ \t]+\S", r"^ {0,3}\S[^\n|]*\n {0,3}(?:={3,}|-{3,})[ \t]*$", r"^ {0,3}(?:```+|~~~+)[^\n`~]*$", r"^ {0,3}>[ \t]?\S", r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+\[[ xX]\][ \t]+\S",
+        r"^ {0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", r'\[[^\[\]\n]+\]\([^()\s]+(?:[ \t]+"[^"\n]*")?\)', rf"(?:^|[^{_W}\]])\[[^\[\]\n]+\]\[\w[^\[\]\n]*\]",
+        r"^ {0,3}\[[^\[\]\n]+\]:[ \t]*\S", r"\[\^[^\[\]\s]+\]", r"(?:^|[^`])`[^`\n]+`(?:[^`]|$)",
+        *[rf"(?:^|[^{_W}*\\])\*{{{k}}}(?:[^\s*\\]{{1,2}}|[^\s*][^*\n]*[^\s*\\]{{2}})\*{{{k}}}(?:[^{_W}*]|$)" for k in (1, 2, 3)],
+        rf"(?:^|[^{_W}\\])_[^\s_](?:[^_\n]*[^\s_])?_(?:[^{_W}]|$)", rf"(?:^|[^{_W}\\])__[^\s_][^_\n]*[ \t][^_\n]*[^\s_]__(?:[^{_W}]|$)", rf"(?:^|[^{_W}~])~~[^\s~](?:[^~\n]*[^\s~])?~~(?:[^{_W}~]|$)",
+    ],
+    "wiki": [
+        r"""\[\[(?:[A-Za-z][^\[\]\n]*|[^\[\]\n\d\s,'"][^\[\]\n]*[A-Za-z][^\[\]\n]*)\]\]""", rf"(?:^|[^{_W}'])'{{2,3}}[^\s'](?:[^'\n]*(?:'[^'\n]+)*[^\s'])?'{{2,3}}(?:[^{_W}']|$)", *[rf"^={{{k}}}[^=\n]*[^=\s][^=\n]*={{{k}}}[ \t]*$" for k in range(2, 7)],
+        r"\{\{[A-Za-z#:][^{}]*\}\}", r"^\{\|", r"^\|-[ \t]*$", r"^\|\}", "__(?:" + "|".join(markup.SWITCHES) + ")__", r"^#REDIRECT\b", r"\[https?://\S+[ \t]+[^\[\]\n]+\]", r"</?(?:nowiki|ref)\b[^<>]*>",
+    ],
+    "latex": [
+        r"(?:^|[^:\\])\\[A-Za-z]+\*?\{", rf"""(?:^|[^{_W}:\\."'])\\[A-Za-z]+\*?(?:[\s{{}}\[\]()$,;.^_~&=]|$)""", r"\$\$[^$]+\$\$", rf"(?:^|[^{_W}\\])\\\([^\n]+?\\\)", r"^[ \t]*\\\[(?s:.*?)\\\]",
+        rf"(?:^|[^{_W}$\\])\$(?:[^\s$][^$\n]*)?(?:\\[A-Za-z]|[\^_=])(?:[^$\n]*[^\s$])?\$(?:[^{_W}$]|$)",
+    ],
+}
+_MARKUP = "WITH t AS (SELECT DISTINCT doc_key, replace(text, chr(13), '') AS text FROM docs WHERE doc_key IS NOT NULL AND text IS NOT NULL)\n" + "\nUNION ALL ".join(
+    f"SELECT doc_key, '{kind}' AS kind FROM t WHERE " + " OR ".join("regexp_matches(text, '(?m)" + p.replace("'", "''") + "')" for p in patterns) for kind, patterns in _CONSTRUCTS.items()
+)
+
 _LEFT, _RIGHT = "-ln(cume_dist() OVER (PARTITION BY lang ORDER BY {0}))", "-ln(cume_dist() OVER (PARTITION BY lang ORDER BY {0} DESC))"
 _LETTERS = "length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) / length(text)::DOUBLE"
 
@@ -238,6 +262,7 @@ least AS (SELECT u AS cls, least(min(v), u) AS group_id FROM reach GROUP BY u),
 degree AS (SELECT u AS cls, count(*) AS n_links FROM ways GROUP BY u)
 SELECT doc_key, cls AS class_id, coalesce(group_id, cls) AS group_id, coalesce(n_links, 0) AS n_links, n_copies FROM named LEFT JOIN least USING (cls) LEFT JOIN degree USING (cls)
 """,
+    "p7_found": _MARKUP,
     "p8_report": f"""
 WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0)
 SELECT CAST(sum((n + {8 * CAPACITY - 1}) // {8 * CAPACITY}) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total_size, CAST((sum(n) + {8 * CAPACITY - 1}) // {8 * CAPACITY} AS BIGINT) AS least_containers,

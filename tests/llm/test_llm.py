@@ -8,6 +8,7 @@ import random
 import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,17 +71,33 @@ def brute_pairs(rows, width, t, least):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if (i := len(sets[a] & sets[b])) and i / (len(sets[a]) + len(sets[b]) - i) >= t}
 
 
-@pytest.mark.parametrize(("width", "t", "leaf"), [(3, 0.5, 4096), (5, 0.8, 4096), (3, 0.3, 3)])
-def test_near_duplicates(spark, monkeypatch, width, t, leaf):
+@pytest.mark.parametrize(("width", "t", "leaf", "bits"), [(3, 0.5, 4096, 23), (5, 0.8, 4096, 23), (3, 0.3, 3, 23), (3, 0.5, 20, 12)])
+def test_near_duplicates(spark, monkeypatch, width, t, leaf, bits):
     rows = near_corpus()
     df = spark.createDataFrame([(k, x, "c", 1) for k, x in rows], "id string, body string, cls string, key int")
     classes = neardup.classes_of(df, "id", "body", width)
     monkeypatch.setattr(neardup, "LEAF", leaf)  # a small leaf makes every common token meet in block pairs
+    monkeypatch.setattr(neardup, "MIN_GROUP_BITS", min(bits, 16))
+    monkeypatch.setattr(neardup, "MAX_GROUP_BITS", bits)  # few groups: each holds many tokens, all masses are alike
+    monkeypatch.setattr(neardup, "_EXPANDED", 4_000_000 if leaf > 3 else 50)
+    if leaf < 4096:
+        monkeypatch.setattr(neardup, "MAX_PARTS", 3)  # several slabs in a partition
+        monkeypatch.setattr(neardup, "SLAB_TOKENS", 2_000)
     got = {tuple(r) for r in neardup.alike_pairs(df, "id", "body", width, t, 20).collect()}
     assert got == brute_pairs(rows, width, t, 20) and len(got) > 10
     assert classes.count() == len([1 for k, x in rows if k and len(re.findall("[a-z]+", x or "")) >= width])
 
 
+def test_places_and_blocks_at_any_mass():
+    masses = np.array([0, 1, 2, 65_535, 70_000, 3e9, 5e12], np.float32)
+    places = neardup._places_of(masses)
+    assert (np.diff(places.astype(int)) > 0).all()
+    blocks = neardup._blocks_of(places, 100.0)
+    assert blocks[:3].tolist() == [1, 1, 1] and blocks[4] == -(-(70_000 - 100) // neardup.LEAF) + 1 and blocks[5] == pytest.approx(3e9 / neardup.LEAF, rel=0.01)
+    big = next(iter(neardup._emit_blocks(np.full(4096, 2**33, np.int64))))
+    assert len(big.column(1)[0].as_py()) == 8 * 4096
+
+
 def test_near_duplicate_groups(spark):
     rows = near_corpus()
     df = spark.createDataFrame(rows, "id string, body string")
@@ -170,6 +187,16 @@ def log(spark):
     return spark.createDataFrame([(*r, 1, 2) for r in rows], STATE), rows
 
 
+@pytest.mark.parametrize("far", [0, 2**62])
+def test_latest_tf_of_any_size(spark, far):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+    rows = [("a", "u", 5000, at[0]), ("a", "u", 2047, at[0]), ("a", "u", 9000, at[0]), ("b", "u", 1, None), ("b", "u", -3, at[0]), ("c", "u", 7, None), ("c", "u", 9, None), ("d", "u", far, at[1]), ("d", "u", 1, at[1])]
+    got = {(r.term, r.url): r.tf for r in postings.latest_tf(spark.createDataFrame([(*r, 1, 2) for r in rows], STATE)).collect()}
+    assert got == {("a", "u"): 9000, ("b", "u"): -3, ("c", "u"): 9, ("d", "u"): max(far, 1)}
+
+
 def brute_state(rows):
     best: dict = {}
     for t, u, tf, at in rows:
@@ -272,11 +299,12 @@ KINDS = [
 
 @pytest.mark.parametrize(("text", "kinds"), KINDS)
 def test_kinds(text, kinds):
-    assert markup.kinds_of(text) == kinds
+    got, plain = markup.convert(text)
+    assert got == kinds and (kinds or plain == text)
 
 
 def test_clean_keeps_structure():
-    c = lambda t: markup.clean(t, markup.kinds_of(t))
+    c = lambda t: markup.convert(t)[1]
     assert c("# Head\n\nA **b** `c_d` [e](f).\n\n```py\nx = *y*\n```\n- [x] i\n> q") == "Head\n\nA b c_d e.\n\n    x = *y*\n\n- i\nq"
     assert c("<h1>T</h1><p>a <b>b</b> &lt; c</p><ul><li>i</li></ul><pre><code>x  y\n z</code></pre><p>m</p>") == "T\n\na b < c\n\n- i\n\n    x  y\n     z\n\nm"
     assert c("== H ==\n''a'' [[b|c]] {{term|d}}\n{{code|1=x = 1\n}}\n* [[i]]") == "H\na c d\n\n    x = 1\n\n* i"
@@ -292,7 +320,24 @@ def test_clean_keeps_structure():
     ],
 )
 def test_silent_only_where_closed(text, want):
-    assert markup.clean(text, markup.kinds_of(text)) == want.strip("\n")
+    assert markup.convert(text)[1] == want.strip("\n")
+
+
+def test_any_nesting():
+    deep = "core"
+    for k in range(12):
+        deep = f"\\emph{{{deep}}}" if k % 2 else f"\\textbf{{a {deep}}}"
+    assert markup.convert(deep) == (["latex"], "a a a a a a core")
+    assert markup.convert("{{a" * 12 + "}}" * 12 + "x") == (["wiki"], "x")
+    assert markup.convert("[" * 5 + "t" + "](u)" * 5) == (["markdown"], "t")
+    assert markup.convert("<div>" * 3000 + "text" + "</div>" * 3000) == (["html"], "text")
+
+
+def test_kinds_are_what_was_taken():
+    """No kind without a change: a text with a kind loses its construct, one without stays as it is."""
+    for text, kinds in KINDS:
+        got, plain = markup.convert(text)
+        assert bool(got) == bool(kinds) and (plain != text) >= bool(kinds and "html" in kinds)
 
 
 def test_consensus_paths(spark):
