@@ -27,16 +27,28 @@ def latest_tf(postings: DataFrame, term: str = "term", url: str = "url", tf: str
     """
     rows = postings.where((F.length(term) > 0) & F.col(url).isNotNull())
     value = F.coalesce(F.col(tf).cast("bigint"), F.lit(1).cast("bigint"))
-    moment = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**63)).cast("bigint"))
-    rows = rows.select(F.col(term).alias("term"), F.col(url).alias("url"), value.alias("tf"), moment.alias("o"))
-    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // ROWS_A_PART)
+    rows = rows.select(F.col(term).alias("term"), F.col(url).alias("url"), value.alias("tf"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"))
+    first, last, least, most, n = rows.agg(F.min("at"), F.max("at"), F.min("tf"), F.max("tf"), F.count(F.lit(1))).first()
+    tf_bits = ((most or 0) - (least or 0)).bit_length()
+    packed = ((last or 0) - (first or 0) + 1).bit_length() + tf_bits <= 62
+    latest = (lambda r: _last_packed(r, first or 0, least or 0, tf_bits)) if packed else _last
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_A_PART)
     heavy = F.broadcast(heavy_keys(postings, url).select(F.col(url).alias("url")))
-    return durable(_last(rows.join(heavy, "url", "left_semi")).unionByName(_last(rows.join(heavy, "url", "left_anti").repartition(parts, "url"))))
+    return durable(latest(rows.join(heavy, "url", "left_semi")).unionByName(latest(rows.join(heavy, "url", "left_anti").repartition(parts, "url"))))
+
+
+def _last_packed(rows: DataFrame, first: int, least: int, tf_bits: int) -> DataFrame:
+    """Time above, tf below, in one number: its maximum is the state, and the aggregation keeps one fixed-width buffer."""
+    moment = F.coalesce(F.col("at") - F.lit(first).cast("bigint") + 1, F.lit(0).cast("bigint"))
+    order = F.shiftleft(moment, tf_bits) + (F.col("tf") - F.lit(least).cast("bigint"))
+    state = rows.select("url", "term", order.alias("o")).groupBy("url", "term").agg(F.max("o").alias("o"))
+    return state.select("url", "term", (F.col("o").bitwiseAND(F.lit((1 << tf_bits) - 1).cast("bigint")) + F.lit(least).cast("bigint")).alias("tf"))
 
 
 def _last(rows: DataFrame) -> DataFrame:
-    """Two steps with fixed-width buffers, by time and then over the times: one step over (time, tf) structs would have to sort."""
-    by_time = rows.groupBy("url", "term", "o").agg(F.max("tf").alias("tf"))
+    """For times and tf too far apart for one number: by time, then over the times."""
+    moment = F.coalesce("at", F.lit(-(2**63)).cast("bigint"))
+    by_time = rows.select("url", "term", "tf", moment.alias("o")).groupBy("url", "term", "o").agg(F.max("tf").alias("tf"))
     return by_time.groupBy("url", "term").agg(F.max_by("tf", "o").alias("tf"))
 
 
