@@ -142,6 +142,26 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_positions(df.limit(0), "id", "own", "body").count() == 0
 
 
+def test_every_line_is_a_hypothesis(spark):
+    rows = [(f"p{i}", f"o{i % 7}", "\n".join(f"line of letters {'abcdefghij'[k]}" + "xyzw"[i % 4] * (i % (k + 2)) for k in range(6))) for i in range(60)]
+    pages = {k: (o, {x for x in t.split("\n")}) for k, o, t in rows}
+    inside, n_in = collections.Counter((o, x) for o, ls in pages.values() for x in ls), collections.Counter(o for o, _ in pages.values())
+    overall = collections.Counter(x for _, ls in pages.values() for x in ls)
+    got = repeated_lines.line_tests(repeated_lines.keyed_lines(spark.createDataFrame(rows, "id string, own string, body string"), "id", "own", "body", 5)).collect()
+    assert sum(r.weight for r in got) == len(inside)
+    part = lambda k, e: k * math.log(k / e) if k else 0
+    want = collections.Counter()
+    for (o, x), a in inside.items():
+        b, m, n = overall[x] - a, n_in[o], 60
+        k = a + b
+        g2 = 2 * (part(a, m * k / n) + part(m - a, m * (n - k) / n) + part(b, (n - m) * k / n) + part(n - m - b, (n - m) * (n - k) / n))
+        want[a, m, b, n - m, round(math.erfc(math.sqrt(max(0, g2) / 2)) if a * (n - m) > b * m else 1, 5)] += 1
+    have = collections.Counter()
+    for r in got:
+        have[r.k_in, r.n_in, r.k_out, r.n_out, round(r.p, 5)] += r.weight
+    assert have == want
+
+
 @pytest.mark.parametrize("owners", [1, 3])
 def test_lines_of_every_owner_are_found(spark, tmp_path, owners):
     from termloom.llm import queries
@@ -158,9 +178,9 @@ def test_step_up_equals_the_rule(spark):
         ps = [rng.random() ** rng.choice([1, 3, 12]) for _ in range(400)] + [0.0, 0.0, 1.0, 1.0]
         s = sorted(ps)
         want = max((p for i, p in enumerate(s, 1) if p <= rate * i / len(s)), default=-1)
-        bound = repeated_lines.step_up_bound(spark.createDataFrame([(p,) for p in ps], "p double"), rate)
+        bound = repeated_lines.step_up_bound(spark.createDataFrame([(p, 1) for p in ps], "p double, weight long"), rate)
         assert [p for p in s if p <= bound] == [p for p in s if p <= want]
-    assert repeated_lines.step_up_bound(spark.createDataFrame([(0.5,)] * 20, "p double"), 0.01) == -1 == repeated_lines.step_up_bound(spark.createDataFrame([], "p double"), 0.01)
+    assert repeated_lines.step_up_bound(spark.createDataFrame([(0.5, 20)], "p double, weight long"), 0.01) == -1 == repeated_lines.step_up_bound(spark.createDataFrame([], "p double, weight long"), 0.01)
 
 
 def test_tail_and_step_up(spark):
@@ -168,7 +188,7 @@ def test_tail_and_step_up(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(repeated_lines._tail(F.col("x"))).collect()]
     assert got == pytest.approx([math.erfc(math.sqrt(x / 2)) for x in xs], rel=1e-5)
     ps = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
-    bound = repeated_lines.step_up_bound(spark.createDataFrame([(p,) for p in ps], "p double"), 0.05)
+    bound = repeated_lines.step_up_bound(spark.createDataFrame([(p, 1) for p in ps], "p double, weight long"), 0.05)
     assert [p for p in ps if p <= bound] == [0.001, 0.008]
 
 
