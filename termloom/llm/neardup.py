@@ -31,6 +31,7 @@ No alike pair is lost, but for texts that 64 bits of hash take for copies.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,8 @@ def _least_overlap(t: float, total: np.ndarray) -> np.ndarray:
 def _blocks_sum(batches: Iterator[pa.RecordBatch], how, start, put) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = start(data.as_buffer())
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = start(zlib.decompress(data))
             if block in held:
                 how(held[block], x, out=held[block])
             else:
@@ -93,8 +94,9 @@ def _emit_blocks(whole: np.ndarray) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(rows.any(axis=1))
     for k in range(0, len(used), 64):
         part = used[k : k + 64]
-        # counts that fit in four bytes go as such
-        data = [(rows[i].astype(np.int32) if rows.itemsize == 8 and rows[i].max() < 2**31 else rows[i]).tobytes() for i in part]
+        # counts that fit in two bytes go as such
+        small = [rows.itemsize == 8 and rows[i].max() < 2**16 for i in part]
+        data = [zlib.compress((rows[i].astype(np.uint16) if s else rows[i]).tobytes(), 1) for i, s in zip(part, small)]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
 
 
@@ -121,7 +123,7 @@ def group_masses(classes: DataFrame, width: int, group_bits: int) -> np.ndarray:
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = classes.select("cls", "words").mapInArrow(count, "block int, data binary")
-    counts = lambda data: np.frombuffer(data, np.int32 if len(data) == 4 * _BLOCK else np.int64).astype(np.int64)
+    counts = lambda data: np.frombuffer(data, np.uint16 if len(data) == 2 * _BLOCK else np.int64).astype(np.int64)
     return _gathered(made, np.add, counts, lambda v: v.astype(np.float32), "float32", 1 << group_bits, parts)
 
 
@@ -139,6 +141,15 @@ def _blocks_of(place: np.ndarray, usual: float) -> np.ndarray:
     return np.where(load >= LEAF, np.ceil(load / LEAF) + 1, 1).astype(np.int64)
 
 
+def _steps(step: np.ndarray, place: np.ndarray) -> bytes:
+    """Places as the steps between them, a byte each, or as they are where a step is too long or goes back."""
+    return step.astype(np.uint8).tobytes() if ((step >= 0) & (step < 256)).all() else place.astype(np.uint16).tobytes()
+
+
+def _from_steps(places: list[bytes], many: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int64) if len(x) == n else np.frombuffer(x, np.uint16).astype(np.int64) for x, n in zip(places, many)])
+
+
 def _route(classes: DataFrame, masses: np.ndarray, width: int, t: float, slabs: int) -> DataFrame:
     """One row for each class and slab: its leading tokens there, their places, and its size."""
     spark = classes.sparkSession
@@ -153,14 +164,16 @@ def _route(classes: DataFrame, masses: np.ndarray, width: int, t: float, slabs:
         cut = np.flatnonzero(np.concatenate([[True], (slab[1:] != slab[:-1]) | (d[1:] != d[:-1])])) if len(d) else np.zeros(0, np.int64)
         ends = np.concatenate([cut[1:], [len(slab)]]) if len(d) else cut
         tok = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        plc = np.minimum(place, 65535).astype(np.uint16)  # a smaller place only lets more pairs through
+        plc = np.minimum(place, 65535).astype(np.int64)  # a smaller place only lets more pairs through
+        step = np.diff(plc, prepend=0)
+        step[cut] = plc[cut]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(slab[cut], pa.int32()),
                 pa.array(cls[d[cut]], pa.int64()),
                 pa.array(size[d[cut]], pa.int32()),
                 pa.array([tok[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                pa.array([plc[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                pa.array([_steps(step[a:b], plc[a:b]) for a, b in zip(cut, ends)], pa.binary()),
                 pa.array([side[a:b].tobytes() if (side[a:b] != 2).any() else None for a, b in zip(cut, ends)], pa.binary()),
             ],
             names=["slab", "cls", "n", "tokens", "places", "sides"],
@@ -218,7 +231,7 @@ def _split(token: np.ndarray, k: np.ndarray, cls: np.ndarray) -> tuple[np.ndarra
 
 
 def _pairs_in_slab(cls: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.ndarray, side: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, shared tokens), i and j being places in ``cls``, for entries that pass the bound."""
+    """(class, class, tokens they must share) of the pairs of entries that pass the bound."""
     o = np.lexsort((n, token))
     token, cls, n, place, side = token[o], cls[o], n[o].astype(np.int64), place[o].astype(np.int64), side[o]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -238,7 +251,7 @@ def _pairs_in_slab(cls: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.
         s = np.minimum(SHARED, a)
         ok = (n[j] * t <= n[i] + 1e-9) & (place[i] < n[i] - a + s) & (place[j] < n[j] - a + s) & ((side[i] == 2) | (side[i] != side[j])) & (cls[i] != cls[j])
         i, j = i[ok], j[ok]
-        yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(n[i], n[j]) + np.maximum(n[i], n[j])
+        yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), s[ok]
         begin = stop
 
 
@@ -251,22 +264,21 @@ def _candidates(routed: DataFrame, t: float, slabs: int) -> DataFrame:
         _, once = np.unique(table.column("cls").to_numpy(), return_index=True)
         table = table.take(pa.array(np.sort(once))) if len(once) < len(table) else table
         cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-        token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32)
-        places = table.column("places").to_pylist()
-        place = np.frombuffer(b"".join(places), np.uint16)
-        many = np.array([len(x) // 2 for x in places])
+        tokens = table.column("tokens").to_pylist()
+        token, many = np.frombuffer(b"".join(tokens), np.uint32), np.array([len(x) // 4 for x in tokens])
+        place = _from_steps(table.column("places").to_pylist(), many)
         side = np.frombuffer(b"".join(x if x is not None else b"\x02" * k for x, k in zip(table.column("sides").to_pylist(), many)), np.uint8)
         row = np.repeat(np.arange(len(cls)), many)
         # tokens that agree in 32 bits count as one: pairs may look more alike than they are, never less
-        for a, b, both in _pairs_in_slab(cls[row], n[row], token, place, side, t):
+        for a, b, need in _pairs_in_slab(cls[row], n[row], token, place, side, t):
             if not len(a):
                 continue
             o = np.lexsort((b, a))
-            a, b, both = a[o], b[o], both[o]
+            a, b, need = a[o], b[o], need[o]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[new]), pa.array(b[new]), pa.array(both[new], pa.int32()), pa.array(np.diff(np.concatenate([new, [len(a)]])), pa.int32())], names=["a", "b", "sizes", "shared"]
-            )
+            # one number for what must be shared and what is
+            both = (need[new] << 24) + np.minimum(np.diff(np.concatenate([new, [len(a)]])), (1 << 24) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(both, pa.int32())], names=["a", "b", "both"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,10 +295,9 @@ def _candidates(routed: DataFrame, t: float, slabs: int) -> DataFrame:
 
     parts = min(slabs, max(MAX_PARTS, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = routed.repartitionById(parts, F.pmod("slab", F.lit(parts)))
-    met = (placed if parts == slabs else placed.sortWithinPartitions("slab")).mapInArrow(meet, "a long, b long, sizes int, shared int")
-    least = F.ceil(F.lit(t / (1 + t)) * F.col("sizes") - F.lit(1e-9))
-    summed = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("sizes").alias("sizes"))
-    return summed.where(F.col("shared") >= F.least(F.lit(SHARED), least)).select("a", "b")
+    met = (placed if parts == slabs else placed.sortWithinPartitions("slab")).mapInArrow(meet, "a long, b long, both int")
+    shared, need = F.sum(F.col("both").bitwiseAND(F.lit((1 << 24) - 1))), F.max(F.shiftright("both", 24))
+    return met.groupBy("a", "b").agg(shared.alias("shared"), need.alias("need")).where("shared >= need").select("a", "b")
 
 
 def _bitmap_of(ids: DataFrame, bits: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import statistics
+import zlib
 
 import numpy as np
 import pytest
@@ -95,7 +96,10 @@ def test_places_and_blocks_at_any_mass():
     blocks = neardup._blocks_of(places, 100.0)
     assert blocks[:3].tolist() == [1, 1, 1] and blocks[4] == -(-(70_000 - 100) // neardup.LEAF) + 1 and blocks[5] == pytest.approx(3e9 / neardup.LEAF, rel=0.01)
     big = next(iter(neardup._emit_blocks(np.full(4096, 2**33, np.int64))))
-    assert len(big.column(1)[0].as_py()) == 8 * 4096
+    assert len(zlib.decompress(big.column(1)[0].as_py())) == 8 * 4096
+    place = np.array([3, 9, 300, 301, 700])
+    for p in (place, place[:2], place[::-1]):
+        assert neardup._from_steps([neardup._steps(np.diff(p, prepend=0), p)], np.array([len(p)])).tolist() == p.tolist()
 
 
 def test_near_duplicate_groups(spark):
