@@ -550,6 +550,19 @@ def test_llm_query(spark, name):
     assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize(
+    ("name", "parts"),
+    [
+        ("p4_found", ["greater_tfidf", "n_less"]), ("p6_found", ["LN(", "POWER("]), ("p7_found", ["MapInArrow", "won"]), ("p8_found", ["piece"]), ("p9_found", ["uses", "md5(", "upto"]), ("p10_found", ["to_left", "n_less", "-LN("]),
+    ],
+)
+def test_found_comes_through_the_method(spark, name, parts):
+    """What the method computes is in the optimized plan: nothing of it was pruned as unused."""
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(p.lower() in plan.lower() for p in parts), plan
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_llm_query_runs(spark, name):
