@@ -12,15 +12,47 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.durable import durable
+from termloom.functions.urls import repo_url_allowed
 from termloom.operators import crawl, frontier, index, search, status
 from termloom.sources import pages as page_source
 
 TOP_N = 20
 
 
+PAGE = """<!DOCTYPE html>
+<html lang="en"><head><meta charset="utf-8"><title>termloom</title></head><body>
+<h1>termloom</h1>
+<form id="f"><input id="q" name="q" autofocus placeholder="words"><button>Search</button></form>
+<p id="status"></p><ol id="results"></ol>
+<script>
+const at = id => document.getElementById(id);
+const line = (parent, tag, text) => parent.appendChild(Object.assign(document.createElement(tag), {textContent: text}));
+const show = async () => {
+  const s = await (await fetch("status")).json();
+  at("status").textContent = Object.entries(s).filter(e => typeof e[1] == "object").map(e => e[0] + ": " + JSON.stringify(e[1])).join("; ");
+};
+at("f").onsubmit = async e => {
+  e.preventDefault();
+  const r = await (await fetch("search?q=" + encodeURIComponent(at("q").value))).json();
+  at("results").replaceChildren();
+  if (r.error) return line(at("results"), "p", r.error);
+  line(at("results"), "p", r.totalMatches + " matches");
+  for (const x of r.results) {
+    const item = line(at("results"), "li", "");
+    const link = line(item, "a", x.url);
+    if (/^https?:/.test(x.url)) link.href = x.url;
+    line(item, "div", x.score + " (" + Object.entries(x.breakdown).map(p => p.join(" ")).join(", ") + "); " + x.matchedTerms.join(", "));
+  }
+};
+show();
+</script></body></html>
+"""
+
+
 class Engine:
     """An index with what belongs to it. The index table should be written by ``index.write`` or cached."""
 
@@ -42,8 +74,8 @@ class Engine:
             out["frontier"] = frontier.stats(self.known).first().asDict()
         return out
 
-    def handle(self, method: str, target: str) -> tuple[int, dict[str, Any]]:
-        """(status, body) of a request."""
+    def handle(self, method: str, target: str) -> tuple[int, dict[str, Any] | str]:
+        """(status, body) of a request; the front page's body is HTML, all others' JSON."""
         parts = urlsplit(target)
         if method != "GET" or parts.path not in ("/", "/search", "/status"):
             return 404, {"error": "Not found"}
@@ -51,7 +83,7 @@ class Engine:
             if parts.path == "/search":
                 query = (parse_qs(parts.query).get("q") or [""])[0]
                 return (200, asdict(self.search(query))) if query.strip() else (400, {"error": "Missing query parameter q"})
-            return 200, self.status() if parts.path == "/status" else {"paths": ["/search?q=", "/status"]}
+            return 200, self.status() if parts.path == "/status" else PAGE
         except Exception as e:  # noqa: BLE001 - a request's failure is its answer
             return 500, {"error": str(e)}
 
@@ -62,9 +94,10 @@ class Engine:
         class Handler(BaseHTTPRequestHandler):
             def do_GET(self) -> None:  # noqa: N802
                 code, body = engine.handle("GET", self.path)
-                data = json.dumps(body, default=str).encode()
+                page = isinstance(body, str)
+                data = body.encode() if page else json.dumps(body, default=str).encode()
                 self.send_response(code)
-                self.send_header("Content-Type", "application/json")
+                self.send_header("Content-Type", "text/html; charset=utf-8" if page else "application/json")
                 self.send_header("Content-Length", str(len(data)))
                 self.end_headers()
                 self.wfile.write(data)
@@ -85,16 +118,31 @@ def format_results(response: search.Response) -> str:
     return "\n".join(lines)
 
 
-def run_pipeline(spark: SparkSession, out: str, seeds: DataFrame | None = None, fetched: DataFrame | None = None, known: DataFrame | None = None, base: str = "https://github.com", batch: int = 1000, rounds: int = 100, skip: Iterable[str] = (), link_filter: Callable | None = None) -> dict[str, Any]:
-    """seed, crawl, index: each a step that ``skip`` can name. Tables lie below ``out``; returns the steps' counts."""
+def run_pipeline(
+    spark: SparkSession, out: str, seeds: DataFrame | None = None, fetched: DataFrame | None = None, known: DataFrame | None = None, base: str = "https://github.com", batch: int = 1000, rounds: int = 100,
+    skip: Iterable[str] = (), link_filter: Callable | None = None, fetcher: Callable[[str], tuple] | None = None, topics: Iterable[str] = page_source.TOPICS, languages: Iterable[str] = page_source.LANGUAGES,
+    allowed: Callable[[Column], Column] | None = repo_url_allowed, pause: float = 1.0,
+) -> dict[str, Any]:
+    """seed, crawl, index: each a step that ``skip`` can name. Tables lie below ``out``; returns the steps' counts.
+
+    Listing pages come from ``seeds`` (topic, page, html), else the topics' and languages' pages are fetched. Pages come
+    from ``fetched`` (url, final_url, reason, text, links), else each batch's are fetched, judged and parsed, a host's
+    ``pause`` seconds apart. ``fetcher`` stands in for the network. A final URL must be ``allowed``.
+    """
     skip, report = set(skip), {}
+    fetcher = fetcher or page_source.http_fetch
     known = known if known is not None else spark.createDataFrame([], "url string, status string, addedAt bigint, claimedAt bigint, error string, errorAt bigint")
-    if "seed" not in skip and seeds is not None:
-        urls = page_source.seed_urls(seeds, base)
-        report["seed"] = frontier.add_batch(known, urls).first().asDict()
-        known = frontier.with_added(known, urls, 0)
-    if "crawl" not in skip and fetched is not None:
-        known, got, report["crawl"] = crawl.crawl_loop(known, fetched, batch, rounds=rounds, stop_when="empty", link_filter=link_filter)
+    if "seed" not in skip:
+        trending = None
+        if seeds is None:
+            seeds = page_source.fetch_topics(spark, topics, base, fetcher, pause=pause)
+            trending = durable(page_source.fetch(spark.createDataFrame([(u,) for u in page_source.trending_urls(base, languages)], "url string"), fetcher, 1, pause))
+        after, counts = page_source.seed_frontier(known, seeds, trending, base, 0)
+        report["seed"] = counts.first().asDict()
+        known = durable(after)
+    if "crawl" not in skip:
+        pages = fetched if fetched is not None else lambda claimed: page_source.crawl_one(claimed, fetcher, allowed, pause=pause)
+        known, got, report["crawl"] = crawl.crawl_loop(known, pages, batch, rounds=rounds, stop_when="empty", link_filter=link_filter, allowed=allowed)
         docs = got[0] if got else None
         for more in got[1:]:
             docs = docs.unionByName(more)

@@ -54,6 +54,13 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for the caller's files; it goes when the tables go."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def measures_small(df: DataFrame, limit: int = 16_000_000) -> bool:
     """Whether ``df`` has at most ``limit`` bytes (strings, and 40 bytes a row). It is read once for that, so it should be a durable one."""
     strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]

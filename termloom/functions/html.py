@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -29,7 +30,10 @@ DESCRIPTION_META = ('meta[property="og:description"]', 'meta[name="description"]
 README = ("#readme", "article.markdown-body", ".markdown-body")
 LANGUAGE, TOPIC, RELATIVE_TIME, FORK = ".d-inline span.color-fg-default", ".topic-tag", "relative-time", "span.text-small"
 STARS, ARCHIVED = ("#repo-stars-counter", ".social-count"), (".archived-notice", "[data-view-component] .flash-warn")
-DATE_META = ("article:published_time", "datePublished", "publish_date", "date", "DC.date", "og:published_time")
+DATE_META = (
+    'meta[property="article:published_time"]', 'meta[property="og:published_time"]', 'meta[name="date"]',
+    'meta[name="publish-date"]', 'meta[name="DC.date"]', 'meta[property="article:modified_time"]',
+)
 
 PAGE_TYPE = (
     "text string, title string, published string, links array<string>, repoOwner string, repoName string, description string, language string, "
@@ -47,13 +51,22 @@ class Node:
         self.children: list[Node | str] = []
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All elements inside, in document order. Pages may be nested to any depth, so nothing here calls itself."""
+        waiting = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while waiting:
+            node = waiting.pop()
+            yield node
+            waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, waiting = [], list(reversed(self.children))
+        while waiting:
+            c = waiting.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                waiting += reversed(c.children)
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -124,24 +137,24 @@ def first(root: Node, selectors: tuple[str, ...] | str) -> Node | None:
 def plain_text(node: Node) -> str:
     """An element's text with line breaks around blocks, without scripts, styles and images."""
     out: list[str] = []
-
-    def visit(n: Node, pre: bool) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c if pre else re.sub(r"\s+", " ", c))
-            elif c.tag not in ("script", "style", "img"):
-                block = c.tag in _BLOCK
-                if block or c.tag == "br":
-                    out.append("\n")
-                if c.tag == "li":
-                    out.append("* ")
-                visit(c, pre or c.tag == "pre")
-                if block:
-                    out.append("\n")
-                elif c.tag in ("td", "th"):
-                    out.append(" ")
-
-    visit(node, False)
+    # what is still to be read, the next one last: (part, whether it stands in pre); marks of ends are tuples
+    waiting: list = [(c, False) for c in reversed(node.children)]
+    while waiting:
+        c, pre = waiting.pop()
+        if isinstance(c, tuple):
+            out.append(c[0])
+        elif isinstance(c, str):
+            out.append(c if pre else re.sub(r"\s+", " ", c))
+        elif c.tag not in ("script", "style", "img"):
+            block = c.tag in _BLOCK
+            if block or c.tag == "br":
+                out.append("\n")
+            if c.tag == "li":
+                out.append("* ")
+            if block or c.tag in ("td", "th"):
+                waiting.append((("\n" if block else " ",), pre))
+            inside = pre or c.tag == "pre"
+            waiting += [(x, inside) for x in reversed(c.children)]
     text = re.sub(r" *\n *", "\n", "".join(out))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
@@ -157,19 +170,29 @@ def extract_text(root: Node) -> str:
     return "\n\n".join([*parts, plain_text(readme)] if readme else parts)
 
 
+_FORMATS = ("%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d", "%m/%d/%Y", "%B %d, %Y %H:%M:%S", "%b %d, %Y %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%a %b %d %Y", "%a %b %d %Y %H:%M:%S")
+
+
 def _iso(raw: str) -> str | None:
-    try:
-        at = datetime.fromisoformat(raw.strip().replace("Z", "+00:00"))
-    except ValueError:
+    """A date in ISO, mail or a written-out form as an ISO instant in UTC; null if it is none. Without zone it is UTC."""
+    raw = raw.strip()
+    at = None
+    for read in (datetime.fromisoformat, parsedate_to_datetime, *(lambda x, f=f: datetime.strptime(x, f) for f in _FORMATS)):
+        try:
+            at = read(raw)
+            break
+        except (ValueError, TypeError, IndexError):
+            continue
+    if at is None:
         return None
     at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
     return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
 
 
 def extract_date(root: Node) -> str | None:
-    times = [n.attrs["datetime"] for n in select(root, "time[datetime]")][:1]
-    metas = {(m.attrs.get("property") or m.attrs.get("name")): m.attrs.get("content", "") for m in select(root, "meta")}
-    return next((d for d in map(_iso, times + [metas[k] for k in DATE_META if k in metas]) if d), None)
+    """The first of the page's first time element and the first meta of each kind, in their order, that holds a date."""
+    found = [(node, "datetime") for node in [first(root, "time[datetime]")]] + [(first(root, s), "content") for s in DATE_META]
+    return next((d for d in (_iso(node.attrs.get(name, "")) for node, name in found if node) if d), None)
 
 
 def extract_title(root: Node) -> str:

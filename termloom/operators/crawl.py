@@ -23,22 +23,48 @@ def fetch_verdict(status: Column, content_type: Column, size: Column, redirects:
     )
 
 
-def schedule(requests: DataFrame, domain: str, arrival: str, interval: int = INTERVAL_MS) -> DataFrame:
-    """Adds start: each domain's fetches in the order of arrival, at least ``interval`` apart.
+def schedule(requests: DataFrame, domain: str, arrival: str, interval: int = INTERVAL_MS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds start: each domain's fetches in the order of arrival, at least ``interval`` apart; those of one time by ``ties``.
 
-    start_i = max over j <= i of (arrival_j - interval * j) + interval * i: a running maximum, no loop.
+    start_i = max over j <= i of (arrival_j - interval * j) + interval * i. Numbers and running maxima can be put
+    together from parts, so requests are range-partitioned by domain and arrival, each sorted part is done by itself,
+    and a domain that goes on in the next part hands over two numbers, however many requests it has. A null arrival
+    counts as 0.
     """
-    order = Window.partitionBy(domain).orderBy(arrival)
-    ranked = requests.withColumn("_i", F.row_number().over(order) - 1)
-    running = F.max(F.col(arrival) - F.col("_i") * interval).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn("start", running + F.col("_i") * interval).drop("_i")
-
-
-def rate_limit(requests: DataFrame, domain: str, arrival: str, interval: int = INTERVAL_MS) -> DataFrame:
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = requests.columns
+    at = F.coalesce(F.col(arrival).cast("bigint"), F.lit(0))
+    placed = requests.withColumn("_at", at).repartitionByRange(parts, domain, "_at", *ties, F.xxhash64(*names)).sortWithinPartitions(domain, "_at", *ties).withColumn("_part", F.spark_partition_id())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, most = object(), 0, 0
+        for batch in batches:
+            numbers, tops = [], []
+            for d, t in zip(batch.column(domain).to_pylist(), batch.column("_at").to_pylist()):
+                number, most = (number + 1, max(most, t - interval * (number + 1))) if d == last else (0, t)
+                last = d
+                numbers.append(number)
+                tops.append(most)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(tops, pa.int64())], names=[*batch.schema.names, "_i", "_top"])
+
+    done = durable(placed.mapInArrow(local, f"{kinds}, _i long, _top long"))
+    sums = done.groupBy(F.col(domain).alias("_d"), "_part").agg(F.count(F.lit(1)).alias("n"), F.max("_top").alias("top"))
+    order = Window.partitionBy("_d").orderBy("_part")
+    before = sums.withColumn("skip", F.sum("n").over(order) - F.col("n")).withColumn("shifted", F.col("top") - F.col("skip") * interval)
+    before = before.withColumn("earlier", F.max("shifted").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("skip > 0").select("_d", F.col("_part").alias("_p"), "skip", "earlier")
+    # only the first domain of a part goes on from earlier ones: at most one row for each part
+    rows = done.join(F.broadcast(before), F.col(domain).eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p")), "left")
+    skip = F.coalesce("skip", F.lit(0))
+    running = F.greatest(F.col("_top") - skip * interval, F.coalesce("earlier", F.lit(-(2**62))))
+    return rows.select(*names, (running + (skip + F.col("_i")) * interval).alias("start"))
+
+
+def rate_limit(requests: DataFrame, domain: str, arrival: str, interval: int = INTERVAL_MS, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds wait: 0 if the request may go and stamps its domain, else the time left, without a stamp.
 
-    Whether a request stamps depends on the domain's last stamp, a sequence by nature: partitions sorted by domain and
-    arrival are read once, and one stamp is all that is held.
+    Whether a request may go depends on the last one that did, so a domain's requests are read in order, as a stream
+    that holds one stamp. Requests at one time are ordered by ``ties``.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +81,7 @@ def rate_limit(requests: DataFrame, domain: str, arrival: str, interval: int = I
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(waits, pa.int64())], names=[*batch.schema.names, "wait"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.repartition(domain).sortWithinPartitions(domain, arrival).mapInArrow(fold, f"{kinds}, wait bigint")
+    return requests.repartition(domain).sortWithinPartitions(domain, arrival, *ties).mapInArrow(fold, f"{kinds}, wait bigint")
 
 
 def link_graph(docs: DataFrame) -> DataFrame:
@@ -63,18 +89,23 @@ def link_graph(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_key").alias("src"), F.posexplode("links").alias("pos", "dst")).where(F.col("dst").isNotNull())
 
 
-def crawl_batch(frontier: DataFrame, fetched: DataFrame, n: int, seed: str, now: int, allowed: Callable[[Column], Column] | None = None, link_filter: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+Pages = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def crawl_batch(frontier: DataFrame, fetched: Pages, n: int, seed: str, now: int, allowed: Callable[[Column], Column] | None = None, link_filter: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: claims, takes the claimed URLs' pages from ``fetched``, and returns (new frontier, documents, summary).
 
-    ``fetched`` is (url, final_url, reason, text, links): a row for each page that can be had. A claimed URL without
-    one, with a reason, or led to a URL that is not allowed, becomes an error. Documents are keyed by the claimed URL.
+    ``fetched`` is (url, final_url, reason, text, links, more fields): a row for each page that can be had, or what
+    fetches them given the claimed (url), such as ``sources.pages.crawl_one``. A claimed URL without a row, with a
+    reason, or led to a URL that is not allowed, becomes an error. Documents are keyed by the claimed URL.
     """
     claimed = durable(fr.claim(frontier, n, seed))
-    pages = claimed.join(fetched, "url", "left")
+    pages = claimed.join(fetched(claimed) if callable(fetched) else fetched, "url", "left")
+    fields = [c for c in pages.columns if c not in ("url", "final_url", "reason", "fetchedAt")]
     ok = allowed(F.col("final_url")) if allowed else F.lit(True)
     reason = F.when(F.col("final_url").isNull(), F.coalesce("reason", F.lit("not-found"))).when(F.col("reason").isNotNull(), F.col("reason")).when(~ok, "disallowed-redirect")
     judged = durable(pages.withColumn("why", reason))
-    docs = judged.where("why IS NULL").select(F.col("url").alias("doc_key"), F.col("final_url").alias("url"), "text", "links", F.lit(now).cast("bigint").alias("fetchedAt"))
+    docs = judged.where("why IS NULL").select(F.col("url").alias("doc_key"), F.col("final_url").alias("url"), *fields, F.lit(now).cast("bigint").alias("fetchedAt"))
     links = docs.select(F.explode("links").alias("url"))
     links = links.where(link_filter(F.col("url"))) if link_filter else links
     after = fr.with_claimed(frontier, claimed, now)
@@ -85,7 +116,7 @@ def crawl_batch(frontier: DataFrame, fetched: DataFrame, n: int, seed: str, now:
     return fr.with_added(after, links, now), docs, summary
 
 
-def crawl_loop(frontier: DataFrame, fetched: DataFrame, batch: int, max_pages: int | None = None, rounds: int | None = None, stop_when: str = "idle", now: int = 0, on_batch: Callable[[dict], None] | None = None, **rules) -> tuple[DataFrame, list[DataFrame], dict[str, int]]:
+def crawl_loop(frontier: DataFrame, fetched: Pages, batch: int, max_pages: int | None = None, rounds: int | None = None, stop_when: str = "idle", now: int = 0, on_batch: Callable[[dict], None] | None = None, **rules) -> tuple[DataFrame, list[DataFrame], dict[str, int]]:
     """Batches until ``max_pages``, ``rounds``, or a batch with nothing crawled (``stop_when="empty"``) and no errors either ("idle")."""
     total = {"crawled": 0, "errors": 0, "linksFound": 0, "rounds": 0}
     docs: list[DataFrame] = []

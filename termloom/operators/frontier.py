@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.urls import normalize_url
@@ -25,9 +25,11 @@ def add(frontier: DataFrame, incoming: DataFrame, order: Column | None = None) -
     A URL is added if it is valid, not in the frontier, and the first of its kind in the batch by ``order``
     (default: by its raw form). The frontier is only joined against; nothing of it is sent to the driver.
     """
-    rows = incoming.select(F.col("url").alias("raw"), (order if order is not None else F.col("url")).alias("ord")).withColumn("normal", normalize_url(F.col("raw")))
-    w = Window.partitionBy("normal").orderBy("ord", "raw")
-    valid = rows.where("normal IS NOT NULL").withColumn("first", F.row_number().over(w) == 1)
+    rows = incoming.select(F.col("url").alias("raw"), (order if order is not None else F.col("url")).alias("ord"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.withColumn("normal", normalize_url(F.col("raw")))
+    # the first of a URL is found by partial aggregation; a window would gather all rows of a much repeated one
+    first = rows.where("normal IS NOT NULL").groupBy("normal").agg(F.min(F.struct("ord", "raw", "i")).alias("m")).select("normal", F.col("m.i").alias("i0"))
+    valid = rows.where("normal IS NOT NULL").join(first, "normal").withColumn("first", F.col("i") == F.col("i0"))
     known = frontier.select(F.col("url").alias("normal"), F.lit(True).alias("known")).distinct()
     judged = valid.join(known, "normal", "left").withColumn("added", F.col("first") & F.col("known").isNull())
     good = judged.select(F.col("normal").alias("url"), "added", F.when(~F.col("added"), "duplicate").alias("reason"))

@@ -19,15 +19,19 @@ def delivered(messages: DataFrame, mid: str) -> DataFrame:
 
 
 def gossip_targets(nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """(from_nid, to_nid): the peers each node passes a message on to, max(1, ceil(ln n)) drawn of the n others' group.
+    """(from_nid, to_nid): the max(1, ceil(ln n)) peers each of n nodes passes a message on to, as many as there are at most.
 
-    A group's nodes are few by nature; the draw is by a hash, so that it can be repeated.
+    Nodes stand on a ring in the order of a hash; each draws, by a hash, a place on it where its run of peers begins, and
+    never reaches itself. The work is n times the number of peers, and the draw can be repeated.
     """
     n = nodes.count()
-    k = max(1, math.ceil(math.log(n))) if n else 0
-    pairs = nodes.select(F.col("nid").alias("from_nid")).join(F.broadcast(nodes.select(F.col("nid").alias("to_nid"))), F.col("from_nid") != F.col("to_nid"))
-    w = Window.partitionBy("from_nid").orderBy(F.xxhash64("from_nid", "to_nid", F.lit(seed)))
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("from_nid", "to_nid")
+    k = min(n - 1, max(1, math.ceil(math.log(n)))) if n > 1 else 0
+    ring = nodes.select("nid", (F.row_number().over(Window.orderBy(F.xxhash64("nid", F.lit(seed)), "nid")) - 1).alias("at"))
+    start = F.pmod(F.xxhash64("nid", F.lit(seed + 1)), F.lit(max(1, n - 1)))
+    step = F.explode(F.array(*[F.lit(j) for j in range(k)]).cast("array<int>")).alias("j")
+    drawn = ring.select(F.col("nid").alias("from_nid"), "at", start.alias("start"), step)
+    drawn = drawn.select("from_nid", F.pmod(F.col("at") + 1 + F.pmod(F.col("start") + F.col("j"), F.lit(max(1, n - 1))), F.lit(max(1, n))).cast("int").alias("at"))
+    return drawn.join(ring.select(F.col("nid").alias("to_nid"), "at"), "at").select("from_nid", "to_nid")
 
 
 def engine_status(index: DataFrame, docs: DataFrame, frontier: DataFrame) -> DataFrame:
