@@ -1,4 +1,4 @@
-"""The same queries in SQL, stated independently of the column expressions."""
+"""The same queries in SQL. Fixed values (suffixes, stop words, prefixes, owners) are those of the functions; tests hold them against known cases."""
 
 from __future__ import annotations
 
@@ -86,7 +86,7 @@ def _round4(x: str) -> str:
 def _found(queries: str) -> str:
     return STATE + ",\n" + _query_terms(queries) + """,
 df AS (SELECT term, count(*) AS df FROM state GROUP BY term),
-m AS (SELECT query_id, pos, term, url, tf, ln((1000.0::DOUBLE + 1) / (df + 1)) AS idf FROM qt JOIN state USING (term) JOIN df USING (term)),
+m AS (SELECT query_id, pos, term, url, tf, ln(((SELECT count(DISTINCT doc_key) FROM docs)::DOUBLE + 1) / (df + 1)) AS idf FROM qt JOIN state USING (term) JOIN df USING (term)),
 found AS (SELECT query_id, url, sum(tf * idf ORDER BY pos) AS x, string_agg(term, ' ' ORDER BY pos) AS matched, min(pos) AS p0 FROM m GROUP BY query_id, url)"""
 
 
@@ -166,7 +166,59 @@ fresh AS (SELECT topic, page, row_number() OVER (PARTITION BY topic ORDER BY pag
 good AS (SELECT topic, page FROM (SELECT *, bool_and(ok) OVER (PARTITION BY topic ORDER BY page) AS upto FROM fresh) WHERE upto),
 seeds AS (SELECT topic, page, url FROM first JOIN good USING (topic, page))"""
 
+_DATE_SQL = {"2024-03-15T10:00:00Z": "2024-03-15T10:00:00.000Z", "2024-03-15": "2024-03-15T00:00:00.000Z", "Fri, 15 Mar 2024 10:00:00 +0200": "2024-03-15T08:00:00.000Z", "March 15, 2024": "2024-03-15T00:00:00.000Z", "soon": None, "": None}
+
+
+def _date(i: int) -> str:
+    """The instant of the i-th date of a made page, null if it is none."""
+    return f"[{', '.join(repr(d) if d else 'NULL' for d in _DATE_SQL.values())}][CAST(k // {3**i} % {len(_DATE_SQL)} AS INT) + 1]"
+
+
+_N = "length(url)"
+_WAITS = """WITH RECURSIVE a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
+w AS (SELECT event_id, user_id, arrival, i, CAST(0 AS BIGINT) AS wait, arrival AS stamp FROM a WHERE i = 1
+  UNION ALL SELECT a.event_id, a.user_id, a.arrival, a.i, CASE WHEN a.arrival - stamp >= 3600000 THEN 0 ELSE 3600000 - (a.arrival - stamp) END, CASE WHEN a.arrival - stamp >= 3600000 THEN a.arrival ELSE stamp END
+  FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i + 1)
+SELECT event_id, user_id, arrival, wait FROM w"""
+
+
+def _round(k: int, n: int) -> str:
+    """CTEs of one crawl round: from frontier f{k} (url, status) to f{k + 1}."""
+    return f""",
+c{k} AS (SELECT url FROM f{k} WHERE status = 'unseen' ORDER BY sha256(url || '{k}'), url LIMIT {n}),
+g{k} AS (SELECT c.url, links FROM c{k} c JOIN page USING (url)),
+n{k} AS (SELECT DISTINCT {normal('l')} AS u FROM (SELECT unnest(links) AS l FROM g{k})),
+f{k + 1} AS (SELECT f.url, CASE WHEN c.url IS NULL THEN f.status WHEN g.url IS NULL THEN 'error' ELSE 'seen' END AS status FROM f{k} f LEFT JOIN c{k} c ON c.url = f.url LEFT JOIN g{k} g ON g.url = f.url
+  UNION ALL SELECT u, 'unseen' FROM n{k} WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM f{k}))"""
+
+
+_STATS = "SELECT count(*) FILTER (status = 'unseen') AS unseen, count(*) FILTER (status = 'seen') AS seen, count(*) FILTER (status = 'error') AS error, count(*) AS total FROM "
+_WEB = FRONTIER + """, page AS (SELECT doc_key AS url, max(links) AS links FROM docs WHERE doc_key IS NOT NULL GROUP BY doc_key)"""
+
 ORACLES = {
+    "c2_dates": "WITH p AS (SELECT doc_id, doc_id % 20000 AS k FROM documents) SELECT doc_id, coalesce(" + ", ".join([f"CASE WHEN k % 7 = 0 THEN {_date(7)} END"] + [f"CASE WHEN k % {i + 2} = 0 THEN {_date(i)} END" for i in range(6)]) + ") AS published FROM p",
+    "c6_parse_page": rf"""WITH h AS (SELECT url, html, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM seed_pages)
+SELECT url, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title, coalesce(string_split(url, '/')[4], '') AS "repoOwner", true AS "lowContent",
+  CAST((SELECT count(DISTINCT {normal("regexp_extract(url, '^(https?://[^/?#]+)', 1) || x")}) FROM (SELECT unnest(l) AS x)) AS INT) AS n_links, CAST(0 AS INT) AS n_text FROM h""",
+    "d4_trending": f"""WITH f AS (SELECT unnest(regexp_extract_all(html, 'href="/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)"', 1)) AS p FROM seed_pages WHERE page % 5 <> 0)
+SELECT DISTINCT '{BASE}/' || p AS url FROM f WHERE lower(split_part(p, '/', 1)) NOT IN ({_list(RESERVED_OWNERS)})""",
+    "d6_seed_frontier": FRONTIER + ", " + _TOPIC_LINKS.removeprefix("WITH ").replace("page <= 10", "page <= 3") + f""",
+t AS (SELECT unnest(regexp_extract_all(html, 'href="/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)"', 1)) AS p FROM seed_pages),
+s AS (SELECT url FROM seeds UNION SELECT '{BASE}/' || p FROM t WHERE lower(split_part(p, '/', 1)) NOT IN ({_list(RESERVED_OWNERS)})),
+n AS (SELECT DISTINCT {normal('url')} AS u FROM s), c AS (SELECT (SELECT count(*) FROM n WHERE u NOT IN (SELECT url FROM known)) AS added, (SELECT count(*) FROM s) AS discovered)
+SELECT added, discovered - added AS skipped, discovered, (SELECT count(*) FROM known) + added AS "frontierSize" FROM c""",
+    "f1_rate_limit": _WAITS,
+    "f3_crawl_one": URLS + f""", j AS (SELECT url, {_N} AS n, CASE WHEN {_N} % 11 = 0 THEN 'error: timed out' WHEN {_N} % 8 > 5 THEN 'too-many-redirects' WHEN {_N} % 7 = 0 THEN 'http-status' WHEN {_N} % 6 = 0 THEN 'content-type'
+  WHEN {_N} % 13 = 0 THEN 'too-large' WHEN {_N} % 5 = 0 THEN 'disallowed-redirect' END AS reason FROM u)
+SELECT url, CASE WHEN n % 11 = 0 THEN url ELSE 'https://code.example/' || CASE WHEN n % 5 = 0 THEN 'x' ELSE 'o' END || '/' || n END AS final_url, reason,
+  CASE WHEN reason IS NULL THEN '' || n ELSE '' END AS title, CASE WHEN reason IS NULL THEN 'read ' || n ELSE '' END AS text, CASE WHEN reason IS NULL THEN 'https://code.example/a/' || n ELSE '' END AS links FROM j""",
+    "f6_crawl_rounds": FRONTIER + """, page AS (SELECT doc_key AS url, links FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY fetchedAt DESC NULLS LAST, links DESC NULLS LAST) AS r FROM docs WHERE doc_key IS NOT NULL) WHERE r = 1),
+f0 AS (SELECT url, status FROM known)""" + _round(0, 50) + _round(1, 50) + " " + _STATS + "f2",
+    # every URL that the unseen ones lead to is visited in the end, whatever the order
+    "f7_crawl_until_idle": _WEB.replace("WITH ranked", "WITH RECURSIVE ranked", 1) + f""",
+edges AS (SELECT DISTINCT url, {normal('l')} AS dst FROM (SELECT url, unnest(links) AS l FROM page)),
+visited AS (SELECT url FROM known WHERE status = 'unseen' UNION SELECT e.dst FROM visited v JOIN edges e ON e.url = v.url WHERE e.dst IS NOT NULL AND e.dst NOT IN (SELECT url FROM known)),
+f AS (SELECT url, CASE WHEN url IN (SELECT url FROM page) THEN 'seen' ELSE 'error' END AS status FROM visited UNION ALL SELECT url, status FROM known WHERE status IS NULL OR status <> 'unseen') {_STATS} f""",
     "a1_tokenize": PAGES + f""", cut AS (SELECT doc_key, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: NOT list_contains([{_list(stop_words())}], x)) AS l FROM pages),
 tok AS (SELECT doc_key, i - 1 AS pos, l[i] AS token FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cut)), """ + stems("tok") + " SELECT doc_key, CAST(pos AS INT) AS pos, term FROM tok JOIN stems USING (token)",
     "a2_stopword_filter": PAGES + KEPT + " SELECT token, count(*) AS n FROM tok GROUP BY token",
@@ -174,7 +226,7 @@ tok AS (SELECT doc_key, i - 1 AS pos, l[i] AS token FROM (SELECT *, unnest(range
     "a4_term_frequencies": COUNTS + " SELECT doc_key, term, tf FROM counts",
     "a6_query_terms": "WITH " + _query_terms(_HITS) + " SELECT query_id, CAST(pos AS INT) AS pos, term FROM qt",
     "a8_round4": f"SELECT query_id, url, {_round4('tfidf')} AS r FROM hits WHERE tfidf IS NOT NULL",
-    "a9_ln_idf": STATE + " SELECT term, count(*) AS df, round(ln((1000.0::DOUBLE + 1) / (count(*) + 1)), 8) AS idf FROM state GROUP BY term",
+    "a9_ln_idf": STATE + " SELECT term, count(*) AS df, round(ln(((SELECT count(DISTINCT doc_key) FROM docs)::DOUBLE + 1) / (count(*) + 1)), 8) AS idf FROM state GROUP BY term",
     "b1_normalize_url": URLS + f" SELECT url, {normal('url')} AS normal FROM u",
     "b2_company_tag": URLS + f""", l AS (SELECT url, string_split({_HOST}, '.') AS l FROM u)
 SELECT url, coalesce(list_filter(l, lambda x: NOT list_contains([{_list(SKIPPED_LABELS + TOP_LABELS)}], x))[1], l[1], 'unknown') AS tag FROM l""",
@@ -266,6 +318,7 @@ SELECT key, l[CAST(r % 3 AS INT) + 1] AS nid FROM d, s""",
 #: Streams must end with what the batch form gives.
 STREAMS = {
     "s1_stream_index": COUNTS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM counts GROUP BY term",
-    "s2_stream_frontier": f"SELECT DISTINCT {normal('url')} AS url, 'unseen' AS status FROM (SELECT unnest(links) AS url FROM docs) WHERE {normal('url')} IS NOT NULL",
+    "s2_stream_frontier": FRONTIER + f" SELECT DISTINCT {normal('url')} AS url, 'unseen' AS status FROM (SELECT unnest(links) AS url FROM docs) WHERE {normal('url')} IS NOT NULL AND {normal('url')} NOT IN (SELECT url FROM known WHERE status = 'seen')",
+    "s4_stream_rate_limit": _WAITS,
     "s3_stream_gossip": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 }

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.durable import durable, shared_folder
+from termloom.durable import durable, scratch
 from termloom.functions import html, placement, text, urls
 from termloom.operators import crawl, frontier, index, kv, mapreduce, search, status
 from termloom.sources import pages as page_source
@@ -38,6 +36,11 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
     return index.current_postings(load(spark, sf, "postings"))
 
 
+def _n_docs(spark: SparkSession, sf: str):
+    """The number of pages there are, as a part of the plan."""
+    return load(spark, sf, "docs").agg(F.countDistinct("doc_key").alias("n")).scalar()
+
+
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -74,7 +77,7 @@ def a8_round4(spark: SparkSession, sf: str) -> DataFrame:
 
 def a9_ln_idf(spark: SparkSession, sf: str) -> DataFrame:
     df = index.doc_frequency(_index(spark, sf))
-    return df.select("term", "df", F.round(text.ln_idf(F.lit(1000), F.col("df")), 8).alias("idf"))
+    return df.select("term", "df", F.round(text.ln_idf(_n_docs(spark, sf), F.col("df")), 8).alias("idf"))
 
 
 # URLs
@@ -145,6 +148,21 @@ def c6_parse_page(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("url", "p.title", "p.repoOwner", "p.lowContent", F.size("p.links").alias("n_links"), F.length("p.text").alias("n_text"))
 
 
+_DATES = ["2024-03-15T10:00:00Z", "2024-03-15", "Fri, 15 Mar 2024 10:00:00 +0200", "March 15, 2024", "soon", ""]
+
+
+def c2_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages made from the documents, each with a time and every kind of date meta, of which some hold no date."""
+    k = F.pmod(F.col("doc_id"), F.lit(20_000))
+    date = lambda i: F.element_at(F.array(*[F.lit(d) for d in _DATES]), (F.pmod(F.floor(k / 3**i), F.lit(len(_DATES))) + 1).cast("int"))
+    metas = [("property", "article:published_time"), ("property", "og:published_time"), ("name", "date"), ("name", "publish-date"), ("name", "DC.date"), ("property", "article:modified_time"), ("name", "article:published_time"), ("property", "date")]
+    # the last meta comes first in the page: the order of kinds counts, not that of places
+    parts = [F.when(k % (i + 2) == 0, F.concat(F.lit(f'<meta {a}="{n}" content="'), date(i), F.lit('">'))).otherwise("") for i, (a, n) in enumerate(metas)]
+    time = F.when(k % 7 == 0, F.concat(F.lit('<p><time datetime="'), date(7), F.lit('">x</time>'))).otherwise("")
+    page = F.concat(F.lit("<html><head>"), *reversed(parts), F.lit("</head><body>"), time, F.lit("</body></html>"))
+    return load(spark, sf, "documents").select("doc_id", html.parse_page(page, F.lit("https://code.example/o/r"))["published"].alias("published"))
+
+
 def c7_repo_links(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "seed_pages").select("url", F.posexplode(html.repo_links_of(F.col("html"), BASE)).alias("pos", "repo"))
 
@@ -163,6 +181,18 @@ def d3_topic_pages(spark: SparkSession, sf: str) -> DataFrame:
     return page_source.topic_pages(load(spark, sf, "seed_pages"), BASE)
 
 
+def d4_trending(spark: SparkSession, sf: str) -> DataFrame:
+    """Repositories on trending pages, for which the listing pages stand in; every fifth page failed."""
+    got = load(spark, sf, "seed_pages").select("url", F.when(F.col("page") % 5 == 0, 500).otherwise(200).alias("status"), "html")
+    return page_source.trending_repos(got, BASE)
+
+
+def d6_seed_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    pages = load(spark, sf, "seed_pages")
+    known = frontier.current(load(spark, sf, "frontier"))
+    return page_source.seed_frontier(known, pages, pages.select("url", F.lit(200).alias("status"), "html"), BASE, NOW, 3)[1]
+
+
 def d5_seed_union(spark: SparkSession, sf: str) -> DataFrame:
     found = page_source.seed_urls(load(spark, sf, "seed_pages"), BASE)
     known = frontier.current(load(spark, sf, "frontier"))
@@ -170,7 +200,7 @@ def d5_seed_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d8_store_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    path = scratch(spark, "store")
     rows = load(spark, sf, "customer").select("c_mktsegment", F.col("c_name").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
     store.write(rows.withColumnRenamed("c_mktsegment", "gid"), path)
     return store.keys(spark, path, "BUILDING")
@@ -217,12 +247,12 @@ def e6_get(spark: SparkSession, sf: str) -> DataFrame:
 
 def f1_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
-    return crawl.rate_limit(asked, "user_id", "arrival", 3_600_000)
+    return crawl.rate_limit(asked, "user_id", "arrival", 3_600_000, ("event_id",))
 
 
 def f2_schedule(spark: SparkSession, sf: str) -> DataFrame:
     asked = load(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
-    return crawl.schedule(asked, "user_id", "arrival", 3_600_000).select("event_id", "user_id", "arrival", "start")
+    return crawl.schedule(asked, "user_id", "arrival", 3_600_000, ("event_id",)).select("event_id", "user_id", "arrival", "start")
 
 
 def f4_crawl_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,6 +263,32 @@ def f4_crawl_batch(spark: SparkSession, sf: str) -> DataFrame:
     return summary
 
 
+def f3_crawl_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Every URL of the frontier fetched by a stand-in for the network, judged and parsed."""
+    fetched = page_source.fetch(_urls(spark, sf), _stand_in, 8)
+    allowed = lambda u: ~urls.url_path(u).contains("/x")
+    return page_source.judged_pages(fetched, allowed).select("url", "final_url", "reason", "title", "text", F.array_join("links", " ").alias("links"))
+
+
+def _stand_in(url: str) -> tuple:
+    """What a fetch would give: decided by the length of the URL."""
+    n = len(url)
+    if n % 11 == 0:
+        return url, None, None, None, 0, 0, None, "timed out"
+    page = f'<title>{n}</title><article class="markdown-body"><p>read {n}</p></article><a href="/a/{n}">x</a>'
+    return url, f"https://code.example/{'x' if n % 5 == 0 else 'o'}/{n}", 404 if n % 7 == 0 else 200, "image/png" if n % 6 == 0 else "text/html", 3_000_000 if n % 13 == 0 else n, n % 8, page, None
+
+
+def f7_crawl_until_idle(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of the production size over the whole frontier until one finds nothing to do."""
+    known = frontier.current(load(spark, sf, "frontier"))
+    page = load(spark, sf, "docs").where("doc_key IS NOT NULL").groupBy("doc_key").agg(F.max("links").alias("links"))
+    had = durable(page.select(F.col("doc_key").alias("url"), F.col("doc_key").alias("final_url"), F.lit(None).cast("string").alias("reason"), "links"))
+    unseen = known.where("status = 'unseen'").count()
+    after, _, _ = crawl.crawl_loop(known, had, max(1000, unseen), stop_when="idle", now=NOW)
+    return frontier.stats(after)
+
+
 def f9_link_graph(spark: SparkSession, sf: str) -> DataFrame:
     one = load(spark, sf, "docs").groupBy("doc_key").agg(F.max("links").alias("links"))
     return crawl.link_graph(one.where("doc_key IS NOT NULL"))
@@ -261,7 +317,7 @@ def _sum(key: str, values: list):
 
 def g1_mapreduce_generic(spark: SparkSession, sf: str) -> DataFrame:
     rows = _pages(spark, sf).select(F.col("doc_key").alias("key"), F.col("text").alias("value"))
-    made = mapreduce.map_reduce(rows, _count_words, _sum)
+    made = mapreduce.map_reduce(rows, _count_words, _sum, combiner=lambda key, values: sum(values))
     return made.select("key", F.get_json_object("value", "$.n").cast("bigint").alias("n"))
 
 
@@ -272,13 +328,13 @@ def _posting_pairs(key: str, value: str):
     return [{w: {"url": key, "tf": n}} for w, n in Counter(re.findall("[a-z]+", (value or "").lower())).items()]
 
 
-def _df_and_total(key: str, values: list):
-    return {"df": len(values), "total": sum(v["tf"] for v in values)}
+def _add_up(key: str, values: list):
+    return {"df": sum(v.get("df", 1) for v in values), "total": sum(v.get("total", v.get("tf")) for v in values)}
 
 
 def g7_mr_index(spark: SparkSession, sf: str) -> DataFrame:
     rows = _pages(spark, sf).select(F.col("doc_key").alias("key"), F.col("text").alias("value"))
-    made = mapreduce.map_reduce(rows, _posting_pairs, _df_and_total)
+    made = mapreduce.map_reduce(rows, _posting_pairs, _add_up, combiner=_add_up)
     return made.select(F.col("key").alias("token"), F.get_json_object("value", "$.df").cast("bigint").alias("df"), F.get_json_object("value", "$.total").cast("bigint").alias("total"))
 
 
@@ -333,8 +389,8 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf: str, queries: DataFrame) -> DataFrame:
     terms = durable(search.terms_of(queries))
-    near = index.current_postings(load(spark, sf, "postings"), terms)
-    return _flat(search.search_batch(queries, near, 1000, _as_of(), _pagerank(spark, sf), terms=terms))
+    near = durable(index.current_postings(load(spark, sf, "postings"), terms))
+    return _flat(search.search_batch(queries, near, _n_docs(spark, sf), _as_of(), _pagerank(spark, sf), terms=terms, near=near))
 
 
 def i1_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,7 +403,7 @@ def i1_search_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     terms = durable(search.terms_of(_queries(spark, sf)))
-    return search.weighed(durable(index.current_postings(load(spark, sf, "postings"), terms)), terms, F.lit(1000))
+    return search.weighed(durable(index.current_postings(load(spark, sf, "postings"), terms)), terms, _n_docs(spark, sf))
 
 
 def i3_or_aggregate(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,6 +131,79 @@ def test_schedule_and_rate_limit(spark):
     assert sorted((r.dom, r.t, r.wait) for r in crawl.rate_limit(rows, "dom", "t").collect()) == [("d", 0, 0), ("d", 100, 900), ("d", 5000, 0), ("d", 5200, 800), ("e", 50, 0)]
 
 
+def test_schedule_over_many_parts(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.5 else f"d{rng.randrange(4)}", rng.randrange(40) * 100, i) for i in range(500)] + [(None, 5, 500), (None, None, 501)]
+    want, free = {}, {}
+    for d, t, i in sorted(rows, key=lambda r: (r[0] or "", r[1] or 0, r[2])):
+        want[i] = max(t or 0, free.get(d, 0))
+        free[d] = want[i] + 70
+    df = spark.createDataFrame(rows, "dom string, t bigint, i int")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert {r.i: r.start for r in crawl.schedule(df, "dom", "t", 70, ("i",)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert crawl.schedule(df.limit(0), "dom", "t").count() == 0
+
+
+def test_mapreduce_combiner(spark):
+    rows = spark.createDataFrame([(f"k{i}", "hot " * 30 + f"w{i % 7}") for i in range(300)], "key string, value string")
+    count = lambda k, v: [{w: 1} for w in v.split()]
+    add = lambda k, vs: sum(vs)
+    plain = {r.key: r.value for r in mapreduce.map_reduce(rows, count, add).collect()}
+    assert plain == {r.key: r.value for r in mapreduce.map_reduce(rows, count, add, combiner=add).collect()} and plain["hot"] == "9000"
+    assert mapreduce.map_pairs(rows, count, add).where("key = 'hot'").count() <= rows.rdd.getNumPartitions()
+    bad = mapreduce.map_reduce(rows, count, add, combiner=lambda k, vs: 1 / 0).where("key = 'hot'").collect()
+    assert bad and all("ZeroDivisionError" in (r.error or "") for r in bad if r.error) and any(r.error for r in bad)
+
+
+def test_search_of_many_terms(spark, monkeypatch):
+    made = index.postings(corpus(spark)).cache()
+    queries = spark.createDataFrame([(1, "network protocol latency database caching"), (2, "design")], "query_id long, query string")
+    at = F.lit("2025-01-01").cast("timestamp")
+    few = sorted(map(tuple, search.search_batch(queries, made, 5, at).select("query_id", "url", "rank", "score", "matchedTerms").collect()))
+    monkeypatch.setattr(search, "SLOTS", 2)
+    assert few == sorted(map(tuple, search.search_batch(queries, made, 5, at).select("query_id", "url", "rank", "score", "matchedTerms").collect())) and len(few) == 6
+    whole = search.score(search.aggregate(search.matches(search.terms_of(queries), made, F.lit(5))), at)
+    assert {(r.query_id, r.url): r.score for r in whole.collect()} == {(q, u): s for q, u, _, s, _ in few}
+
+
+def test_fresh_urls_of_a_stream(spark, tmp_path):
+    from termloom.streaming import pipelines
+
+    for k, urls in enumerate((["https://a.example/1/", "https://a.example/1", "bad", None], ["https://a.example/1", "https://a.example/2", "https://a.example/3"])):
+        urls_of(spark, *urls).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = pipelines.fresh_urls(pipelines.source(spark, f"{tmp_path}/in", 1), urls_of(spark, "https://a.example/3"), 7)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("https://a.example/1", "unseen", 7), ("https://a.example/2", "unseen", 7)]
+
+
+def test_pages_of_any_depth():
+    from termloom.functions import html
+
+    deep = "<div>" * 5000 + "<p>in <b>the</b> deep</p>" + "</div>" * 5000
+    fields = html.page_fields(f'<title>t</title><div id="readme">{deep}</div>', "https://h.example/o/r")
+    assert fields["text"] == "in the deep" and fields["title"] == "t"
+
+
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ('<meta property="og:published_time" content="2024-01-02"><meta property="article:published_time" content="2024-03-15T10:00:00Z">', "2024-03-15T10:00:00.000Z"),
+        ('<meta name="article:published_time" content="2024-01-02">', None), ('<meta name="publish-date" content="15 March 2024">', "2024-03-15T00:00:00.000Z"), ('<meta name="publish_date" content="2024-01-02">', None),
+        ('<meta name="DC.date" content="bad"><meta property="article:modified_time" content="Fri, 15 Mar 2024 10:00:00 GMT">', "2024-03-15T10:00:00.000Z"),
+        ('<meta name="date" content="soon"><meta name="date" content="2024-01-02"><meta name="DC.date" content="2024-05-06">', "2024-05-06T00:00:00.000Z"), ('<time datetime="x"></time><time datetime="2024-01-01"></time><meta name="date" content="2024/02/03">', "2024-02-03T00:00:00.000Z"), ("", None),
+    ],
+)
+def test_dates(head, want):
+    from termloom.functions import html
+
+    assert html.page_fields(head, "https://h.example/o/r")["published"] == want
+
+
 def test_crawl_batch_and_loop(spark):
     web = spark.createDataFrame(
         [("https://a.example/1", "https://a.example/1", None, "t", ["https://a.example/2", "bad"]), ("https://a.example/2", "https://b.example/x", None, "t", []), ("https://a.example/3", None, "http-status", None, None)],
