@@ -48,7 +48,8 @@ def current_postings(log: DataFrame, terms: DataFrame | None = None) -> DataFram
     kept = with_defaults(kept if terms is None else kept.join(terms.select("term").distinct(), "term", "left_semi"))
     cols = ["tf", "repoOwner", "topics", *FLAGS, "lastCommitDate"]
     rows = kept.withColumn("tf", F.coalesce(F.nullif("tf", F.lit(0)), F.lit(1)).cast("bigint"))
-    top = rows.groupBy("term", "url").agg(F.max(F.struct("indexedAt", *cols)).alias("m"))
+    # the states are compared where they lie together: combining such wide rows before they move would sort them twice
+    top = rows.repartition("term", "url").groupBy("term", "url").agg(F.max(F.struct("indexedAt", *cols)).alias("m"))
     return top.select("term", "url", *[f"m.{c}" for c in cols])
 
 

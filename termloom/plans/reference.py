@@ -394,7 +394,11 @@ def _ranked(spark: SparkSession, sf: str, queries: DataFrame) -> DataFrame:
 
 
 def i1_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf, spark.createDataFrame([(1, "archived worker limits and files")], "query_id bigint, query string"))
+    query = spark.createDataFrame([(1, "archived worker limits and files")], "query_id bigint, query string")
+    words = [tuple(r) for r in search.terms_of(query).collect()]  # as many as one query has: they are pushed to the scan
+    near = index.current_postings(load(spark, sf, "postings").where(F.col("term").isin([w for _, _, w in words])))
+    terms = spark.createDataFrame(words, "query_id bigint, pos int, term string")
+    return _flat(search.search_few(terms, near, _n_docs(spark, sf), _as_of(), _pagerank(spark, sf)))
 
 
 def i1_search_batch(spark: SparkSession, sf: str) -> DataFrame:
