@@ -165,16 +165,16 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id
 
 
 def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ...], cut: tuple[str, float]) -> DataFrame:
-    """Adds n_total, outlier and bound to ``rows``, whose keys are distinct.
+    """Adds n_total, outlier, nats and bound to ``rows``, whose keys are distinct.
 
     For each statistic the empirical-cumulative tail probabilities of the row's value within its group are the shares
     of the group's rows at or below it (left) and at or above it (right); equal values share them. The outlier score is
     the greatest of three sums of -ln over the statistics: all left tails, all right tails, and for each statistic the
     tail on the longer side of its distribution (by its skewness). A null statistic ranks below all values.
 
-    ``cut`` names a statistic and a limit. No row of a group whose value lies under the limit can score less than
-    ``bound``, -ln of the share of such rows: that is its left tail at most, and no term of a sum is negative. A group
-    without such rows has a null bound.
+    ``cut`` names a statistic and a limit, and nats is that statistic's left term of the sums. bound is -ln of the share
+    of the group's rows under the limit, null where there are none. nats reaches bound for just these rows, by their
+    ranks, however many of them are equal; and as no term of a sum is negative, none of them has an outlier score under it.
     """
     n, (cut_by, limit) = len(statistics), cut
     stats = durable(rows.select(F.col(key).alias("_id"), F.col(group).alias("_g"), *[(F.col(s).cast("double") + F.lit(0.0)).alias(f"_s{i}") for i, s in enumerate(statistics)]))
@@ -192,16 +192,15 @@ def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ..
     longer = F.transform(F.arrays_zip("left", "right", "to_left"), lambda t: F.when(t["to_left"], t["left"]).otherwise(t["right"]))
     outlier = F.greatest(*[F.aggregate(side, F.lit(0.0), lambda a, x: a + x) for side in (F.col("left"), F.col("right"), longer)])
     bound = F.when(F.col("n_low") > 0, -F.log(F.col("n_low") / F.col("n")))
-    return rows.join(scored.select(F.col("_id").alias(key), "n_total", outlier.alias("outlier"), bound.alias("bound")), key)
+    nats = F.element_at("left", statistics.index(cut_by) + 1)
+    return rows.join(scored.select(F.col("_id").alias(key), "n_total", outlier.alias("outlier"), nats.alias("nats"), bound.alias("bound")), key)
 
 
 def quality(stats: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds n_total, outlier, bound and natural to ``text_statistics``; see ``tail_scores``, by language.
+    """Adds n_total, outlier, nats, bound and natural to ``text_statistics``; see ``tail_scores``, by language.
 
-    A text is a candidate for junk if its score reaches the bound of its language, which no text with too few
-    sentences can miss, even where one junk text fills a third of the language; of the candidates those whose
-    sentences hold under half of the text are not natural.
+    A text is not natural if its sentence share lies in that tail of its language's distribution which the texts with too
+    few sentences make up. The outlier score says how unusual a text is for its language in all statistics together.
     """
     scored = tail_scores(stats, key, "language", STATISTICS, ("sentence_share", MIN_SENTENCES))
-    junk = F.coalesce(F.col("outlier") >= F.col("bound"), F.lit(False)) & (F.col("sentence_share") < MIN_SENTENCES)
-    return scored.withColumn("natural", ~junk)
+    return scored.withColumn("natural", ~F.coalesce(F.col("nats") >= F.col("bound"), F.lit(False)))

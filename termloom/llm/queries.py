@@ -133,7 +133,7 @@ def p10_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.length(F.regexp_replace(F.lower("text"), "[^a-z]+", "")) / F.length("text")
     rows = load(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "lang", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"), letters.alias("letters"))
     scored = quality.tail_scores(durable(rows), "doc_id", "lang", ("chars", "breaks", "letters"), ("letters", 0.5))
-    return scored.select("doc_id", "n_total", F.round("outlier", 6).alias("outlier"), F.round("bound", 6).alias("bound"))
+    return scored.select("doc_id", "n_total", F.round("outlier", 6).alias("outlier"), F.round("nats", 6).alias("nats"), F.round("bound", 6).alias("bound"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,7 @@ s AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n_total, count(*) FILTER (a
   """ + ", ".join(f"{_LEFT.format(x)} AS l_{x}, {_RIGHT.format(x)} AS r_{x}, avg({x}) OVER (PARTITION BY lang) AS m_{x}" for x in "cba") + """ FROM d),
 t AS (SELECT *, """ + ", ".join(f"avg(pow({x} - m_{x}, 3)) OVER (PARTITION BY lang) < 0 AS k_{x}" for x in "cba") + """ FROM s)
 SELECT doc_id, n_total, round(greatest(l_c + l_b + l_a, r_c + r_b + r_a, """ + " + ".join(f"(CASE WHEN k_{x} THEN l_{x} ELSE r_{x} END)" for x in "cba") + """), 6) AS outlier,
-  round(CASE WHEN low > 0 THEN -ln(low / n_total::DOUBLE) END, 6) AS bound FROM t""",
+  round(l_a, 6) AS nats, round(CASE WHEN low > 0 THEN -ln(low / n_total::DOUBLE) END, 6) AS bound FROM t""",
     "p4_found": _NOW + """,
 ranks AS (SELECT query_id, url,
   rank() OVER (PARTITION BY query_id ORDER BY tfidf DESC NULLS LAST) AS a,

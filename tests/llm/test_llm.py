@@ -523,6 +523,8 @@ def test_found_where_a_third_is_one_junk_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(COMMON, "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
     assert sorted(r.doc_id for r in queries.p10_found(spark, str(tmp_path)).collect()) == list(range(20, 31))
+    for r in queries.p10_quality(spark, str(tmp_path)).collect():
+        assert r.natural == (r.sentence_share >= 0.5) and r.outlier >= r.nats and (r.natural or r.outlier >= r.bound)
 
 
 # tokens
@@ -554,7 +556,7 @@ def test_llm_query(spark, name):
 @pytest.mark.parametrize(
     ("name", "parts"),
     [
-        ("p4_found", ["greater_tfidf", "n_less"]), ("p6_found", ["LN(", "POWER("]), ("p7_found", ["MapInArrow", "won"]), ("p8_found", ["piece"]), ("p9_found", ["uses", "md5(", "upto"]), ("p10_found", ["to_left", "n_less", "-LN("]),
+        ("p4_found", ["greater_tfidf", "n_less"]), ("p6_found", ["LN(", "POWER("]), ("p7_found", ["MapInArrow", "won"]), ("p8_found", ["piece"]), ("p9_found", ["uses", "md5(", "upto"]), ("p10_found", ["n_low", "n_less", "-LN("]),
     ],
 )
 def test_found_comes_through_the_method(spark, name, parts):
