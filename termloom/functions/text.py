@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stop words beside the single letters: the commonest English function words (fixed values). A
-#: deployment's full list is a parameter: a file of words, one a line, named by TERMLOOM_STOPWORDS
-#: or given to ``stop_words``.
+#: fixed values: the commonest of the 1 210 stop words, most of them function words. A table of that length is a
+#: parameter: a file of words, one a line, named by TERMLOOM_STOPWORDS or given to ``stop_words``; with it stop words,
+#: terms and scores are those of the full list, without it the words not listed here are indexed as terms.
 CORE_STOP_WORDS = (
     "about above across after again against all almost alone along already also although always am among an and another any anyone anything are around as at "
     "back be became because become been before behind being below between both but by can cannot come could did do does doing done down during "
