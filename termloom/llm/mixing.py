@@ -30,13 +30,18 @@ def targets_of(targets: DataFrame, source: str, weight: str, repeats: str) -> Da
     return rows.withColumn("share", F.col("w") / rows.agg(F.sum("w")).scalar()).select("name", "source", "share", "repeats")
 
 
+def _size(column: str = "size") -> Column:
+    """A null or negative size counts as 0."""
+    return F.greatest(F.coalesce(F.col(column), F.lit(0)), F.lit(0))
+
+
 def budgets(sized: DataFrame, targets: DataFrame, totals: Sequence[float | None] = (None,)) -> DataFrame:
     """For each budget and source: tokens there are, target, whole passes over its records and the size still to be drawn.
 
     ``sized`` is (key, name, size). Each of ``totals`` is a budget, numbered from 0; None is the size of all records of
     listed sources. A source whose target exceeds its size times its repeats gets every repeat.
     """
-    have = sized.groupBy("name").agg(F.sum("size").alias("have"))
+    have = sized.groupBy("name").agg(F.sum(_size()).alias("have"))
     rows = targets.join(have, "name", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     total = rows.agg(F.sum("have")).first()[0] or 0
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("budget"), F.lit(float(total if t is None else t)).alias("total")) for i, t in enumerate(totals)]))
@@ -71,7 +76,7 @@ def mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     small: Callable[[DataFrame], DataFrame] = F.broadcast if measures_small(plan) else lambda df: df
     mask = (1 << BITS) - 1
     h = order_hash(F.coalesce(F.col("key").cast("string"), F.lit("")))
-    rows = sized.select("key", "name", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).alias("size"), h.alias("h"))
+    rows = sized.select("key", "name", _size().alias("size"), h.alias("h"))
     rows = rows.withColumn("c1", F.shiftrightunsigned("h", 60 - BITS)).withColumn("c2", F.shiftrightunsigned("h", 60 - 2 * BITS).bitwiseAND(F.lit(mask)))
     need = plan.select("name", "budget", "rest", "passes")
     one = rows.groupBy("name", "c1").agg(F.sum("size").alias("size")).join(small(need), "name")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.durable import durable, if_small
+from termloom.durable import if_small
 from termloom.llm.ranks import ROWS_A_PART, row_ranks
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_line_share", "common_word_share", "sentence_share")
@@ -165,7 +165,7 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id
 
 
 def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ...], cut: tuple[str, float]) -> DataFrame:
-    """Adds n_total, outlier, nats and bound to ``rows``, whose keys are distinct.
+    """Adds n_total, outlier, nats and bound to ``rows``, whose keys are distinct and which are read several times.
 
     For each statistic the empirical-cumulative tail probabilities of the row's value within its group are the shares
     of the group's rows at or below it (left) and at or above it (right); equal values share them. The outlier score is
@@ -177,7 +177,7 @@ def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ..
     ranks, however many of them are equal; and as no term of a sum is negative, none of them has an outlier score under it.
     """
     n, (cut_by, limit) = len(statistics), cut
-    stats = durable(rows.select(F.col(key).alias("_id"), F.col(group).alias("_g"), *[(F.col(s).cast("double") + F.lit(0.0)).alias(f"_s{i}") for i, s in enumerate(statistics)]))
+    stats = rows.select(F.col(key).alias("_id"), F.col(group).alias("_g"), *[(F.col(s).cast("double") + F.lit(0.0)).alias(f"_s{i}") for i, s in enumerate(statistics)])
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), stats.count() * n // ROWS_A_PART)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_s{i}").alias("v")) for i in range(n)]))
     ranked = row_ranks(stats.select("_id", "_g", each.alias("e")).select("_id", "_g", "e.k", "e.v"), ["_g", "k"], ["v"], parts)
@@ -187,7 +187,7 @@ def tail_scores(rows: DataFrame, key: str, group: str, statistics: tuple[str, ..
     tails = ranked.groupBy("_id", "_g").agg(F.max("n_total").alias("n_total"), F.array(*[at(i, left) for i in range(n)]).alias("left"), F.array(*[at(i, right) for i in range(n)]).alias("right"))
     skews = [F.coalesce(F.skewness(f"_s{i}"), F.lit(0.0)) < 0 for i in range(n)]
     low = F.coalesce(F.col(f"_s{statistics.index(cut_by)}"), F.lit(float("-inf"))) < limit
-    groups = durable(stats.groupBy("_g").agg(F.array(*skews).alias("to_left"), F.count_if(low).alias("n_low"), F.count(F.lit(1)).alias("n")))
+    groups = stats.groupBy("_g").agg(F.array(*skews).alias("to_left"), F.count_if(low).alias("n_low"), F.count(F.lit(1)).alias("n"))
     scored = tails.alias("x").join(if_small(groups).alias("y"), F.col("x._g").eqNullSafe(F.col("y._g")))
     longer = F.transform(F.arrays_zip("left", "right", "to_left"), lambda t: F.when(t["to_left"], t["left"]).otherwise(t["right"]))
     outlier = F.greatest(*[F.aggregate(side, F.lit(0.0), lambda a, x: a + x) for side in (F.col("left"), F.col("right"), longer)])

@@ -72,6 +72,11 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.dropDuplicates(["doc_key"]).withColumn("kinds", F.array_join("kinds", ","))
 
 
+def p7_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its kinds, and the text of those without markup, which must be as it was."""
+    return p7_clean(spark, sf_dir).select("doc_key", "kinds", F.when(F.col("kinds") == "", F.col("text")).alias("plain"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = markup.clean_texts(load(spark, sf_dir, "docs"), "doc_key", "repoOwner", "text")
     return cleaned.select("doc_key", F.explode("kinds").alias("kind")).distinct()
@@ -128,6 +133,12 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(stats)
 
 
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics without the sentence share."""
+    stats = quality.text_statistics(load(spark, sf_dir, "documents"), load(spark, sf_dir, "common_words"))
+    return stats.select("doc_id", *[F.round(s, 6).alias(s) for s in quality.STATISTICS[:-1]])
+
+
 def p10_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tail scores of statistics that SQL has too: characters, lines, and the share of letters a to z."""
     letters = F.length(F.regexp_replace(F.lower("text"), "[^a-z]+", "")) / F.length("text")
@@ -142,10 +153,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_ranking": p4_ranking,
-    "p7_found": p7_found, "p7_clean": p7_clean,
+    "p7_found": p7_found, "p7_clean": p7_clean, "p7_plain": p7_plain,
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report,
     "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses, "p9_char_uses": p9_char_uses,
-    "p10_found": p10_found, "p10_quality": p10_quality, "p10_tails": p10_tails,
+    "p10_found": p10_found, "p10_quality": p10_quality, "p10_tails": p10_tails, "p10_statistics": p10_statistics,
     "p1_found": p1_found, "p1_clean": p1_clean,
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p5_found": p5_found, "p5_terms": p5_terms, "p5_text_terms": p5_text_terms,
@@ -263,6 +274,19 @@ degree AS (SELECT u AS cls, count(*) AS n_links FROM ways GROUP BY u)
 SELECT doc_key, cls AS class_id, coalesce(group_id, cls) AS group_id, coalesce(n_links, 0) AS n_links, n_copies FROM named LEFT JOIN least USING (cls) LEFT JOIN degree USING (cls)
 """,
     "p7_found": _MARKUP,
+    "p7_plain": "WITH m AS (" + _MARKUP + "), k AS (SELECT doc_key, string_agg(kind, ',' ORDER BY list_position(['html', 'markdown', 'wiki', 'latex'], kind)) AS kinds FROM m GROUP BY doc_key)\n"
+    "SELECT doc_key, coalesce(kinds, '') AS kinds, CASE WHEN kinds IS NULL THEN text END AS plain FROM (SELECT DISTINCT doc_key, text FROM docs WHERE doc_key IS NOT NULL) LEFT JOIN k USING (doc_key)",
+    "p10_statistics": r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+') AS w, regexp_extract_all(text, '[㐀-䶿一-鿿]') AS han, length(regexp_replace(text, '\s+', '', 'g')) AS bare,
+  list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, E' \t\f\v')), lambda x: x <> '') AS lines FROM documents WHERE regexp_matches(text, '\S')),
+c AS (SELECT doc_id, w, han, bare, lines, length(array_to_string(w, '')) AS letters, len(w) AS n0, length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS signs FROM d),
+n AS (SELECT *, CASE WHEN letters > 12 * n0 THEN n0 + len(han) - len(list_filter(w, lambda x: regexp_matches(x, '^[㐀-䶿一-鿿]'))) ELSE n0 END AS n FROM c),
+t AS (SELECT doc_id, unnest(w) AS word FROM d), known AS (SELECT doc_id, lang, count(*) AS k FROM t JOIN (SELECT DISTINCT lang, lower(word) AS word FROM common_words WHERE word IS NOT NULL) s ON lower(t.word) = s.word GROUP BY 1, 2),
+most AS (SELECT doc_id, max(k) AS k FROM known GROUP BY doc_id)
+SELECT doc_id, round(n::DOUBLE, 6) AS n_words, round(letters / greatest(1, n)::DOUBLE, 6) AS mean_word_length, round((bare - signs) / greatest(1, bare)::DOUBLE, 6) AS symbol_share,
+  round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？]["''”’»)\]*_]*$'))) / greatest(1, len(lines))::DOUBLE, 6) AS closed_line_share, round(coalesce(k, 0) / greatest(1, n0)::DOUBLE, 6) AS common_word_share
+FROM n LEFT JOIN most USING (doc_id)
+""",
     "p8_report": f"""
 WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0)
 SELECT CAST(sum((n + {8 * CAPACITY - 1}) // {8 * CAPACITY}) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total_size, CAST((sum(n) + {8 * CAPACITY - 1}) // {8 * CAPACITY} AS BIGINT) AS least_containers,

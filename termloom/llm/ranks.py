@@ -70,7 +70,7 @@ def row_ranks(rows: DataFrame, group: list[str], value: list[str], parts: int |
     ranked = durable(placed.mapInArrow(rank, out))
     by_part = ranked.where("open").groupBy(*group, "part").agg(F.max("n_total").alias("n"))
     before, whole = Window.partitionBy(*group).orderBy("part"), Window.partitionBy(*group)
-    offsets = durable(by_part.select(*group, "part", (F.sum("n").over(before) - F.col("n")).alias("_offset"), F.sum("n").over(whole).alias("_all")))
+    offsets = by_part.select(*group, "part", (F.sum("n").over(before) - F.col("n")).alias("_offset"), F.sum("n").over(whole).alias("_all"))
     at_edge = ranked.where("edge").groupBy(*names, "part").agg(F.max("n_less").alias("n_less"), F.max("n_equal").alias("n_equal"))
     runs = null_safe_join(at_edge, offsets, [*group, "part"]).groupBy(*names).agg(F.min(F.col("_offset") + F.col("n_less")).alias("_less"), F.sum("n_equal").alias("_equal"))
     # both have at most four rows for each part
