@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.durable import durable
-from termloom.llm.shingles import mix, shingle_sets, word_count, words_of
+from termloom.llm.shingles import mix, plain_words, shingle_sets, word_count
 
 WIDTH, THRESHOLD = 5, 0.8
 MIN_GROUP_BITS, MAX_GROUP_BITS = 16, 23  # groups grow with the tokens; their masses are sent to every executor, 32 MB at most
@@ -58,7 +58,13 @@ def classes_of(docs: DataFrame, key: str, text: str, min_words: int) -> DataFram
 
     cls is a 64-bit hash of the words. A null key or text has no row.
     """
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain_words(t.as_py()) for t in batch.column(1)], pa.string())], names=["key", "words"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    words = docs.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("_text")).mapInArrow(read, f"key {kind}, words string")
     return words.where(word_count(F.col("words")) >= min_words).select("key", F.xxhash64("words").alias("cls"), "words")
 
 

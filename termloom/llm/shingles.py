@@ -22,6 +22,14 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " ")), F.lit(""))
 
 
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def plain_words(text: str | None) -> str:
+    """What ``words_of`` gives, for one text: whole texts are translated byte by byte, several times as fast as by an expression."""
+    return b" ".join(text.lower().encode("ascii", "replace").translate(_LETTERS).split()).decode("ascii") if text else ""
+
+
 def word_count(words: Column) -> Column:
     return F.when(F.length(words) == 0, F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
 

@@ -42,6 +42,12 @@ def test_words_of(spark):
     assert [(r.w, r.n) for r in rows] == [("ab c d e", 4), ("", 0), ("", 0), ("", 0)]
 
 
+def test_plain_words_are_those_of_the_expression(spark):
+    texts = ["Ab-c 1d\r\nE", None, "", "é", "Ünï\tcode İstanbul \u212Aelvin ﬁx ß Ǆ x", "\x00a\x7fb", "a" * 70_000 + " B", "中文 words 混合"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", shingles.words_of(F.col("t")).alias("w")).collect()
+    assert [shingles.plain_words(r.t) for r in rows] == [r.w for r in rows]
+
+
 # near-duplicates
 
 
