@@ -195,7 +195,20 @@ f{k + 1} AS (SELECT f.url, CASE WHEN c.url IS NULL THEN f.status WHEN g.url IS N
 _STATS = "SELECT count(*) FILTER (status = 'unseen') AS unseen, count(*) FILTER (status = 'seen') AS seen, count(*) FILTER (status = 'error') AS error, count(*) AS total FROM "
 _WEB = FRONTIER + """, page AS (SELECT doc_key AS url, max(links) AS links FROM docs WHERE doc_key IS NOT NULL GROUP BY doc_key)"""
 
+_K = "WITH p AS (SELECT doc_id, doc_id % 20000 AS k FROM documents)"
+
 ORACLES = {
+    "a5_process_text": COUNTS + " SELECT doc_key, CAST(sum(tf) AS BIGINT) AS n_terms, count(*) AS n_distinct, max(tf) AS most FROM counts GROUP BY doc_key",
+    "b6_create_policy": _MADE + f" SELECT url, {_domains(['code.example', 'mill.example'])} AS listed, {_domains(['mill.example'])} AS as_is FROM u",
+    "c1_text": _K + """ SELECT doc_id, array_to_string(list_filter([CASE WHEN k % 4 <> 3 THEN 'D' || k END, CASE k % 3 WHEN 0 THEN 'Read ' || k || chr(10) || chr(10) || '* one' WHEN 1 THEN 'A long text on page ' || k END],
+  lambda x: x IS NOT NULL), chr(10) || chr(10)) AS text FROM p""",
+    "c5_metadata": _K + """ SELECT doc_id, 'o' || k AS "repoOwner", 'r' || k AS "repoName", CASE WHEN k % 4 < 2 THEN 'D' || k ELSE '' END AS description, CASE WHEN k % 2 = 0 THEN 'L' || k ELSE '' END AS language,
+  CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 't' || k ELSE 't' || k || ',t' || k END AS topics, CASE WHEN k % 5 = 0 THEN '' || k ELSE '' END AS stars, CASE WHEN k % 13 = 0 THEN '2024-01-01' ELSE '' END AS "lastCommitDate",
+  k % 7 = 0 AS "isFork", k % 11 = 0 AS "isArchived", true AS "lowContent" FROM p""",
+    "d9_store_get": "SELECT c_mktsegment AS gid, c_name AS key, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "f5_link_filter": _WEB + f""", claimed AS (SELECT url FROM known WHERE status = 'unseen'), got AS (SELECT c.url, links FROM claimed c JOIN page USING (url)),
+n AS (SELECT DISTINCT {normal('l')} AS u FROM (SELECT unnest(links) AS l FROM got) WHERE length(l) % 2 = 0)
+SELECT (SELECT count(*) FROM got) AS crawled, (SELECT count(*) FROM claimed) - (SELECT count(*) FROM got) AS errors, (SELECT count(*) FROM n WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM known)) AS "linksFound" """,
     "c2_dates": "WITH p AS (SELECT doc_id, doc_id % 20000 AS k FROM documents) SELECT doc_id, coalesce(" + ", ".join([f"CASE WHEN k % 7 = 0 THEN {_date(7)} END"] + [f"CASE WHEN k % {i + 2} = 0 THEN {_date(i)} END" for i in range(6)]) + ") AS published FROM p",
     "c6_parse_page": rf"""WITH h AS (SELECT url, html, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM seed_pages)
 SELECT url, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title, coalesce(string_split(url, '/')[4], '') AS "repoOwner", true AS "lowContent",

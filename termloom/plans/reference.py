@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.durable import durable, scratch
@@ -67,6 +67,11 @@ def a4_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return text.term_counts(_pages(spark, sf), "doc_key", "text")
 
 
+def a5_process_text(spark: SparkSession, sf: str) -> DataFrame:
+    counts = text.term_counts(_pages(spark, sf), "doc_key", "text")
+    return counts.groupBy("doc_key").agg(F.sum("tf").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"), F.max("tf").alias("most"))
+
+
 def a6_query_terms(spark: SparkSession, sf: str) -> DataFrame:
     return search.terms_of(_queries(spark, sf))
 
@@ -112,6 +117,13 @@ def b5_policy(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("url", urls.Policy(["CODE.example"]).is_allowed(F.col("url")).alias("ok"))
 
 
+def b6_create_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """A policy of a list, which is lower-cased, and one of a set, which is not."""
+    listed, as_is = urls.Policy(["CODE.example", "mill.EXAMPLE"]), urls.Policy({"CODE.example", "mill.example"})
+    both = _paths(spark, sf).unionByName(_urls(spark, sf))
+    return both.select("url", listed.is_domain_allowed(F.col("url")).alias("listed"), as_is.is_domain_allowed(F.col("url")).alias("as_is"))
+
+
 def b7_repo_url_policy(spark: SparkSession, sf: str) -> DataFrame:
     path = F.regexp_replace("doc_key", "^https?://[^/]+", "https://github.com")
     made = load(spark, sf, "docs").select(path.alias("p")).distinct().select("p", F.explode(F.array(*[F.lit(s) for s in SUFFIXES])).alias("s")).select(F.concat("p", "s").alias("url"))
@@ -148,6 +160,29 @@ def c6_parse_page(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("url", "p.title", "p.repoOwner", "p.lowContent", F.size("p.links").alias("n_links"), F.length("p.text").alias("n_text"))
 
 
+def _made_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, page, url): repository pages with every kind of description, README and metadata, from the documents' ids."""
+    k = F.pmod(F.col("doc_id"), F.lit(20_000))
+    n = k.cast("string")
+    when = lambda test, *parts: F.when(test, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).otherwise("")
+    parts = [
+        when(k % 4 == 2, '<meta property="og:description" content="D', n, '">'), when(k % 4 == 0, '<p class="f4 my-3"> D', n, " </p>"), when(k % 4 == 1, '<div class="Layout-sidebar"><p>D', n, "</p></div>"),
+        when(k % 3 == 0, '<div id="readme"><p>Read ', n, "</p><ul><li>one</li></ul></div>"), when(k % 3 == 1, '<article class="markdown-body">A long text on page ', n, "</article>"),
+        F.repeat(F.concat(F.lit('<a class="topic-tag"> t'), n, F.lit(" </a>")), (k % 3).cast("int")), when(k % 5 == 0, '<span id="repo-stars-counter">', n, "</span>"), when(k % 2 == 0, '<li class="d-inline"><a><span class="color-fg-default">L', n, "</span></a></li>"),
+        when(k % 7 == 0, '<span class="text-small">Forked from x/y</span>'), when(k % 11 == 0, '<div class="archived-notice">This was archived</div>'), when(k % 13 == 0, '<relative-time datetime="2024-01-01">x</relative-time>'),
+    ]
+    return load(spark, sf, "documents").select("doc_id", F.concat(*parts).alias("page"), F.concat(F.lit("https://code.example/o"), n, F.lit("/r"), n).alias("url"))
+
+
+def c1_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _made_pages(spark, sf).select("doc_id", html.parse_page(F.col("page"), F.col("url"))["text"].alias("text"))
+
+
+def c5_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _made_pages(spark, sf).select("doc_id", html.parse_page(F.col("page"), F.col("url")).alias("p"))
+    return rows.select("doc_id", "p.repoOwner", "p.repoName", "p.description", "p.language", F.array_join("p.topics", ",").alias("topics"), "p.stars", "p.lastCommitDate", "p.isFork", "p.isArchived", "p.lowContent")
+
+
 _DATES = ["2024-03-15T10:00:00Z", "2024-03-15", "Fri, 15 Mar 2024 10:00:00 +0200", "March 15, 2024", "soon", ""]
 
 
@@ -206,6 +241,14 @@ def d8_store_scan(spark: SparkSession, sf: str) -> DataFrame:
     return store.keys(spark, path, "BUILDING")
 
 
+def d9_store_get(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection's values, after another one was dropped."""
+    path = scratch(spark, "store")
+    store.write(load(spark, sf, "customer").select(F.col("c_mktsegment").alias("gid"), F.col("c_name").alias("key"), F.col("c_custkey").cast("string").alias("value")), path)
+    store.reset(spark, path, ["MACHINERY"])
+    return store.scan(spark, path, "BUILDING").unionByName(store.scan(spark, path, "MACHINERY")).select("gid", "key", "value")
+
+
 # frontier
 
 
@@ -294,6 +337,14 @@ def f9_link_graph(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.link_graph(one.where("doc_key IS NOT NULL"))
 
 
+def f5_link_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A round over the whole frontier that follows only links which a rule lets through."""
+    known = frontier.current(load(spark, sf, "frontier"))
+    page = load(spark, sf, "docs").where("doc_key IS NOT NULL").groupBy("doc_key").agg(F.max("links").alias("links"))
+    had = page.select(F.col("doc_key").alias("url"), F.col("doc_key").alias("final_url"), F.lit(None).cast("string").alias("reason"), "links")
+    return crawl.crawl_batch(known, had, known.count(), "7", NOW, link_filter=lambda u: F.length(u) % 2 == 0)[2]
+
+
 def f6_crawl_rounds(spark: SparkSession, sf: str) -> DataFrame:
     known = frontier.current(load(spark, sf, "frontier"))
     page = load(spark, sf, "docs").groupBy("doc_key").agg(F.max(F.struct("fetchedAt", "links", "text")).alias("m"))
