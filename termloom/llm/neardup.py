@@ -240,8 +240,10 @@ def _pairs_in_slab(cls: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.
     """(class, class, tokens they must share) of the pairs of entries that pass the bound."""
     o = np.lexsort((n, token))
     token, cls, n, place, side = token[o], cls[o], n[o].astype(np.int64), place[o].astype(np.int64), side[o]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    end = np.repeat(np.concatenate([first[1:], [len(token)]]), np.diff(np.concatenate([first, [len(token)]])))
+    # partners stand behind an entry in its token's run, up to the size that is still within t
+    run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+    wide = int(n.max()) + 1 if len(n) else 1
+    end = np.searchsorted(run * wide + n, run * wide + np.minimum(np.floor((n + 1e-9) / t).astype(np.int64), wide - 1), side="right")
     least = _least_overlap(t, 2 * n)
     smaller = np.flatnonzero(place < n - least + np.minimum(SHARED, least))
     rest = end[smaller] - smaller - 1
