@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -48,25 +49,36 @@ _NAMES = "|".join(TAGS)
 _TAG = re.compile(rf"</?(?:{_NAMES})(?=[\s/>])[^<>]*>", re.I)
 _NO_TAG = re.compile(rf"<(?!/?(?:{_NAMES})(?=[\s/>])[^<>]*>)", re.I)
 _COMMENT = re.compile(r"<!--.*?-->|<!--|<!doctype\b[^<>]*>?", re.I | re.S)
+_COMMENT_START = re.compile(r"<!--|<!doctype\b[^<>]*>?", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|copy|reg)(?![a-z0-9=;])", re.I)
 _BLOCK_TAG = re.compile(r"<(?:" + "|".join(sorted(_BLOCK - {"hr"})) + r")(?=[\s>])", re.I)
 _SILENT_TAG = re.compile(r"<(/?)(" + "|".join(sorted(_SILENT)) + r")(?=[\s/>])[^<>]*>", re.I)
 _AND, _LESS = "\x02", "\x03"  # stand for & and < that the parser must leave alone
 
 
+#: A path names at most so many of the innermost containers.
+DEEPEST = 32
+
+
 class _Page(HTMLParser):
-    """Blocks of a page: [path, kind, text, linked characters]; ``used`` counts the tags read."""
+    """Blocks of a page: [path, kind, text, linked characters]; ``used`` counts the tags read.
+
+    Only blocks are kept open; of tags within lines it is counted how many links and silent elements are. A block that
+    ends ends what was opened in it. All steps take the same time however many elements are open.
+    """
 
     def __init__(self, loose: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.loose = loose  # text with a few stray tags: its line breaks are its layout
-        self.stack: list[tuple[str, str]] = []
-        self.blocks: list[list] = [["", "text", "", 0]]
+        self.stack: list[tuple[str, str, int, int, int]] = []  # tag, step of the path; links, silent and other elements open before it
+        self.open: Counter[str] = Counter()
+        self.links = self.silent = self.inline = 0
+        self.blocks: list[list] = [["", "text", [], 0]]
         self.used = 0
 
     def _open(self, tag: str) -> None:
         kind = "head" if re.fullmatch("h[1-6]", tag) else "item" if tag in ("li", "dt", "dd") else "code" if tag == "pre" else "row" if tag == "tr" else "text"
-        self.blocks.append([">".join(s for _, s in self.stack if s), kind, "", 0])
+        self.blocks.append([">".join(entry[1] for entry in self.stack[-DEEPEST:]), kind, [], 0])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in TAGS:
@@ -74,42 +86,65 @@ class _Page(HTMLParser):
         self.used += 1
         if tag in _VOID:
             if tag == "br":
-                self.blocks[-1][2] += "\n"
+                self.blocks[-1][2].append("\n")
             elif tag == "hr":
                 self._open("hr")
             elif tag == "img":
-                self.blocks[-1][2] += dict(attrs).get("alt") or ""
+                self.blocks[-1][2].append(dict(attrs).get("alt") or "")
             return
-        name = dict(attrs).get("class") or ""
-        # digits and the order of classes differ from page to page of one layout
-        step = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(name.split())) if tag in _BLOCK else ""
-        self.stack.append((tag, step))
         if tag in _BLOCK:
+            if tag == "p" and self.stack and self.stack[-1][0] == "p":
+                self._close("p")  # a paragraph ends where the next begins
+            name = dict(attrs).get("class") or ""
+            # digits and the order of classes differ from page to page of one layout
+            step = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(name.split()))
+            self.stack.append((tag, step, self.links, self.silent, self.inline))
+            self.open[tag] += 1
             self._open(tag)
         elif tag in ("td", "th") and self.blocks[-1][2]:
-            self.blocks[-1][2] += "\t"
+            self.blocks[-1][2].append("\t")
+        if tag not in _BLOCK:
+            self.open[tag] += 1
+            self.inline += 1
+        self.links += tag == "a"
+        self.silent += tag in _SILENT
+
+    def _close(self, tag: str) -> None:
+        while self.stack:
+            top, _, self.links, self.silent, self.inline = self.stack.pop()
+            self.open[top] -= 1
+            if top == tag:
+                break
 
     def handle_endtag(self, tag: str) -> None:
         self.used += 1
-        if any(t == tag for t, _ in self.stack):
-            while self.stack:
-                t, _ = self.stack.pop()
-                if t == tag:
-                    break
-            if tag in _BLOCK:
-                self._open("")
+        if not self.open[tag]:
+            return
+        if tag in _BLOCK:
+            self._close(tag)
+            self._open("")
+            return
+        self.open[tag] -= 1
+        self.inline = max(0, self.inline - 1)
+        self.links = max(0, self.links - (tag == "a"))
+        self.silent = max(0, self.silent - (tag in _SILENT))
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.stack]
-        if any(t in _SILENT for t in tags):
+        if self.silent:
             return
-        self.blocks[-1][2] += data if self.loose or not tags or self.blocks[-1][1] == "code" else re.sub(r"[ \t]*\n[ \t]*", " ", data)
-        if "a" in tags:
+        self.blocks[-1][2].append(data if self.loose or not (self.stack or self.inline) or self.blocks[-1][1] == "code" else re.sub(r"[ \t]*\n[ \t]*", " ", data))
+        if self.links:
             self.blocks[-1][3] += len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
         self.handle_data(data)
 
+    def read(self, text: str) -> list[list]:
+        self.feed(text)
+        self.close()
+        joined = [[path, kind, "".join(parts), linked] for path, kind, parts, linked in self.blocks]
+        return [b for b in joined if b[2].strip()]
+
 
 def _closed(text: str) -> str:
     """``text`` without the script, style and template tags that no closing tag answers: what follows them is text."""
@@ -165,7 +200,7 @@ _MARKDOWN = _rules(
     ("|", r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", ""),
     ("*", r"(?<![\w*\\])(\*{1,3})(?=[^\s*])((?:[^*\n]*[^\s*\\])?[^\s*\\])\1(?![\w*])", r"\2"),
     ("_", r"(?<![\w_\\])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w_])", r"\1"),
-    ("__", r"(?<![\w_\\])__(?=[^\s_])([^_\n]*[ \t][^_\n]*[^\s_])__(?![\w_])", r"\1"),
+    ("__", r"(?<![\w_\\])__(?=[^\s_])(?=[^_\n]*[ \t])([^_\n]*[^\s_])__(?![\w_])", r"\1"),
     ("~~", r"(?<![~\w])~~(?=[^\s~])((?:[^~\n]*[^\s~])?)~~(?![~\w])", r"\1"),
 )
 #: What else means markup once a text is known to be Markdown.
@@ -180,7 +215,7 @@ _WIKI = _rules(
     ("#R", r"^#REDIRECT\b\s*", ""),
     ("[[", r"\[\[(?=[^\[\]\n]*[A-Za-z])([^\[\]\n\d\s,'\"][^\[\]\n]*)\]\]", lambda m: "" if m[1].startswith("Category:") else m[1].split("|")[-1]),
     ("[http", r"\[https?://\S+[ \t]+([^\[\]\n]+)\]", r"\1"),
-    ("==", r"^(={2,6})[ \t]*([^=\n]*[^=\s][^=\n]*?)[ \t]*\1[ \t]*$", r"\2"),
+    ("==", r"^(={2,6})(?=[^=\n]*[^=\s])([^=\n]+)\1[ \t]*$", lambda m: m[2].strip()),
     ("''", r"(?<![\w'])'{2,3}(?=[^\s'])([^'\n]*(?:'[^'\n]+)*[^\s'])'{2,3}(?![\w'])|(?<![\w'])'{2,3}([^\s'])'{2,3}(?![\w'])", lambda m: m[1] or m[2]),
     ("|", r"^\{\|[^\n]*$\n?|^\|-[ \t]*$\n?|^\|\}[ \t]*(?:$\n?)?", ""),
     ("__", "__(?:" + "|".join(SWITCHES) + ")__", ""),
@@ -197,7 +232,7 @@ _LATEX_KEPT = _rules(
     ("$$", r"\$\$([^$]+)\$\$", ""),
     ("\\[", r"^[ \t]*\\\[(.*?)\\\]", ""),
     ("\\(", r"(?<![\w\\])\\\((?=.)([^\n]*?)\\\)", ""),
-    ("$", r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*(?:\\[A-Za-z]|[\^_=])[^$\n]*)(?<=[^\s$])\$(?![\w$])", ""),
+    ("$", r"(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]*(?:\\[A-Za-z]|[\^_=]))([^$\n]*[^\s$])\$(?![\w$])", ""),
     flags=re.M | re.S,
 )
 _LATEX_ARGUMENT = _rules(("\\", r"(?<![:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1"))
@@ -214,7 +249,7 @@ _LATEX_REST = _rules(
     ("\\", r"(?<![\w:\\.\"'])\\([A-Za-z]+)\*?(?=[\s{}\[\]()$,;.^_~&=]|$)(?!\\)", r"\1"),
     ("\\", r"(?<![:\\])\\[A-Za-z]+\*?\{", ""),
 )
-_LATEX_ROW = re.compile(r"^([^\n]*?(?<!\\)&[^\n]*?)[ \t]*\\\\[ \t]*$", re.M)
+_LATEX_ROW = re.compile(r"^(?=[^\n]*(?<!\\)&)([^\n]*?)[ \t]*\\\\[ \t]*$", re.M)
 _LATEX_MATH = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\*?\}[^\n]*\n(.*?)\\end\{\1\*?\}", re.S)
 _EQUATION = re.compile(r"\\begin\{(equation|align|gather|multline|displaymath)\*?\}(.*?)\\end\{\1\*?\}", re.S)
@@ -285,13 +320,18 @@ class Reading:
             self._all("wiki", _WIKI_THEN[1:])
 
     def _html(self) -> None:
-        self._take("html", _COMMENT, "", "<!")
+        if "<!" in self.text:
+            # behind the last end of a comment no comment is searched for its end
+            closed, end, rest = self.text.rpartition("-->")
+            self.text, n = _COMMENT.subn("", closed + end)
+            rest, m = _COMMENT_START.subn("", rest)
+            self.text += rest
+            if n + m:
+                self.found.add("html")
         if "<" in self.text and _TAG.search(self.text):
             text = _closed(self.text)
             page = _Page(len(_BLOCK_TAG.findall(text)) < 3)
-            page.feed(_NO_TAG.sub(_LESS, text).replace("&", _AND))
-            page.close()
-            self.blocks = [b for b in page.blocks if b[2].strip()]
+            self.blocks = page.read(_NO_TAG.sub(_LESS, text).replace("&", _AND))
             if page.used or text != self.text:
                 self.found.add("html")
 

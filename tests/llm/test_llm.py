@@ -363,6 +363,15 @@ def test_any_nesting():
     assert markup.convert("<div>" * 3000 + "text" + "</div>" * 3000) == (["html"], "text")
 
 
+@pytest.mark.parametrize("text", ["<p>a" * 60_000, "<b>a" * 60_000, "<div>a" * 30_000, "</b>" * 60_000, "<!--" * 60_000, "__a " + "b " * 60_000, "== a" + " b" * 60_000, "$a = " + "b = " * 60_000, "\\x{} " + "a & b " * 30_000, "[" * 60_000, "{{" * 60_000, "*a" * 60_000, "''a " * 60_000], ids=range(13))
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    markup.convert(text)
+    assert time.perf_counter() - began < 8
+
+
 def test_kinds_are_what_was_taken():
     """No kind without a change: a text with a kind loses its construct, one without stays as it is."""
     for text, kinds in KINDS:
