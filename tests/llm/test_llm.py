@@ -182,6 +182,22 @@ def test_lines_of_every_owner_are_found(spark, tmp_path, owners):
     assert {(r.doc_key, r.n_removed) for r in queries.p1_clean(spark, str(tmp_path)).collect()} == {(r[0], 1) for r in rows}
 
 
+def test_significance_is_tested_where_it_decides(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    note, shared, weak = "All rights belong to the Example Guild", "Every page of every owner holds this line", "Somewhat more often on the pages of one"
+    rows = [(f"p{i}", f"o{i % 3}", "\n".join([f"Unlike text {'xyz'[i % 3] * (i + 1)} for the others", shared, *[note] * (i % 3 == 0), *[weak] * (i % 3 == 1 and i < 15 or i in (2, 5, 8, 11))])) for i in range(30)]
+    spark.createDataFrame(rows, "doc_key string, repoOwner string, text string").write.parquet(f"{tmp_path}/docs.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW docs AS SELECT * FROM '{tmp_path}/docs.parquet/*.parquet'")
+    run = lambda name: sorted((r.doc_key, r.line_no) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    at = lambda *lines: sorted((k, i) for k, _, t in rows for i, x in enumerate(t.split("\n"), 1) if x in lines)
+    assert run("p1_excess") == at(note) == sorted(con.execute(queries.ORACLES["p1_excess"]).fetchall())
+    assert run("p1_found") == at(note, shared, weak) == sorted(con.execute(queries.ORACLES["p1_found"]).fetchall())
+    monkeypatch.setattr(repeated_lines, "line_tests", None)  # no work for a test that decides nothing
+    assert run("p1_found") == at(note, shared, weak) and queries.p1_clean(spark, str(tmp_path)).where("n_removed > 0").count() == 30
+
+
 def test_step_up_equals_the_rule(spark):
     rng = random.Random(6)
     for rate in (0.01, 0.3):
