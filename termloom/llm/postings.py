@@ -101,22 +101,19 @@ def association(state: DataFrame, exponent: float = 0.75) -> DataFrame:
 
     ppmi = max(0, ln(p(term, url) / (p(term) * p'(url)))), p' being the urls' shares after raising their counts
     to ``exponent``, which keeps small records from inflating every score. records counts the urls of the term.
-    The state stays where it is as long as the marginal tables measure as small enough to be broadcast.
+    The state stays where it is as long as the marginal tables measure as small enough to be broadcast. No tf stops it:
+    counts are added as doubles, and where those of a term or url cancel out pmi is null.
     """
-    terms = durable(state.groupBy("term").agg(F.sum("tf").alias("of_term"), F.count(F.lit(1)).alias("records")))
-    urls = durable(state.groupBy("url").agg(F.sum("tf").alias("of_url")))
+    count = F.sum(F.col("tf").cast("double"))
+    terms = durable(state.groupBy("term").agg(count.alias("of_term"), F.count(F.lit(1)).alias("records")))
+    urls = durable(state.groupBy("url").agg(count.alias("of_url")))
     smooth = F.lit(urls.agg(F.coalesce(F.sum(F.pow("of_url", F.lit(exponent))), F.lit(0.0))).first()[0])
     both = state.select("url", "term", "tf").join(if_small(terms), "term").join(if_small(urls), "url")
-    ratio = F.col("tf") * smooth / (F.col("of_term") * F.pow("of_url", F.lit(exponent)))
+    ratio = F.try_divide(F.col("tf") * smooth, F.col("of_term") * F.pow("of_url", F.lit(exponent)))
     scored = both.select("url", "term", "tf", "records", F.when(F.col("tf") > 0, F.log(ratio)).alias("pmi"))
     return scored.withColumn("ppmi", F.coalesce(F.greatest(F.lit(0.0), F.col("pmi")), F.lit(0.0)))
 
 
-def score_at(tf: int) -> Column:
-    """The ppmi that a row of ``association`` would have with ``tf`` occurrences: what is left of the score's bound once term and record are fixed."""
-    return F.greatest(F.lit(0.0), F.col("pmi") + F.log(F.lit(float(tf)) / F.col("tf")))
-
-
 def text_terms(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(term, url, tf) of the words of each key's text, once for each key; ``words`` is a string with one blank between words."""
     pages = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("url"), words.alias("words")).dropDuplicates(["url"])

@@ -277,6 +277,35 @@ def test_association(spark):
     assert postings.association(postings.latest_tf(df.limit(0))).count() == 0
 
 
+def found_and_sql(spark, path, rows):
+    import duckdb
+
+    spark.createDataFrame([(*r, None) for r in rows], "term string, url string, tf bigint, indexedAt timestamp_ntz").write.parquet(f"{path}/postings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW postings AS SELECT * FROM '{path}/postings.parquet/*.parquet'")
+    return [tuple(r) for r in queries.p6_found(spark, str(path)).collect()], con.execute(queries.ORACLES["p6_found"]).fetchall()
+
+
+def test_found_terms_stand_by_their_score(spark, tmp_path):
+    rng = random.Random(9)
+    tf = {(f"t{t}", f"u{u}"): rng.randint(1, 30) for t in range(40) for u in rng.sample(range(12), 1 + t % 11)}
+    got, want = found_and_sql(spark, tmp_path, [(*k, v) for k, v in tf.items()])
+    assert sorted(got) == sorted(want) and len(got) > 50
+    n_t, n_u = collections.Counter(), collections.Counter()
+    for (t, u), v in tf.items():
+        n_t[t] += v
+        n_u[u] += v
+    smooth = sum(v**0.75 for v in n_u.values())
+    scores = [max(0.0, math.log(tf[t, u] * smooth / (n_t[t] * n_u[u] ** 0.75))) for u, t in got]
+    assert all(a > b - 1e-9 for a, b in itertools.pairwise(scores)) and scores[0] > scores[-1]
+
+
+@pytest.mark.parametrize("rows", [[("a", "u", 2**62), ("a", "v", 2**62)], [("a", "u", 5), ("a", "v", -5), ("b", "v", 9), ("b", "w", 1)], [("a", "u", 5), ("b", "u", -5), ("a", "v", 1)]], ids=["sum", "term", "url"])
+def test_no_tf_stops_the_found_terms(spark, tmp_path, rows):
+    got, want = found_and_sql(spark, tmp_path, rows)
+    assert sorted(got) == sorted(want) and got
+
+
 def test_heavy_light_counts(spark):
     rows = [("hot", i % 5) for i in range(5000)] + [(f"v{i}", 1) for i in range(1500)] + [(None, 3), ("hot", None)]
     got = {r.value: (r.total, r.records) for r in postings.value_counts(spark.createDataFrame(rows, "at string, total int"), "at", "total").collect()}
